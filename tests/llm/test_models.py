@@ -59,6 +59,15 @@ def test_token_files_odd(spark, tokenizer, tmp_path):
     assert token_files.scan(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_chunks_equal_whole_texts(tokenizer):
+    rng = random.Random(8)
+    coder = token_files._coder(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(3000):
+        parts = rng.choice([["ab", "Cd", "é", " ", "\n", ".", ",", "1"], ["the", " ", " ", "'s", "n't", "\t", "\n", "\u00a0", "\x1c", "ǅ", "ʰ", "ߒ", "日本", "😀", "\u0301", "a."]])
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        assert token_files.encode_text(text, coder) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def test_segments_round_trip():
     rng = np.random.default_rng(4)
     for ids in (

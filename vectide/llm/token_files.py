@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import row_slices, shared_folder, shuffle_partitions
-from .tree_bpe import chunks
+from .tree_bpe import CUT
 
 BLOCK, GROUP = 1024, 64
 PERCENTILE = 0.95
@@ -41,7 +41,7 @@ MAGIC = b"PFR1"
 SEGMENT_IDS = 1 << 20
 FILE_BYTES = 24 << 20
 SLICE_BYTES = 4 << 20
-KEPT = 400_000
+KEPT = 1_500_000
 END = 0
 
 
@@ -130,51 +130,84 @@ def read_segment(payload: bytes, first: int = 0, last: int | None = None) -> np.
     return values.reshape(-1)[: max(0, n - first * BLOCK)].astype("<u4")
 
 
-_coders: dict[str, tuple] = {}
+#: The bytes' characters in a byte-level vocabulary: printable ones stand for themselves, the others for those from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _PRINTABLE]
+_CHARACTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+#: Below this, letters are letters to every version of Unicode.
+_PLAIN = "\u0250"
 
 
-def _coder(path: str) -> tuple:
-    """The worker's tokenizer and the chunks it has encoded, as uint32 bytes."""
+class Words(dict):
+    """Ids, as uint32 bytes, of chunks that follow a space (or start a line, without it).
+
+    The tokenizer's pattern starts a match at such a space, at a line feed between two
+    characters that aren't white space, and after it; and a full stop or comma that ends a chunk
+    is no part of a match of letters. So a chunk is put together from parts that are each
+    encoded once: words of letters by the tokenizer's model, any others by the tokenizer.
+    Raises KeyError for what is no chunk: the empty string, or white space at either end.
+    """
+
+    def __init__(self, tokenizer, prefix: str, starts: Words | None = None):
+        super().__init__()
+        self.tokenizer, self.model, self.prefix = tokenizer, tokenizer.model, prefix
+        #: chunks that start a line
+        self.starts = self if starts is None else starts
+        self.ids = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.marks = {c: self.encoded(c) for c in "\n.,"}
+
+    def encoded(self, text: str) -> bytes:
+        return b"".join([self.ids[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise KeyError(chunk)
+        line, feed, rest = chunk.partition("\n")
+        if feed and not line[-1].isspace() and not rest[0].isspace():
+            return self[line] + self.marks["\n"] + self.starts[rest]
+        if len(self) > KEPT:
+            self.clear()
+        if chunk.isalpha() and max(chunk) < _PLAIN:
+            letters = (self.prefix + chunk).encode().decode("latin-1").translate(_CHARACTERS)
+            found = b"".join([self.ids[t.id] for t in self.model.tokenize(letters)])
+        elif chunk[-1] in ".," and chunk[:-1].isalpha() and max(chunk) < _PLAIN:
+            found = self[chunk[:-1]] + self.marks[chunk[-1]]
+        else:
+            found = self.encoded(self.prefix + chunk)
+        self[chunk] = found
+        return found
+
+
+_coders: dict[str, tuple[Words, Words]] = {}
+
+
+def _coder(path: str) -> tuple[Words, Words]:
+    """The worker's encoded chunks, those that start a line and those after a space."""
     if path not in _coders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        line = np.array(tokenizer.encode("\n", add_special_tokens=False).ids, "<u4")
-        _coders[path] = tokenizer, {}, line
+        starts = Words(tokenizer, "")
+        _coders[path] = starts, Words(tokenizer, " ", starts)
     return _coders[path]
 
 
-def encode_text(text: str, coder: tuple) -> bytes:
-    """A whole text's ids as uint32 bytes.
-
-    Chunks begin where the tokenizer's pattern always begins a match, so each is encoded by
-    itself, with its space, and kept. New ones are encoded together, with a line feed between
-    them: before a space it is a match of its own.
-    """
+def encode_text(text: str, coder: tuple[Words, Words]) -> bytes:
+    """A whole text's ids as uint32 bytes."""
     if not text:
         return b""
-    tokenizer, known, line = coder
-    first, *rest = chunks(text)
-    new = set(rest).difference(known)
-    if len(known) + len(new) > KEPT:
-        known.clear()
-        new = set(rest)
-    if new:
-        plain = [c for c in new if "\n" not in c]
-        if plain and len(line) == 1:
-            ids = np.array(tokenizer.encode_batch_fast([" " + "\n ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == line[0]).tolist()
-            data = ids.tobytes()
-            if len(cuts) == len(plain) - 1:
-                for chunk, a, b in zip(plain, [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), len(data)], strict=True):
-                    known[chunk] = data[a:b]
-        for chunk in new:
-            if chunk not in known:
-                known[chunk] = np.array(tokenizer.encode(" " + chunk, add_special_tokens=False).ids, "<u4").tobytes()
-    start = np.array(tokenizer.encode(first, add_special_tokens=False).ids, "<u4").tobytes() if first else b""
-    return start + b"".join(map(known.__getitem__, rest))
+    starts, words = coder
+    first, *rest = text.split(" ")
+    try:
+        return starts[first] + b"".join(map(words.__getitem__, rest))
+    except KeyError:  # runs of white space: cut only at spaces between two other characters
+        first, *rest = CUT.split(text)
+        whole = [starts.encoded(first)]
+        for chunk in rest:
+            whole.append(words.encoded(" " + chunk) if not chunk or chunk[0].isspace() or chunk[-1].isspace() else words[chunk])
+        return b"".join(whole)
 
 
 FILE = "part int, seq int, doc_ids array<{id}>, lengths array<long>, payload binary"

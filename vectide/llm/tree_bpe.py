@@ -156,7 +156,7 @@ class TreeBPE:
 
 
 #: A space between two characters that are not white space: the pattern starts a match there, whatever surrounds it.
-_CUT = regex.compile(r"(?<![\s\x1c-\x1f]) (?![\s\x1c-\x1f])")
+CUT = regex.compile(r"(?<![\s\x1c-\x1f]) (?![\s\x1c-\x1f])")
 
 
 def chunks(text: str) -> list[str]:
@@ -164,7 +164,7 @@ def chunks(text: str) -> list[str]:
     found = text.split(" ")
     if all(found) and not any(map(str.isspace, {x for c in set(found) for x in (c[0], c[-1])})):
         return found
-    return _CUT.split(text)
+    return CUT.split(text)
 
 
 _coders: dict[tuple[str, str], tuple[TreeBPE, dict[str, bytes], list[bytes]]] = {}
