@@ -31,7 +31,7 @@ from .common import row_slices
 BUCKETS, DIMENSIONS = 1 << 16, 16
 GRAMS = (1, 2, 3, 4)
 #: Labelled rows trained on at most, taken by a hash of their doc_id, and how long their texts may be.
-SAMPLE, SAMPLE_CHARS = 6000, 20_000
+SAMPLE, SAMPLE_CHARS = 3000, 20_000
 EPOCHS, RATE, SEED = 8, 0.6, 42
 THRESHOLD = 0.7
 SLICE_BYTES = 4 << 20
@@ -64,11 +64,13 @@ def weights_of(text: str | None, known: dict[bytes, tuple[list[int], list[float]
     for word, n in words.items():
         rows = known.get(word)
         if rows is None:
+            if len(known) > KEPT // 8:
+                known.clear()
             rows = known[word] = buckets_of(word)
         share = n / total / len(rows)
         for r in rows:
             sums[r] = sums.get(r, 0.0) + share
-    return np.fromiter(sums, np.int64, len(sums)), np.fromiter(sums.values(), np.float32, len(sums))
+    return np.fromiter(sums, np.int32, len(sums)), np.fromiter(sums.values(), np.float32, len(sums))
 
 
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
@@ -76,7 +78,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
     rng = np.random.default_rng(seed)
     known: dict = {}
     data = [weights_of(t, known) for t in texts]
-    del known
+    known.clear()
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     output, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
     step, steps = 0, max(1, epochs * len(data))
