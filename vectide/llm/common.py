@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +36,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a worker keeps between tasks for the operator it last ran.
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """make()'s value, made once in a worker as long as it runs the same operator with the same parameters.
+
+    Another key drops it, so that the operators of a pipeline don't add up in a worker's memory.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each slice's text takes max_bytes at most (or is a single row)."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_slices
+from .common import kept, row_slices
 
 BUCKETS, DIMENSIONS = 1 << 16, 16
 GRAMS = (1, 2, 3, 4)
@@ -111,24 +111,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     return train([r["text"] for r in rows], [r["label"] for r in rows])
 
 
-#: What words seen lately add to the log odds, for all tasks of a worker; by model, of which the last stays.
-_scored: dict[str, dict[bytes, float]] = {}
-
-
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (of label 1) and predicted in place of any columns of these names."""
     parts, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((parts, bias))  # BUCKETS numbers, whatever the corpus holds
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    plain = docs.select(*kept)
+    plain = docs.select(*(c for c in docs.columns if c not in ("score", "predicted")))
     added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, bias = shared.value
-        if name not in _scored:
-            _scored.clear()
-        known = _scored.setdefault(name, {})
+        known: dict[bytes, float] = kept(("quality", name), dict)
         for rows in row_slices(batches, "text", SLICE_BYTES):
             scores = []
             for text in rows.column(rows.schema.get_field_index("text")).to_pylist():

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, shuffle_partitions
+from .common import kept, row_slices, shuffle_partitions
 
 #: Odd base of the polynomial; 3 modulo 8, so that its powers differ in low bits.
 BASE = 0x9E3779B97F4A7C13
@@ -37,17 +37,14 @@ SLICE_BYTES = 4 << 20
 CACHED_WORDS = 400_000
 
 
-#: 64-bit hashes of words seen lately, for all tasks of a worker.
-_known: dict[bytes, int] = {}
-
-
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    new = set(words).difference(_known)
-    if len(_known) + len(new) > CACHED_WORDS:
-        _known.clear()
+    known: dict[bytes, int] = kept(("windows",), dict)
+    new = set(words).difference(known)
+    if len(known) + len(new) > CACHED_WORDS:
+        known.clear()
         new = set(words)
-    _known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def window_hashes(words: np.ndarray, window: int, base: int = BASE) -> np.ndarray:
@@ -167,11 +164,11 @@ def _removed(window: int, bits: int, keep: bool):
                 np.add.at(covered, starts + window, -1)
             gone = np.cumsum(covered[:-1]) > 0
             edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-            kept = b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x]) if len(edges) else b" ".join(words)
+            left = b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x]) if len(edges) else b" ".join(words)
             out["n_words"].append(len(words))
             out["n_removed"].append(int(gone.sum()))
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept.decode() if keep else None)
+            out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
+            out["kept"].append(left.decode() if keep else None)
             out["removed"].append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
         kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
         return pa.table([docs.column("doc_id"), *(pa.array(out[k], t) for k, t in kinds.items())], names=["doc_id", *kinds])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_slices, shared_folder, shuffle_partitions
+from .common import kept, row_slices, shared_folder, shuffle_partitions
 from .tree_bpe import CUT
 
 BLOCK, GROUP = 1024, 64
@@ -178,20 +178,19 @@ class Words(dict):
         return found
 
 
-_coders: dict[str, tuple[Words, Words]] = {}
-
-
 def _coder(path: str) -> tuple[Words, Words]:
     """The worker's encoded chunks, those that start a line and those after a space."""
-    if path not in _coders:
+
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         starts = Words(tokenizer, "")
-        _coders[path] = starts, Words(tokenizer, " ", starts)
-    return _coders[path]
+        return starts, Words(tokenizer, " ", starts)
+
+    return kept(("files", path), make)
 
 
 def encode_text(text: str, coder: tuple[Words, Words]) -> bytes:

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import kept, row_slices
 
 SLICE_BYTES = 4 << 20
 #: Encodings that a worker keeps: of pattern matches and chunks, of short halves, and of pairs of tokens.
@@ -167,15 +167,14 @@ def chunks(text: str) -> list[str]:
     return CUT.split(text)
 
 
-_coders: dict[tuple[str, str], tuple[TreeBPE, dict[str, bytes], list[bytes]]] = {}
-
-
 def _coder(path: str, pattern: str) -> tuple[TreeBPE, dict[str, bytes], list[bytes]]:
     """The worker's encoder, with the chunks it has encoded (as uint32 bytes) and the ids' decimal numbers."""
-    if (path, pattern) not in _coders:
+
+    def make():
         coder = TreeBPE(path, pattern)
-        _coders[path, pattern] = coder, {}, [b"%d" % i for i in range(max(coder.tokens) + 1)]
-    return _coders[path, pattern]
+        return coder, {}, [b"%d" % i for i in range(max(coder.tokens) + 1)]
+
+    return kept(("tree", path, pattern), make)
 
 
 def encode_ids(text: str, coder: TreeBPE, known: dict[str, bytes]) -> np.ndarray:
