@@ -21,6 +21,8 @@ its candidates; ties go to the smaller vec_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -60,50 +62,62 @@ def codes_of(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 class MultiIndex:
-    """Tables of a shard's substrings."""
+    """Tables of a shard's substrings: for each, its rows by key, the keys, and how many rows a key has."""
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.whole = codes, np.ascontiguousarray(codes).view(np.uint64)
         self.tables = []
         for column in codes.T:
             rows = np.argsort(column, kind="stable")
-            keys, starts = np.unique(column[rows], return_index=True)
-            self.tables.append((rows, keys, np.append(starts, len(rows))))
+            keys, counts = np.unique(column[rows], return_counts=True)
+            self.tables.append((rows, keys, counts))
+
+    def _probe(self, j: int, part: np.uint16, before: int, t: int, seen: np.ndarray) -> None:
+        """Marks the rows whose j-th substring is up to t bits off; those up to before are marked already."""
+        rows, keys, counts = self.tables[j]
+        done = _UP_TO[before] if before >= 0 else 0
+        if _UP_TO[t] - done < len(keys) // 8:  # look up the new probes, or else try each key
+            probes = np.sort(_MASKS[done : _UP_TO[t]] ^ part)
+            at = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
+            hit = np.zeros(len(keys), bool)
+            hit[at[keys[at] == probes]] = True
+        else:
+            hit = np.bitwise_count(keys ^ part) <= t
+        seen[rows[np.repeat(hit, counts)]] = True
+
+    def balls(self, code: np.ndarray, radius: int, step: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(radius, all rows whose codes differ from code in that many bits at most), the radius widening by step.
+
+        A table is probed again only when its share of the radius grows, and only as much further.
+        """
+        m, bits = len(self.tables), len(self.tables) * WORD
+        whole, reach = np.ascontiguousarray(code).view(np.uint64), [-1] * m
+        seen, apart = np.zeros(len(self.codes), bool), np.full(len(self.codes), bits + 1, np.int32)
+        while True:
+            radius = min(radius, bits)
+            near, more = divmod(radius, m)
+            for j in range(m):
+                t = min(near if j <= more else near - 1, WORD)
+                if t > reach[j]:
+                    self._probe(j, code[j], reach[j], t, seen)
+                    reach[j] = t
+            fresh = np.flatnonzero(seen & (apart > bits))
+            apart[fresh] = np.bitwise_count(self.whole[fresh] ^ whole).sum(axis=1, dtype=np.int32)
+            yield radius, np.flatnonzero(apart <= radius)
+            if radius == bits:
+                return
+            radius += step
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose codes differ from code in radius bits at most."""
-        m = len(self.tables)
-        near, more = divmod(radius, m)
-        seen = np.zeros(len(self.codes), bool)
-        for j, (rows, keys, starts) in enumerate(self.tables):
-            t = min(near if j <= more else near - 1, WORD)
-            if t < 0:
-                continue
-            if _UP_TO[t] < len(keys):  # look up each probe, or else try each key
-                probes = _MASKS[: _UP_TO[t]] ^ code[j]
-                at = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
-                at = at[keys[at] == probes]
-            else:
-                at = np.flatnonzero(_ONES[keys ^ code[j]] <= t)
-            for a, b in zip(starts[at].tolist(), starts[at + 1].tolist(), strict=True) if len(at) < 64 else ():
-                seen[rows[a:b]] = True
-            if len(at) >= 64:
-                open_ = np.zeros(len(rows) + 1, np.int32)
-                np.add.at(open_, starts[at], 1)
-                np.add.at(open_, starts[at + 1], -1)
-                seen[rows[np.cumsum(open_[:-1]) > 0]] = True
-        found = np.flatnonzero(seen)
-        apart = np.bitwise_count(self.whole[found] ^ np.ascontiguousarray(code).view(np.uint64)).sum(axis=1)
-        return found[apart <= radius]
+        return next(self.balls(code, radius, STEP))[1]
 
     def nearest(self, code: np.ndarray, candidates: int = CANDIDATES, radius: int = RADIUS, step: int = STEP) -> np.ndarray:
         """All rows within the first radius that has candidates of them, or every row."""
-        bits = self.codes.shape[1] * WORD
-        while True:
-            found = self.within(code, min(radius, bits))
-            if len(found) >= min(candidates, len(self.codes)) or radius >= bits:
-                return found
-            radius += step
+        for _, found in self.balls(code, radius, step):
+            if len(found) >= min(candidates, len(self.codes)):
+                break
+        return found
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
