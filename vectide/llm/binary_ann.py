@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import low_hash
+
 BITS, WORD = 256, 16
 SAMPLE, ROUNDS, SEED = 20_000, 20, 42
 SHARD_ROWS, QUERY_ROWS = 16_384, 2_048
@@ -141,7 +143,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, candidates: int =
         raise ValueError("the vectors have different lengths")
     if not shape["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    rows = base.where(low_hash("vec_id", sample, shape["n"])).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     some = np.array([r["v"] for r in rows])
     model = learn(some / np.linalg.norm(some, axis=1, keepdims=True), bits)
     shards, blocks = -(-shape["n"] // SHARD_ROWS), max(1, -(-shape["q"] // QUERY_ROWS))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def low_hash(key: str, size: int, total: int) -> Column:
+    """Holds for about four times size of total rows, by a hash of key; for all if there are fewer.
+
+    A sample of the size rows with the smallest hashes needs no others, so what its tasks send on
+    follows the sample, not the number of tasks.
+    """
+    share = min(1.0, 4 * size / max(1, total))
+    return F.xxhash64(key) <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+
+
 #: What a worker keeps between tasks for the operator it last ran.
 _kept: dict = {}
 

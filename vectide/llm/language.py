@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import low_hash, row_slices
 
 BUCKETS = 1 << 15
 #: Labelled documents of a language at most, taken by a hash of their doc_id, and how long they may be.
@@ -74,17 +74,13 @@ def train(texts: list[tuple[str, str | None]]) -> tuple[list[str], np.ndarray]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """The text model from docs' text and lang."""
-    marked = docs.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("h")).where(
-        F.col("lang").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= sample_chars)
-    )
-    # only the sample's texts are moved: its rows are found by their hash alone, then fetched
-    order = Window.partitionBy("lang").orderBy("h")
-    least = marked.select("lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).groupBy("lang").agg(F.max("h").alias("most"))
-    bounds = {r["lang"]: r["most"] for r in least.collect()}
+    named = docs.select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text")).where("lang is not null")
     picked = F.lit(False)
-    for lang, most in sorted(bounds.items()):
-        picked = picked | ((F.col("lang") == lang) & (F.col("h") <= most))
-    rows = marked.where(picked).orderBy("h").limit(sample * max(1, len(bounds))).select("lang", "text").collect()
+    for r in named.groupBy("lang").count().collect():
+        picked = picked | ((F.col("lang") == r["lang"]) & low_hash("doc_id", sample, r["count"]))
+    short = named.where(picked & (F.coalesce(F.length("text"), F.lit(0)) <= sample_chars))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
+    rows = short.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).orderBy("lang", "n").collect()
     return train([(r["lang"], r["text"]) for r in rows])
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, row_slices
+from .common import kept, low_hash, row_slices
 
 BUCKETS, DIMENSIONS = 1 << 16, 16
 GRAMS = (1, 2, 3, 4)
@@ -104,7 +104,8 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, float]:
     """The model from labelled rows of docs that aren't held out; at most sample of them."""
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    some = marked.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    open_ = marked.where(~held_out())
+    some = open_.where(low_hash("doc_id", sample, open_.count())).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= sample_chars)
     # some has sample rows at most, and documents may repeat
     rows = texts.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).collect()

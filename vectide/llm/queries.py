@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ann, language, licenses, positional_index, quality, secrets, simhash, substring_dedup, token_files, tree_bpe
+from . import binary_ann, language, licenses, positional_index, quality, secrets, simhash, sql, substring_dedup, token_files, tree_bpe
 from .common import read
 
 
@@ -69,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language_id,
     )
 }
-SQL: dict[str, str] = {}
+#: The others are tested against brute force, round trips or held-out labels.
+SQL: dict[str, str] = {"op4_benchmark_decontamination": sql.OP4, "op5_substring_dedup": sql.OP5}
