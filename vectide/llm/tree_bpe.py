@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, row_slices
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Encodings that a worker keeps: of pattern matches and chunks, of short halves, and of pairs of tokens.
 KEPT, KEPT_HALVES, SHORT = 400_000, 300_000, 8
 
@@ -204,12 +204,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         for rows in row_slices(batches, "text", SLICE_BYTES):
             out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             for text in rows.column(1).to_pylist():
-                ids = encode_ids(text or "", coder, known).tolist()
+                numbers = encode_ids(text or "", coder, known)
+                ids = numbers.tolist()
                 decoded = coder.decode(ids)
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(b",".join(map(decimals.__getitem__, ids))).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
-                out["ids"].append(ids if keep_ids else None)
+                out["ids"].append(numbers.view(np.int32) if keep_ids else None)
                 out["decoded"].append(decoded.decode() if keep_text else None)
             kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(out[k], t) for k, t in kinds.items())], names=["doc_id", *kinds])
