@@ -216,6 +216,9 @@ def test_contamination_odd(spark):
     assert rows_of(positional_index.flags(docs, table), *FLAGS) == want
     several = positional_index.contamination(docs, table, item_bytes=20)
     assert rows_of(several.select("doc_id", "n_words", positional_index.covered().alias("n")), "doc_id", "n_words", "n") == sorted((x[:3] for x in want), key=str)
+    twice = spark.createDataFrame([(1, "cde f"), (1, "cde g"), (1, "cde g"), (None, "x y")], "doc_id long, text string")
+    hits = positional_index.contamination(twice, table, item_bytes=20).select("doc_id", positional_index.covered().alias("n"))
+    assert rows_of(hits, "doc_id", "n") == sorted([(1, 2), (1, 0), (1, 0), (None, 0)], key=str)
     assert positional_index.flags(docs, table.where("false")).where("contaminated").count() == 0
     assert positional_index.flags(empty_docs(spark), table).count() == 0
 

@@ -185,20 +185,22 @@ def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list], terms: dict
     return index.mapInArrow(run, f"doc_id {id_type}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
-def _item_blocks(items: DataFrame, item_bytes: int) -> Iterator[list[tuple]]:
-    """Test items in lists of at most about item_bytes of text."""
+def _item_blocks(items: DataFrame, item_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many lists of at most about item_bytes of text the test items make, and these lists."""
     items = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = -(-size // item_bytes) or 1
-    for i in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) for i in range(blocks))
+    return blocks, ([(r["item_id"], r["text"]) for r in part.collect()] for part in parts)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items) of every document, over all test items."""
     rounds = []
-    for part in _item_blocks(items, item_bytes):
+    blocks, parts = _item_blocks(items, item_bytes)
+    if blocks > 1:  # rows of one doc_id may have different texts, which must not lend each other their hits
+        docs = docs.select(F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("key")).alias("doc_id"), "text")
+    for part in parts:
         phrases = phrases_of(part, window)
         terms = {w: i for i, w in enumerate(sorted({w for p in phrases for w in p}))}
         gap = max(window, slop + 1)
@@ -206,7 +208,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
         rounds.append(search(index, phrases, terms, slop, gap))
     if len(rounds) == 1:
         return rounds[0]
-    # each round has each row once: rows of one document, repeated ones too, meet by a running number
+    # each round has each row once: rows of one doc_id and text meet, and come out as often as they came in
     keyed = []
     for number, found in enumerate(rounds):
         keyed.append(found.withColumn("round", F.lit(number)))
@@ -219,7 +221,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     return merged.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
-        "doc_id", "n_words", "spans", "items"
+        "doc_id.doc_id", "n_words", "spans", "items"
     )
 
 
