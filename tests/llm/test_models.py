@@ -167,6 +167,30 @@ def test_ann_odd(spark):
         binary_ann.search(table.unionByName(spark.createDataFrame([(9, [1.0], "x")], table.schema)), query)
 
 
+def test_ann_ties_across_shards(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 48)).astype(np.float32)
+    for i in range(0, 50, 10):
+        x[rng.choice(700, 12, replace=False)] = x[i] + rng.normal(size=48) / 50
+    monkeypatch.setattr(binary_ann, "SHARD_ROWS", 60)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = binary_ann.search(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    by_id = {}
+    for r in found:
+        by_id.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    y = x.astype(np.float64)
+    norms = np.linalg.norm(y, axis=1)
+    same = {v.tobytes(): [] for v in x}
+    for i, v in enumerate(x):
+        same[v.tobytes()].append(i)
+    assert any(len(s) > 5 for s in same.values()) and len(by_id) == 14
+    for q, rows in by_id.items():
+        exact = (y * y[q]).sum(axis=1) / (norms * norms[q])
+        assert rows == sorted(rows) and all(-s == exact[i] for s, i in rows)
+        for _, i in rows:  # of equal vectors the smaller ids come first
+            assert {j for j in same[x[i].tobytes()] if j < i and j != q} <= {j for _, j in rows}
+
+
 # language
 
 def test_languages(spark, sf_dir):
@@ -197,5 +221,7 @@ def test_languages_odd(spark):
     by = {r["page_id"]: r["lang"] for r in found}
     assert by[1] == "de" and by[2] == by[5] == "en" and by[3] in ("de", "en")
     assert language.identify(pages.where("false"), docs).count() == 0
-    with pytest.raises(ValueError, match="labelled"):
-        language.identify(pages, docs.where("false"))
+    for none in (docs.where("false"), docs.where("lang is null")):
+        bare = language.identify(pages, none).collect()
+        assert len(bare) == 6 and {(r["lang"], r["probability"], r["addressed"]) for r in bare} == {(None, None, "")}
+        assert {r["host"] for r in bare} == {r["host"] for r in found}

@@ -162,7 +162,8 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, candidates: int =
             for i, code in enumerate(codes_of(y / own[:, None], model)):
                 found = index.nearest(code, candidates)
                 found = found[ids[found] != queries[i]]
-                score = x[found] @ y[i] / (norms[found] * own[i])
+                # row by row in one order, so that equal vectors get equal scores in every shard
+                score = (x[found] * y[i]).sum(axis=1) / (norms[found] * own[i])
                 best = np.lexsort((ids[found], -score))[:k]
                 out["query_id"] += [queries[i]] * len(best)
                 out["vec_id"] += ids[found[best]].tolist()

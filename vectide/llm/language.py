@@ -12,7 +12,8 @@ A hot host costs one row a task before the shuffle; its pages meet its sums by a
 whose skew Spark splits.
 
 Defined results: null and empty pages have no text and rest on the other evidence; null urls
-have the empty host; an empty table of documents raises ValueError; rows repeat as given.
+have the empty host; without labelled documents there is no language to tell, so lang and
+probability are null and addressed is empty; rows repeat as given.
 """
 
 from __future__ import annotations
@@ -63,8 +64,6 @@ def trigrams_of(text: str) -> Counter:
 def train(texts: list[tuple[str, str | None]]) -> tuple[list[str], np.ndarray]:
     """Languages, and each one's log probabilities of the buckets."""
     languages = sorted({lang for lang, _ in texts})
-    if not languages:
-        raise ValueError("there are no labelled documents")
     counts = np.full((len(languages), BUCKETS), 0.1)
     for lang, text in texts:
         own = trigrams_of(text or "")
@@ -132,6 +131,9 @@ def identify(pages: DataFrame, docs: DataFrame, model: tuple[list[str], np.ndarr
     model = model or fit(docs)
     languages = model[0]
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    if not languages:
+        bare = likelihoods(pages, model).withColumn("host", host)
+        return bare.select("page_id", "host", "declared", F.lit("").alias("addressed"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"))
     suffix = F.regexp_extract("host", r"\.([a-z]{2})$", 1)
     part = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1))
     addressed = F.when(suffix.isin(*languages), suffix).when(part.isin(*languages), part).otherwise(F.lit(""))
