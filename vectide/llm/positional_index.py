@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, row_slices
 
 WINDOW = 10
-#: Words of a shard, and bytes of test items of one round, at most about so many.
+#: Words of a shard, and bytes of test items of one round, at most about so many. A window takes
+#: about a kilobyte as a plan, in the driver and in each worker, so these are some 400 MB.
 SHARD_WORDS = 2_000_000
-ITEM_BYTES = 16 << 20
+ITEM_BYTES = 2 << 20
 SLICE_BYTES = 4 << 20
 
 #: Letters go to lower case; of ASCII only letters and digits make words.
