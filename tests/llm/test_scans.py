@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -88,25 +89,38 @@ def test_battery_tells_random_from_prose(spark):
     assert len([i for i in found if i >= 400]) >= 34
 
 
+def nearest_template(part):
+    grams = licenses.bigrams_of(licenses.words_of(part))
+    found = []
+    for name, notice in licenses.TEMPLATES:
+        own = licenses.bigrams_of(licenses.words_of(notice))
+        dice = 2 * len(set(grams) & set(own)) / (len(grams) + len(own))
+        if grams and dice >= licenses.THRESHOLD:
+            found.append((-dice, name))
+    return min(found, default=None)
+
+
 def plain_licences(text):
-    out = []
-    for line in (text or "").split("\n"):
-        grams = licenses.bigrams_of(licenses.words_of(line))
-        best = None
-        for name, notice in licenses.TEMPLATES:
-            own = licenses.bigrams_of(licenses.words_of(notice))
-            dice = 2 * len(set(grams) & set(own)) / (len(grams) + len(own))
-            if grams and dice >= licenses.THRESHOLD and (best is None or (-dice, name) < best):
-                best = (-dice, name)
-        if best:
-            out.append(best)
-    return out
+    lines = (text or "").split("\n")
+    alone = [nearest_template(line) for line in lines]
+    out, runs = [b for b in alone if b], set()
+    rare = re.compile("(?i)(?<![a-z0-9])(?:" + "|".join(licenses.anchors(licenses.TEMPLATES, licenses.THRESHOLD)) + ")(?![a-z0-9])")
+    for at, line in enumerate(lines):
+        if alone[at] is None and rare.search(line):
+            own = []
+            for n in range(2, licenses.WRAP + 1):
+                for first in range(max(0, at - n + 1), min(at, len(lines) - n) + 1):
+                    if not any(alone[first : first + n]) and (b := nearest_template(" ".join(lines[first : first + n]))):
+                        own.append((*b, n, first))
+            if own:
+                runs.add(min(own))
+    return out + [r[:2] for r in runs]
 
 
 def check_licences(rows, texts):
     for r in rows:
         want = plain_licences(texts[r["doc_id"]])
-        assert r["n_lines"] == len(want)
+        assert r["n_notices"] == len(want)
         assert r["found"] == ",".join(sorted({n for _, n in want}))
         if want:
             assert r["licence"] == min(want)[1] and abs(r["dice"] + min(want)[0]) < 1e-6
@@ -117,7 +131,7 @@ def check_licences(rows, texts):
 def test_licences(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in read(spark, sf_dir, "documents").collect()}
     rows = queries.op8_license_scan(spark, sf_dir).collect()
-    assert len(rows) == len(texts) and any(r["n_lines"] for r in rows)
+    assert len(rows) == len(texts) and any(r["n_notices"] for r in rows)
     check_licences(rows, texts)
     rng, odd = random.Random(2), [None, "", "\n\n", "All rights reserved", "all Rights, RESERVED!\nLicensed under CC BY 4.0", "# Released under MIT License", "rights " * 500]
     for _, notice in licenses.TEMPLATES:
@@ -126,10 +140,12 @@ def test_licences(spark, sf_dir):
             changed = [w for w in words if rng.random() > 0.1]
             changed.insert(rng.randrange(len(changed) + 1), "extra")
             odd.append("prose before\n" + " ".join(changed) + "\nprose after")
+            if len(words) > 8:
+                odd.append("prose before\n\n" + "\n".join(textwrap.wrap(" ".join(changed), len(notice) // 3)) + "\n\nAll rights reserved.\nprose after")
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(odd)], "doc_id long, text string, l string")
     rows = licenses.scan(docs).collect()
     check_licences(rows, dict(enumerate(odd)))
-    assert sum(r["n_lines"] > 0 for r in rows) > 40
+    assert sum(r["n_notices"] > 0 for r in rows) > 100
     assert licenses.scan(docs.where("false")).count() == 0
 
 

@@ -36,6 +36,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def let(value: Column, body: Callable) -> Column:
+    """body of value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def low_hash(key: str, size: int, total: int) -> Column:
     """Holds for about four times size of total rows, by a hash of key; for all if there are fewer.
 

@@ -6,6 +6,9 @@ other templates are not compared. It also needs so many of a template's bigrams
 rest of them is touched: so each template has a few words (its rarest, taken as the longest) of
 which one must stand in the line, and one pattern of all those words passes over the texts first.
 
+A notice may be wrapped: a line with such a word that no template fits alone belongs to the best
+run of 2 to WRAP lines that holds it, as long as none of the run's lines has a licence alone.
+
 Defined results: null and empty texts have no licences; ties go to the smaller licence name;
 rows repeat as given.
 """
@@ -18,7 +21,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 THRESHOLD = 0.8
+#: Lines that a notice may be wrapped over.
+WRAP = 5
 
 # Notices by which texts name their licence.
 TEMPLATES = (
@@ -86,8 +93,11 @@ def anchors(templates, threshold: float) -> list[str]:
     return sorted(found)
 
 
-def licences(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES) -> Column:
-    """array of (dice, licence, line) of a text's lines, by line; each line with its best licence."""
+FOUND = "array<struct<dice:double,licence:string,line:int,last:int>>"
+
+
+def licences(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES, wrap: int = WRAP) -> Column:
+    """array of (dice, licence, line, last) of a text's notices: from which line to which, by line, each with its best licence."""
     rare = "(?i)(?<![a-z0-9])(?:" + "|".join(anchors(templates, threshold)) + ")(?![a-z0-9])"
     known = []
     for name, notice in templates:
@@ -96,11 +106,11 @@ def licences(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES) ->
         known.append((name, grams, low, high))
     table = F.array(*(F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for n, g, lo, hi in known))
     longest = max(hi for *_, hi in known) + 1
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(line.alias("text"), i.alias("line")))
-    hits = F.filter(lines, lambda x: x["text"].rlike(rare))
+    #: how many lines a run has, and how many of them stand before the line in question
+    runs = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(k).alias("back")) for n in range(2, wrap + 1) for k in range(n)))
 
-    def judge(x: Column) -> Column:
-        words = F.filter(F.split(F.lower(x["text"]), "[^a-z0-9]+"), lambda w: w != "")
+    def best(part: Column) -> Column:
+        """(minus, licence) of the template nearest to a part of the text, or null."""
 
         def scored(ws: Column) -> Column:
             n = F.size(ws) - 1
@@ -108,21 +118,42 @@ def licences(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES) ->
             numbered = F.transform(pairs, lambda p, i: F.concat_ws(" ", p, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda q: q == p)).cast("string")))
             fitting = F.filter(table, lambda t: (n >= t["low"]) & (n <= t["high"]))
             dice = F.transform(fitting, lambda t: F.struct((-2.0 * F.size(F.array_intersect(numbered, t["grams"])) / (n + F.size(t["grams"]))).alias("minus"), t["name"].alias("licence")))
-            best = F.array_min(F.filter(dice, lambda d: d["minus"] <= -threshold))
-            return F.when((n >= 1) & (n <= longest), best)
+            return F.when((n >= 1) & (n <= longest), F.array_min(F.filter(dice, lambda d: d["minus"] <= -threshold)))
+
+        return let(F.filter(F.split(F.lower(part), "[^a-z0-9]+"), lambda w: w != ""), scored)
+
+    def notices(lines: Column, judged: Column) -> Column:
+        def wrapped(x: Column, at: Column) -> Column:
+            def free(r: Column) -> Column:
+                first = at - r["back"]
+                inside = (first >= 0) & (first + r["n"] <= F.size(lines))
+                return F.when(inside, ~F.exists(F.slice(judged, first + 1, r["n"]), lambda y: y["best"].isNotNull())).otherwise(False)
+
+            def scored(r: Column) -> Column:
+                first = at - r["back"]
+                joined = F.array_join(F.slice(lines, first + 1, r["n"]), " ")
+                return let(best(joined), lambda b: F.when(b.isNotNull(), F.struct(b["minus"].alias("minus"), b["licence"].alias("licence"), r["n"].alias("n"), first.alias("line"))))
+
+            own = F.filter(F.transform(F.filter(runs, free), scored), lambda w: w.isNotNull())
+            return F.when(x["hit"] & x["best"].isNull(), F.array_min(own))
+
+        whole = F.filter(F.transform(judged, lambda x, i: F.when(x["best"].isNotNull(), F.struct(x["best"]["minus"].alias("minus"), x["best"]["licence"].alias("licence"), F.lit(1).alias("n"), i.alias("line")))), lambda w: w.isNotNull())
+        parts = F.array_distinct(F.filter(F.transform(judged, wrapped), lambda w: w.isNotNull()))
+        placed = F.transform(F.concat(whole, parts), lambda w: F.struct(w["line"].alias("line"), (w["line"] + w["n"] - 1).alias("last"), (-w["minus"]).alias("dice"), w["licence"].alias("licence")))
+        return F.transform(F.array_sort(placed), lambda w: F.struct(w["dice"].alias("dice"), w["licence"].alias("licence"), w["line"].alias("line"), w["last"].alias("last")))
 
-        best = F.transform(F.array(words), scored)[0]
-        return F.transform(F.array(best), lambda b: F.struct((-b["minus"]).alias("dice"), b["licence"].alias("licence"), x["line"].alias("line")))[0]
+    def judge(t: Column) -> Column:
+        return let(t.rlike(rare), lambda hit: F.struct(hit.alias("hit"), F.when(hit, best(t)).alias("best")))
 
-    found = F.filter(F.transform(hits, judge), lambda f: f["licence"].isNotNull())
-    return F.when(text.rlike(rare), found).otherwise(F.array().cast("array<struct<dice:double,licence:string,line:int>>"))
+    found = let(F.split(text, "\n"), lambda lines: let(F.transform(lines, judge), lambda judged: notices(lines, judged)))
+    return F.when(text.rlike(rare), found).otherwise(F.array().cast(FOUND))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """(doc_id, n_lines, licence, dice, found) of every row of docs: lines with a licence, the best one's name and score, and all names, sorted."""
+    """(doc_id, n_notices, licence, dice, found) of every row of docs: how many notices, the best one's licence and score, and all licences, sorted."""
     found = docs.select("doc_id", licences(F.coalesce(F.col("text").cast("string"), F.lit("")), threshold, templates).alias("l"))
-    best = F.transform(F.array(F.array_min(F.transform("l", lambda f: F.struct((-f["dice"]).alias("minus"), f["licence"].alias("licence"))))), lambda b: b)[0]
+    best = let(F.array_min(F.transform("l", lambda f: F.struct((-f["dice"]).alias("minus"), f["licence"].alias("licence")))), lambda b: b)
     return found.select(
-        "doc_id", F.size("l").cast("long").alias("n_lines"), best["licence"].alias("licence"), F.round(-best["minus"], 6).alias("dice"),
+        "doc_id", F.size("l").cast("long").alias("n_notices"), best["licence"].alias("licence"), F.round(-best["minus"], 6).alias("dice"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("l", lambda f: f["licence"]))), ",").alias("found"),
     )

@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: Kinds in their order; pattern, and how long the group has to be.
 BASE = (("assign", ASSIGN, 1, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
@@ -40,11 +42,6 @@ LEVELS, LENGTHS, RATE = 20, 24, 0.05
 CHUNK = 256
 
 
-def let(value: Column, body) -> Column:
-    """body of value, which is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def before(lengths: Column) -> Column:
     """For each length, the sum of all lengths before it; chunk by chunk, so not in square time."""
     total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s + x)
