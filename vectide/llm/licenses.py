@@ -5,6 +5,7 @@ each template. A score of THRESHOLD needs sizes within the ratio that the coeffi
 other templates are not compared. It also needs so many of a template's bigrams that any larger
 rest of them is touched: so each template has a few words (its rarest, taken as the longest) of
 which one must stand in the line, and one pattern of all those words passes over the texts first.
+Texts that hold such a word pass on if they also hold one of the pairs chosen in the same way.
 
 A notice may be wrapped: a line with such a word that no template fits alone belongs to the best
 run of 2 to WRAP lines that holds it, as long as none of the run's lines has a licence alone.
@@ -93,12 +94,24 @@ def anchors(templates, threshold: float) -> list[str]:
     return sorted(found)
 
 
+def pair_anchors(templates, threshold: float) -> list[tuple[str, str]]:
+    """Pairs of neighbouring words, some of which any part of a text has that reaches the threshold with a template."""
+    found = set()
+    for _, text in templates:
+        pairs = [tuple(g.split(" ")[:2]) for g in bigrams_of(words_of(text))]
+        low, _ = bounds(len(pairs), threshold)
+        shared = math.ceil(threshold / 2 * (len(pairs) + low) - 1e-9)
+        found.update(sorted(pairs, key=lambda p: (-len(p[0]) - len(p[1]), p))[: len(pairs) - shared + 1])
+    return sorted(found)
+
+
 FOUND = "array<struct<dice:double,licence:string,line:int,last:int>>"
 
 
 def licences(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES, wrap: int = WRAP) -> Column:
     """array of (dice, licence, line, last) of a text's notices: from which line to which, by line, each with its best licence."""
     rare = "(?i)(?<![a-z0-9])(?:" + "|".join(anchors(templates, threshold)) + ")(?![a-z0-9])"
+    close = "(?i)(?<![a-z0-9])(?:" + "|".join("[^a-z0-9]+".join(p) for p in pair_anchors(templates, threshold)) + ")(?![a-z0-9])"
     known = []
     for name, notice in templates:
         grams = bigrams_of(words_of(notice))
@@ -146,7 +159,7 @@ def licences(text: Column, threshold: float = THRESHOLD, templates=TEMPLATES, wr
         return let(t.rlike(rare), lambda hit: F.struct(hit.alias("hit"), F.when(hit, best(t)).alias("best")))
 
     found = let(F.split(text, "\n"), lambda lines: let(F.transform(lines, judge), lambda judged: notices(lines, judged)))
-    return F.when(text.rlike(rare), found).otherwise(F.array().cast(FOUND))
+    return F.when(text.rlike(rare) & text.rlike(close), found).otherwise(F.array().cast(FOUND))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
