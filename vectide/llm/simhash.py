@@ -184,11 +184,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, seed:
     )
 
 
+def keep_rows(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id names a component, one row of each; those without a doc_id stay."""
+    kept = components.where("doc_id = component_id").select("doc_id").distinct()
+    numbered = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return numbered.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs whose doc_id is the smallest of its component, one row of each component.
 
     Rows that repeat a doc_id stay out but for one; documents without a doc_id stay.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), **options).where("doc_id = component_id").select("doc_id").distinct()
-    numbered = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return numbered.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    return keep_rows(docs, near_duplicates(docs.select("doc_id", "text"), **options))
