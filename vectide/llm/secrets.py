@@ -7,11 +7,16 @@ uniform alphabet (chi-squared), for runs above and below the alphabet's middle,
 correlation. The smallest of the three probabilities, corrected for three tries, is the token's
 randomness: even over 0 to 1 for random tokens, near 0 for words, the nearer the longer.
 
-False discoveries are held down by length: tokens without a digit or without a letter are
-decoys, and for each encoding and class of length the lowest randomness is taken at which
-decoys' share (of this class and the shorter ones), times the class's other tokens, is at most
-RATE of those found. Classes and levels are few, so this table is collected and goes back as a
-literal; the texts are scanned once for it and once for the result, without a shuffle of rows.
+False discoveries are held down by length. Random tokens are even over randomness, so those that
+pass a level tell how many of a class are random and how many are not. Tokens without a digit or
+without a letter are decoys, which tell what share of the others that are not random passes; the
+decoys that random tokens make by chance are taken off, and a share that was measured on source
+code stands in as far as there are no decoys. For each encoding and class of length the lowest
+level is taken at which this share of the tokens that are not random is at most RATE of those
+found. Long decoys have a level of their own, by the fixed share. All this hangs on shares of
+tokens, never on their number. Classes and levels are few, so this table is collected and goes
+back as a literal; the texts are scanned once for it and once for the result, without a shuffle
+of rows.
 
 Spans are in characters (code points), the end exclusive. Defined results: null texts are
 empty; without any span the joined string is empty; rows repeat as given.
@@ -38,6 +43,14 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 LEVELS, LENGTHS, RATE = 20, 24, 0.05
+#: Share of source code's decoys that pass the first level, by class of length (8: 20 to 22, 9: 23 to 31, then all): CPython's library.
+PRIOR = {8: 0.18, 9: 0.03, 10: 0.002}
+#: So many decoys for each token are taken to have passed at PRIOR's rate.
+WEIGHT = 0.05
+#: From this class of length on (32 characters) decoys can be found as well.
+LONG = 10
+#: What is added to the class of a decoy.
+DECOY = len(ALPHABETS) * LENGTHS
 #: Lengths that are summed in one go.
 CHUNK = 256
 
@@ -137,23 +150,51 @@ def tokens(text: Column) -> Column:
     return F.transform(matches(text, TOKEN, 0), judge)
 
 
-def least_levels(docs: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """For each class, the lowest level that counts as random."""
-    found = docs.select(F.explode(tokens(F.col("text").cast("string"))).alias("t")).groupBy("t.class", "t.level", "t.decoy").count()
-    decoys, others = {}, {}
+def prior(c: int, level: int) -> float:
+    """Share of tokens of a class that are not random but pass the level."""
+    return PRIOR[min(max(c % LENGTHS, min(PRIOR)), max(PRIOR))] * (1 - level / LEVELS) ** 2
+
+
+def lowest(counts: list[float], share) -> int | None:
+    """The lowest level at which false ones are at most RATE of those found; share(level) of those not random pass."""
+    n = sum(counts)
+    for level in range(1, LEVELS):
+        found, even, false = sum(counts[level:]), 1 - level / LEVELS, share(level)
+        other = n if false >= even else min(n, max(0.0, (n * even - found) / (even - false)))
+        if found and other * false <= RATE * found:
+            return level
+    return None
+
+
+def least_levels(docs: DataFrame) -> dict[int, int]:
+    """For each class, the lowest level that counts as random; decoys' classes are DECOY more."""
+    # decoys that random tokens make, for each one that isn't a decoy
+    letters = F.element_at(F.array(*(F.lit(sum(not x.isdigit() for x in a) / len(a)) for a in ALPHABETS.values())), F.expr(f"cast(t.class div {LENGTHS} as int) + 1"))
+    chance = let(F.pow(letters, F.col("t.end") - F.col("t.start")), lambda q: q / (1.0 - q))
+    found = docs.select(F.explode(tokens(F.col("text").cast("string"))).alias("t")).groupBy("t.class", "t.level", "t.decoy").agg(F.count("*").alias("n"), F.sum(chance).alias("chance"))
+    decoys, others, by_chance = {}, {}, {}
     for r in found.collect():  # classes x levels rows
-        (decoys if r["decoy"] else others).setdefault(r["class"], [0] * LEVELS)[r["level"]] += r["count"]
+        (decoys if r["decoy"] else others).setdefault(r["class"], [0] * LEVELS)[r["level"]] += r["n"]
+        if not r["decoy"]:
+            by_chance.setdefault(r["class"], [0.0] * LEVELS)[r["level"]] += r["chance"]
     least = {}
+    for c, counts in decoys.items():
+        if c % LENGTHS >= LONG and (level := lowest(counts, lambda at: prior(c, at))):  # noqa: B023
+            least[c + DECOY] = level
     for c, counts in others.items():
-        alike = [d for k, d in decoys.items() if k // LENGTHS == c // LENGTHS and k <= c]
-        everyone = sum(map(sum, alike))
-        for level in range(1, LEVELS):
-            passing = sum(sum(d[level:]) for d in alike)
-            # before any decoy is seen, one in twenty is taken to pass
-            false = (passing + 1) / (everyone + 20) * sum(counts)
-            if sum(counts[level:]) and false <= rate * sum(counts[level:]) + 1:
-                least[c] = level
-                break
+        alike = [k for k in decoys.keys() | others.keys() if k // LENGTHS == c // LENGTHS and k <= c]
+        everyone = sum(sum(decoys.get(k, ())) for k in alike)
+
+        def share(level: int) -> float:
+            passing = 0.0
+            for k in alike:  # noqa: B023
+                passed = sum(decoys.get(k, [0])[level : least.get(k + DECOY, LEVELS)])
+                passing += max(0.0, passed - sum(by_chance.get(k, [0.0])[level:]))
+            pseudo = WEIGHT * sum(counts)  # noqa: B023
+            return (passing + pseudo * prior(c, level)) / (everyone + pseudo)  # noqa: B023
+
+        if level := lowest(counts, share):
+            least[c] = level
     return least
 
 
@@ -182,8 +223,8 @@ def scan(docs: DataFrame, levels: dict[int, int] | None = None) -> DataFrame:
         def good(t: Column) -> Column:
             enough = F.lit(False)
             for c, level in sorted(levels.items()):
-                enough = enough | ((t["class"] == c) & (t["level"] >= level))
-            return enough & ~t["decoy"] & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+                enough = enough | ((t["class"] == c % DECOY) & (t["decoy"] == (c >= DECOY)) & (t["level"] >= level))
+            return enough & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
 
         added = F.transform(F.filter(tokens(text), good), lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("kind"), t["end"].alias("end"), F.lit(RANDOM).alias("name")))
         return F.array_sort(F.concat(base, added))
