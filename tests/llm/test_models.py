@@ -129,14 +129,21 @@ def plain_nearest(ids, x, k, every):
     return out
 
 
-def test_ann_recall(spark):
-    vectors = read(spark, "/root/testdata/check_s", "embeddings")
-    rows = vectors.select("vec_id", "embedding").toPandas()
-    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
+def drawn_vectors(kind, n, seed=0, size=64):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, size))
+    if kind == "clustered":
+        x = rng.normal(size=(n // 50, size))[rng.integers(0, n // 50, n)] + 0.25 * x
+    return x.astype(np.float32)
+
+
+def as_table(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+def check_recall(found, ids, x):
     want = plain_nearest(ids, x, 5, 50)
-    found = queries.op2_multi_index_ann(spark, "/root/testdata/check_s").collect()
-    got = {}
-    at = {v: i for i, v in enumerate(ids.tolist())}
+    got, at = {}, {v: i for i, v in enumerate(ids.tolist())}
     for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
         a, b = x[at[r["query_id"]]], x[at[r["vec_id"]]]
@@ -145,19 +152,60 @@ def test_ann_recall(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
 
 
+def test_ann_recall_of_the_table(spark):
+    vectors = read(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = vectors.select("vec_id", "embedding").toPandas()
+    found = queries.op2_multi_index_ann(spark, "/root/testdata/sf0.1").collect()
+    check_recall(found, rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float))
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_ann_recall(spark, kind):
+    x = drawn_vectors(kind, 16_384)
+    table = as_table(spark, x)
+    for rows in (1 << 17, 1000):  # one slice a table, and 32 of them
+        found = binary_ann.search(table, F.col("vec_id") % 50 == 0, table_rows=rows).collect()
+        check_recall(found, np.arange(len(x)), x.astype(float))
+
+
+def test_few_rows_are_probed():
+    x = drawn_vectors("clustered", 16_384).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = binary_ann.codes_of(x, binary_ann.learn(x[:4000]))
+    slices = [binary_ann.Slice(j, codes) for j in range(binary_ann.TABLES)]
+    least, total = binary_ann.least_cosines(), 0
+    for i in range(0, 4000, 100):
+        level = binary_ann.level_for(float(np.sort(x @ x[i])[-6]), least)
+        total += sum(len(s.probe(codes[i], level)[0]) for s in slices)
+    assert total <= 0.05 * 40 * len(x)
+
+
 def test_multi_index_finds_the_whole_ball():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 1 << 16, (3000, 4)).astype("<u2")
     codes[:800] = codes[0] ^ (1 << rng.integers(0, 16, (800, 4))).astype("<u2") * (rng.random((800, 4)) < 0.5)
-    index = binary_ann.MultiIndex(codes)
-    for radius in (0, 1, 2, 3, 4, 9, 20, 26, 31):
+    slices = [binary_ann.Slice(j, codes) for j in range(4)]
+    for level in (0, 1, 2, 3, 5, 16):
         for i in (0, 5, 1500):
             apart = np.bitwise_count(codes ^ codes[i]).sum(axis=1)
-            assert (np.sort(index.within(codes[i], radius)) == np.flatnonzero(apart <= radius)).all()
+            found = [s.probe(codes[i], level) for s in slices]
+            rows, bits = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            assert len(set(rows.tolist())) == len(rows) and (bits == apart[rows]).all()
+            assert set(np.flatnonzero(apart <= 4 * (level + 1) - 1).tolist()) <= set(rows.tolist())
+
+
+def test_ann_of_many_copies(spark):
+    x = drawn_vectors("random", 3000, 9, 8)
+    x[:1000], x[1000:1040] = x[0], x[0] * 2
+    found = binary_ann.search(as_table(spark, x), F.col("vec_id") % 50 == 0, table_rows=500).collect()
+    by = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(by) == 60 and by[0] == [1, 2, 3, 4, 5] and by[50] == [0, 1, 2, 3, 4]
 
 
 def test_ann_odd(spark):
-    rows = [(0, [1.0, 0.0], "x"), (50, [0.0, 2.0], "x"), (1, [1.0, 1.0], "x"), (2, [2.0, 2.0], "x"), (3, None, "x"), (4, [0.0, 0.0], "x"), (5, [float("nan"), 1.0], "x"), (6, [None, 1.0], "x"), (7, [float("inf"), 1.0], "x"), (None, [1.0, 0.0], "x"), (8, [], "x")]
+    rows = [(0, [1.0, 0.0], "x"), (50, [0.0, 2.0], "x"), (1, [1.0, 1.0], "x"), (2, [2.0, 2.0], "x"), (3, None, "x"), (4, [0.0, 0.0], "x"), (5, [float("nan"), 1.0], "x"), (6, [None, 1.0], "x"), (7, [float("inf"), 1.0], "x"), (None, [1.0, 0.0], "x"), (8, [], "x"), (1, [1.0, 1.0], "again")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     query = F.col("vec_id") % 50 == 0
     found = [(r["query_id"], r["rank"], r["vec_id"]) for r in binary_ann.search(table, query).orderBy("query_id", "rank").collect()]
@@ -167,14 +215,13 @@ def test_ann_odd(spark):
         binary_ann.search(table.unionByName(spark.createDataFrame([(9, [1.0], "x")], table.schema)), query)
 
 
-def test_ann_ties_across_shards(spark, monkeypatch):
+def test_ann_ties_across_slices(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 48)).astype(np.float32)
     for i in range(0, 50, 10):
         x[rng.choice(700, 12, replace=False)] = x[i] + rng.normal(size=48) / 50
-    monkeypatch.setattr(binary_ann, "SHARD_ROWS", 60)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    found = binary_ann.search(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    found = binary_ann.search(table, F.col("vec_id") % 50 == 0, table_rows=60).orderBy("query_id", "rank").collect()
     by_id = {}
     for r in found:
         by_id.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
@@ -186,7 +233,7 @@ def test_ann_ties_across_shards(spark, monkeypatch):
     assert any(len(s) > 5 for s in same.values()) and len(by_id) == 14
     for q, rows in by_id.items():
         exact = (y * y[q]).sum(axis=1) / (norms * norms[q])
-        assert rows == sorted(rows) and all(-s == exact[i] for s, i in rows)
+        assert rows == sorted(rows) and all(abs(-s - exact[i]) < 1e-12 for s, i in rows)
         for _, i in rows:  # of equal vectors the smaller ids come first
             assert {j for j in same[x[i].tobytes()] if j < i and j != q} <= {j for _, j in rows}
 
