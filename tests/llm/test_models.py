@@ -112,9 +112,64 @@ def test_training_learns():
     rng = random.Random(1)
     good = [" ".join(rng.choice(["the", "lily", "grows", "in", "spring"]) for _ in range(30)) for _ in range(60)]
     bad = [" ".join(rng.choice(["@@@x", "WIN!!", "$$$", "lily"]) for _ in range(30)) for _ in range(60)]
-    parts, bias = quality.train(good[:40] + bad[:40], [1] * 40 + [0] * 40)
-    odds = lambda t: bias + sum(w * parts[r] for r, w in zip(*quality.weights_of(t, {}), strict=True))
-    assert all(odds(t) > 0 for t in good[40:]) and all(odds(t) < 0 for t in bad[40:])
+    model = quality.train([quality.weights_of(t) for t in good[:40] + bad[:40]], [1] * 40 + [0] * 40)
+    assert all(quality.odds(t, *model) > 0 for t in good[40:]) and all(quality.odds(t, *model) < 0 for t in bad[40:])
+
+
+def test_order_of_words_counts():
+    """Two classes of the same words in another order are told apart by their pairs alone."""
+    rng = random.Random(2)
+    up, down = "red blue green gold".split(), "gold green blue red".split()
+    texts = [" ".join([f"w{rng.randrange(50)}", *(up if label else down), f"w{rng.randrange(50)}"]) for label in [0, 1] * 60]
+    model = quality.train([quality.weights_of(t) for t in texts[:80]], [0, 1] * 40, epochs=20)
+    assert [quality.odds(t, *model) > 0 for t in texts[80:]] == [False, True] * 20
+
+
+def plain_hash(data: bytes, kind: int, h=None) -> int:
+    if h is None:
+        h = 0
+        for b in data:
+            h = (h * quality.BASE + b) % 2**64
+    mixed = (h + kind) * quality.MIX % 2**64
+    mixed ^= mixed >> 29
+    return (mixed * quality.BASE % 2**64) >> 48
+
+
+def plain_score(text, parts, bias):
+    """The same score, word by word."""
+    words, total, counted, last = (text or "").encode().split(), 0.0, 0, None
+    for word in words:
+        marked = b"<" + word + b">"
+        rows = [plain_hash(marked, 101)] + [plain_hash(marked[i : i + n], n) for n in quality.GRAMS for i in range(len(marked) - n + 1)]
+        total, counted = total + sum(parts[r] for r in rows) / len(rows), counted + 1
+        h = 0
+        for b in marked:
+            h = (h * quality.BASE + b) % 2**64
+        if last is not None:
+            total, counted = total + parts[plain_hash(b"", 102, (last * quality.PAIR + h) % 2**64)], counted + 1
+            if last == h:
+                total, counted = total + parts[0], counted + 1
+        last = h
+    return 1 / (1 + np.exp(-bias - (total / counted if counted else 0.0)))
+
+
+def test_scores_equal_plain_ones(spark, sf_dir, monkeypatch):
+    parts = np.random.default_rng(1).normal(size=quality.BUCKETS)
+    texts = [r["text"] for r in read(spark, sf_dir, "documents").orderBy("doc_id").limit(60).collect()] + ODD + ["a a a b", "é " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score(docs, (parts, 0.25)).collect():
+        assert abs(r["score"] - plain_score(r["text"], parts, 0.25)) < 1e-9
+    whole = [quality.odds(t, parts, 0.25) for t in texts]
+    monkeypatch.setattr(quality, "PIECE", 7)
+    assert np.allclose(whole, [quality.odds(t, parts, 0.25) for t in texts], atol=1e-9)
+
+
+def test_long_and_absent_documents_dont_use_up_the_sample(spark):
+    docs = spark.createDataFrame([(i, ("good fine " if i % 2 else "bad ugly ") * (5000 if i > 40 else 5), "x") for i in range(60)], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, sample=30)
+    found = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert all((found[i] > 0.5) == bool(i % 2) for i in found)
 
 
 # nearest neighbours
