@@ -24,9 +24,7 @@ def odd_docs(spark):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def plain_files(docs, tokenizer):
@@ -63,9 +61,33 @@ def test_chunks_equal_whole_texts(tokenizer):
     rng = random.Random(8)
     coder = token_files._coder(public_tokenizers.path("byte_bpe_50k.json"))
     for _ in range(3000):
-        parts = rng.choice([["ab", "Cd", "é", " ", "\n", ".", ",", "1"], ["the", " ", " ", "'s", "n't", "\t", "\n", "\u00a0", "\x1c", "ǅ", "ʰ", "ߒ", "日本", "😀", "\u0301", "a."]])
+        parts = rng.choice([["ab", "Cd", "é", " ", "\n", ".", ",", "1"], ["the", " ", " ", "'s", "n't", "\t", "\n", "\u00a0", "\x1c", "ǅ", "ʰ", "ߒ", "日本", "😀", "\u0301", "a."], ["a", " ", "<|endoftext|>", "|>"]])
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
-        assert token_files.encode_text(text, coder) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+        assert coder(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_special_tokens_are_tokens(spark, tmp_path):
+    end = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).token_to_id("<|endoftext|>")
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "a" * 50)] + [(3, "same row")] * 30, "doc_id long, text string")
+    token_files.write(docs, str(tmp_path / "s"))
+    rows = sorted(token_files.scan(spark, str(tmp_path / "s")).collect(), key=lambda r: r["start"])
+    assert end in rows[0]["ids"][:-1] and rows[0]["n_tokens"] == 5
+    assert [r["doc_id"] for r in rows] == [1, 2] + [3] * 30
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:]))
+
+
+def test_other_tokenizers(spark, tokenizer, tmp_path):
+    import json
+
+    said = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    said["pre_tokenizer"] = {"type": "Whitespace"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(said, f)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    token_files.write(docs, str(tmp_path / "o"), path)
+    rows = sorted(token_files.scan(spark, str(tmp_path / "o")).collect(), key=lambda r: r["start"])
+    assert [tuple(r[c] for c in FILES) for r in rows] == plain_files(list(enumerate(ODD)), Tokenizer.from_file(path))
 
 
 def test_segments_round_trip():

@@ -14,11 +14,17 @@ PERCENTILE-th of its differences, so rare large ids go to the exception list ins
 the block. Any block can be read by itself.
 
 Documents are written in ascending doc_id order, repeated ids by their text's hash, rows without
-a doc_id first; each ends with the end id. Null texts are empty: the end id alone.
+a doc_id first; each ends with the end id.
+
+Defined results: null and empty texts are the end id alone; what spells a special token is that
+token, as the library has it; very long texts make a segment of their own; repeated rows are
+written as often as they come; an empty table makes a folder that reads as no rows. Only doc_id
+and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -178,23 +184,52 @@ class Words(dict):
         return found
 
 
-def _coder(path: str) -> tuple[Words, Words]:
-    """The worker's encoded chunks, those that start a line and those after a space."""
+#: What a tokenizer file has to say besides its vocabulary for texts to be put together from chunks.
+_KNOWN = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+
+
+class Whole:
+    """Encodes texts whole: for other kinds of tokenizers."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __call__(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+class Chunked(Whole):
+    """Encodes texts from chunks, but for texts that hold a special token."""
+
+    def __init__(self, tokenizer):
+        super().__init__(tokenizer)
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.starts = Words(tokenizer, "")
+        self.words = Words(tokenizer, " ", self.starts)
+
+    def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.special):
+            return super().__call__(text)
+        return encode_text(text, (self.starts, self.words))
+
+
+def _coder(path: str) -> Whole:
+    """The worker's encoder of whole texts."""
 
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        starts = Words(tokenizer, "")
-        return starts, Words(tokenizer, " ", starts)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        alike = all(said.get(k) == v for k, v in _KNOWN.items()) and said["model"].get("type") == "BPE"
+        return (Chunked if alike else Whole)(Tokenizer.from_file(path))
 
     return kept(("files", path), make)
 
 
 def encode_text(text: str, coder: tuple[Words, Words]) -> bytes:
-    """A whole text's ids as uint32 bytes."""
+    """Ids of a whole text without special tokens, as uint32 bytes."""
     if not text:
         return b""
     starts, words = coder
@@ -222,8 +257,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(shuffle_partitions(spark), -(-size // FILE_BYTES))
-    order = ["doc_id", "tie"]
-    dealt = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # rows that are equal in doc_id and text may be many: they are one another's equals, so any order of them will do
+    order = ["doc_id", "tie", "spread"]
+    dealt = texts.withColumn("tie", F.xxhash64("text")).withColumn("spread", F.monotonically_increasing_id() % 4096).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     numbered = dealt.select("doc_id", "text", F.spark_partition_id().alias("part"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -242,7 +278,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
         for rows in row_slices(batches, "text", SLICE_BYTES):
             kind, part = rows.column(0).type, rows.column(2)[0].as_py()
             for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                data = encode_text(text or "", coder) + last
+                data = coder(text or "") + last
                 if ids and total + len(data) // 4 > SEGMENT_IDS:
                     yield close(kind, part)
                     ids, held, total, seq = [], [], 0, seq + 1
