@@ -10,9 +10,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.llm import positional_index, queries, simhash, substring_dedup, tree_bpe
+from vectide.llm import near_copies, positional_index, queries, simhash, substring_dedup, tree_bpe
 from vectide.llm.common import read
 
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("key", T.IntegerType())])
@@ -170,7 +171,27 @@ def test_near_duplicates_odd(spark):
     assert simhash.near_duplicates(empty_docs(spark)).count() == 0
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert {0, 3, None} <= {r["doc_id"] for r in kept.collect()} and not {1, 2, 6} & {r["doc_id"] for r in kept.collect()}
+    assert {0, 3} <= {r["doc_id"] for r in kept.collect()} and not {1, 2, 6, None} & {r["doc_id"] for r in kept.collect()}
+
+
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, near_copies.drop_near_copies])
+def test_rows_of_one_id_are_judged_by_their_texts(spark, drop):
+    t, u, v = (" ".join(f"{x}{i}" for i in range(60)) for x in "tuv")
+    rows = [(1, t), (2, t), (2, u), (2, u), (None, u), (None, v), (None, v), (None, None), (9, "")]
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string").withColumn("key1", F.lit("x")).withColumn("root", F.lit("y"))
+        assert sorted(((r["doc_id"], r["text"]) for r in drop(docs).collect()), key=str) == sorted([(1, t), (2, u), (None, v), (9, "")], key=str)
+
+
+def test_contaminated_rows_are_judged_by_their_texts(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (None, "delta epsilon")], "item_id long, text string")
+    rows = [(None, "x alpha beta gamma"), (None, "clean"), (5, "clean"), (5, "the delta epsilon"), (5, None), (6, "clean"), (6, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("items", F.lit("x")).withColumn("bad", F.lit("y"))
+    kept = positional_index.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[1], rows[2], *rows[4:]], key=str)
+    found = {r["n_hit"]: r for r in positional_index.flags(docs, items).where("contaminated").collect()}
+    assert found[2]["n_items"] == 1 and found[2]["items_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
 # positional index
@@ -224,15 +245,15 @@ def test_contamination_odd(spark):
 
 
 def test_small_shards_and_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha beta x gamma"), (2, "alpha"), (3, "beta gamma"), (4, "gamma beta alpha"), (5, "alpha beta gamma")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta x gamma"), (2, "alpha"), (3, "beta gamma"), (4, "gamma beta alpha"), (5, "alpha beta gamma"), (6, None)], "doc_id long, text string")
     phrases = {(b"alpha", b"beta", b"gamma"): [9]}
-    terms = {b"alpha": 0, b"beta": 1, b"gamma": 2}
     for words in (1, 100):
-        index = positional_index.build_index(docs, terms, shard_words=words)
-        exact = {r["doc_id"]: r["items"] for r in positional_index.search(index, phrases, terms).collect()}
-        assert exact == {1: [], 2: [], 3: [], 4: [], 5: ["9"]}
-        near = {r["doc_id"]: r["items"] for r in positional_index.search(index, phrases, terms, slop=1).collect()}
-        assert near == {1: ["9"], 2: [], 3: [], 4: [], 5: ["9"]}
+        index = positional_index.build_index(docs, shard_words=words).cache()
+        ids = index.select("shard", F.posexplode("doc_ids").alias("at", "doc_id"))
+        hits = lambda slop: {r["doc_id"]: r["items"] for r in positional_index.search(index, phrases, slop).join(ids, ["shard", "at"]).collect()}  # noqa: B023, E731
+        assert hits(0) == {5: ["9"]}
+        assert hits(1) == {1: ["9"], 5: ["9"]}
+        assert positional_index.term_counts(index, {b"alpha", b"x", b"none"}) == {b"alpha": 4, b"x": 1}
 
 
 # tree BPE

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -18,14 +19,49 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where none is set (a local session, as in tests) does this pick a temporary one.
+    Only where none is set in a local session (as in tests) does this pick a temporary one; a
+    cluster that names none is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectide-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vectide-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read, on whichever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """Two hashes, key1 and key2, that tell rows with another doc_id or another text apart; never null."""
+    i, t = F.col(doc_id), F.col(text).cast("string")
+    return [F.xxhash64(i.isNull(), i, t.isNull(), t).alias("key1"), F.xxhash64(t, F.lit(7), t.isNull(), i, F.lit(1)).alias("key2")]
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, row_group: str = "root") -> DataFrame:
+    """The first row of each group of docs: that with the smallest doc_id, then key; none without a doc_id if another has one.
+
+    groups is (key1, key2, doc_id, row_group) of every row; of rows that are equal in doc_id and text one stays.
+    """
+    first = groups.groupBy(row_group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key1", "key2")).alias("f"))
+    names = [free_name(docs, "key1"), free_name(docs, "key2")]
+    keyed = docs.select("*", *(k.alias(n) for n, k in zip(names, row_key())))
+    kept = keyed.join(first.select(F.col("f.key1").alias(names[0]), F.col("f.key2").alias(names[1])), names, "left_semi")
+    return kept.dropDuplicates(names).select(*docs.columns)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, lengthened until docs has no column of it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back."""
     shared_folder(df.sparkSession)

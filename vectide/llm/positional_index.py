@@ -1,31 +1,36 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: each shard holds, for every term it stores, the sorted
-positions of the term in the shard's documents. A frequent term is so spread over all shards,
-and the lists of one phrase always meet in one place without a shuffle. Phrases are found by
-intersecting offset-adjusted lists from the phrase's rarest term (by its count in the whole
-corpus) on; proximity matches let every other term stand up to slop words off its place.
+The index is partitioned by document: each shard holds, for every word of its documents, the
+sorted positions of the word. A frequent word is so spread over all shards, and the lists of one
+phrase always meet in one place without a shuffle. Phrases are found by intersecting
+offset-adjusted lists from the phrase's rarest term (by its count in the whole corpus) on;
+proximity matches let every other term stand up to slop words off its place. A shard looks up
+only those phrases whose rarest term it holds.
 
-Only terms of the test phrases are stored: no list of another term is ever intersected. Test
-items are read to the driver in blocks of at most ITEM_BYTES of text, so what each task gets is
-bounded; a larger test set takes more rounds over the corpus.
+The index is built once, whatever the test items are. These are read to the driver in blocks of
+at most ITEM_BYTES of text, so what each task gets is bounded; a larger test set takes more rounds
+over the index, none over the corpus.
 
 Defined results: null and empty texts have no words and are not contaminated; null and empty
-items match nothing; items with the same words all count; repeated rows stay repeated.
+items match nothing; items with the same words all count; items without an item_id count and hit,
+but have no id to be named by; a very long text makes a shard of its own; repeated rows stay
+repeated, and rows of one doc_id are judged by their own texts; without documents there are no
+rows, and without items no hits; only doc_id, item_id and text are read, whatever other columns
+are called.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, row_slices
+from .common import checkpointed, free_name, row_key, row_slices
 
 WINDOW = 10
 #: Words of a shard, and bytes of test items of one round, at most about so many. A window takes
@@ -54,47 +59,58 @@ def phrases_of(items: list[tuple], window: int = WINDOW) -> dict[tuple[bytes, ..
     return {k: sorted(v, key=str) for k, v in found.items()}
 
 
-SHARD = "doc_ids array<{id}>, n_words array<long>, terms array<int>, counts array<long>, positions binary"
+SHARD = "shard long, doc_ids array<{id}>, n_words array<long>, words binary, counts binary, positions binary"
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row for each shard; terms gives the stored terms' numbers.
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return self[word]
+
+
+def build_index(docs: DataFrame, gap: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """One row for each shard.
 
     Documents of a shard stand one after another, gap words apart, so that no phrase (and no
-    proximity match with a smaller slop) crosses from one to the next. positions has the terms'
-    sorted uint32 lists, in the order of terms.
+    proximity match with a smaller slop) crosses from one to the next. words has the shard's
+    words, with spaces between them; counts (int32) says how many positions each has, and
+    positions has their sorted uint32 lists in this order.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def close(ids: list, kind: pa.DataType, sizes: list[int], codes: list[np.ndarray]) -> pa.RecordBatch:
+    def close(shard: int, ids: list, kind: pa.DataType, sizes: list[int], codes: list[np.ndarray], numbers: _Numbers) -> pa.RecordBatch:
         starts = _starts(sizes, gap)
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        code = np.concatenate(codes)
         at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64), sizes) + np.arange(len(code))
-        stored = code >= 0
-        code, at = code[stored], at[stored].astype(np.uint32)
         order = np.argsort(code, kind="stable")
-        found, counts = np.unique(code, return_counts=True)
+        counts = np.bincount(code, minlength=len(numbers)).astype("<i4")
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([found.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([at[order].tobytes()], pa.binary())],
-            names=["doc_ids", "n_words", "terms", "counts", "positions"],
+            [
+                pa.array([shard], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([b" ".join(numbers)], pa.binary()),
+                pa.array([counts.tobytes()], pa.binary()), pa.array([at.astype("<u4")[order].tobytes()], pa.binary()),
+            ],
+            names=["shard", "doc_ids", "n_words", "words", "counts", "positions"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, codes, total = [], [], [], 0
+        ids, sizes, codes, total, numbers, shard = [], [], [], 0, _Numbers(), None
         for rows in row_slices(batches, "text", SLICE_BYTES):
+            shard = rows.column(2)[0].as_py() << 32 if shard is None else shard
             for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 if ids and total + len(words) > shard_words:
-                    yield close(ids, rows.column(0).type, sizes, codes)
-                    ids, sizes, codes, total = [], [], [], 0
+                    yield close(shard, ids, rows.column(0).type, sizes, codes, numbers)
+                    ids, sizes, codes, total, numbers, shard = [], [], [], 0, _Numbers(), shard + 1
                 ids.append(doc)
                 sizes.append(len(words))
-                codes.append(np.fromiter(map(terms.get, words, repeat(-1)), np.int32, len(words)))
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 total += len(words) + gap
         if ids:
-            yield close(ids, rows.column(0).type, sizes, codes)
+            yield close(shard, ids, rows.column(0).type, sizes, codes, numbers)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, SHARD.format(id=id_type))
+    return docs.select("doc_id", F.col("text").cast("string"), F.spark_partition_id().alias("part")).mapInArrow(run, SHARD.format(id=id_type))
 
 
 def _starts(sizes: list[int], gap: int) -> np.ndarray:
@@ -102,17 +118,38 @@ def _starts(sizes: list[int], gap: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(np.asarray(sizes, np.int64) + gap)[:-1])).astype(np.int64)
 
 
-def term_counts(index: DataFrame) -> dict[int, int]:
-    """Occurrences of each stored term in the whole corpus; as many as there are stored terms."""
-    rows = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts").alias("n"))
-    return {r["terms"]: r["n"] for r in rows.collect()}
+class _Lists(dict):
+    """A shard's positions by word."""
+
+    def __init__(self, words: bytes, counts: bytes, positions: bytes):
+        sizes = np.frombuffer(counts, "<i4").astype(np.int64)
+        ends = np.cumsum(sizes)
+        super().__init__(zip(words.split(b" ") if words else (), zip((ends - sizes).tolist(), ends.tolist()), strict=True))
+        self.positions = np.frombuffer(positions, "<u4")
+
+    def of(self, word: bytes) -> np.ndarray | None:
+        span = self.get(word)
+        return None if span is None else self.positions[span[0] : span[1]]
+
+
+def term_counts(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
+    """Occurrences in the whole corpus of those of the terms that occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = [(w, n) for w, n in zip(words.split(b" ") if words else (), np.frombuffer(counts, "<i4").tolist(), strict=True) if w in terms]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.binary()), pa.array([n for _, n in own], pa.int64())], names=["term", "n"])
 
+    rows = index.select("words", "counts").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {bytes(r["term"]): r["n"] for r in rows.collect()}  # as many as there are terms
 
-def phrase_starts(lists: dict[int, np.ndarray], plan: list[tuple[int, int]]) -> np.ndarray:
+
+def phrase_starts(lists: _Lists, plan: list[tuple[bytes, int]]) -> np.ndarray:
     """Where a phrase starts; plan has (term, offset), the rarest term first."""
     starts = None
     for term, offset in plan:
-        own = lists.get(term)
+        own = lists.of(term)
         if own is None:
             return np.zeros(0, np.int64)
         if starts is None:
@@ -125,11 +162,11 @@ def phrase_starts(lists: dict[int, np.ndarray], plan: list[tuple[int, int]]) ->
     return starts
 
 
-def near_starts(lists: dict[int, np.ndarray], plan: list[tuple[int, int]], slop: int) -> np.ndarray:
+def near_starts(lists: _Lists, plan: list[tuple[bytes, int]], slop: int) -> np.ndarray:
     """Where a phrase would start, by its rarest term, if each other term is up to slop words off its place."""
     starts = None
     for term, offset in plan:
-        own = lists.get(term)
+        own = lists.of(term)
         if own is None:
             return np.zeros(0, np.int64)
         own = own.astype(np.int64)
@@ -143,86 +180,76 @@ def near_starts(lists: dict[int, np.ndarray], plan: list[tuple[int, int]], slop:
     return starts
 
 
-def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list], terms: dict[bytes, int], slop: int = 0, gap: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, spans, items) for every document: word intervals (start, end) that a phrase covers, and the items whose phrases occur.
+HITS = "shard long, at int, spans array<struct<start:long,end:long>>, items array<string>"
+
 
-    With slop, spans start at the place that the phrase's rarest term implies, cut to the document.
+def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list], slop: int = 0, gap: int = WINDOW) -> DataFrame:
+    """(shard, at, spans, items) of the documents where a phrase occurs: word intervals (start, end) that phrases cover, and the phrases' items.
+
+    at is the document's place in its shard. With slop, spans start at the place that the phrase's
+    rarest term implies, cut to the document.
     """
     if slop >= gap:
         raise ValueError("a slop has to be smaller than the gap between documents")
-    counts = term_counts(index)
-    plans = []
+    counts = term_counts(index, {w for words in phrases for w in words})
+    plans: dict[bytes, list] = defaultdict(list)
     for words, items in phrases.items():
-        codes = [terms[w] for w in words]
-        if all(c in counts for c in codes):
-            plan = sorted(((c, i) for i, c in enumerate(codes)), key=lambda x: (counts[x[0]], x[1]))
-            plans.append((plan, len(words), [str(i) for i in items]))
-    id_type = index.schema["doc_ids"].dataType.elementType.simpleString()
+        if all(w in counts for w in words):
+            plan = sorted(((w, i) for i, w in enumerate(words)), key=lambda x: (counts[x[0]], x[1]))
+            plans[plan[0][0]].append((plan, len(words), [None if i is None else str(i) for i in items]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in range(batch.num_rows):
-                row = {n: batch.column(i)[shard].values if n != "positions" else batch.column(i)[shard].as_py() for i, n in enumerate(batch.schema.names)}
-                sizes = row["n_words"].to_numpy()
-                starts, n = _starts(sizes, gap), len(sizes)
-                flat = np.frombuffer(row["positions"], np.uint32)
-                cuts = np.cumsum(row["counts"].to_numpy())[:-1]
-                lists = dict(zip(row["terms"].to_pylist(), np.split(flat, cuts), strict=True)) if len(flat) else {}
+            for i in range(batch.num_rows):
+                sizes = batch.column(1)[i].values.to_numpy()
+                lists = _Lists(*(batch.column(c)[i].as_py() for c in (2, 3, 4)))
+                starts = _starts(sizes, gap)
                 spans, items = defaultdict(set), defaultdict(set)
-                for plan, length, own in plans:
-                    found = near_starts(lists, plan, slop) if slop else phrase_starts(lists, plan)
-                    if len(found):
-                        docs = np.searchsorted(starts, found + plan[0][1], side="right") - 1
-                        for d, s in zip(docs.tolist(), (found - starts[docs]).tolist(), strict=True):
-                            spans[d].add((max(0, s), min(int(sizes[d]), s + length)))
-                            items[d].update(own)
-                out_spans = [[{"start": a, "end": b} for a, b in sorted(spans[i])] if i in spans else [] for i in range(n)]
-                out_items = [sorted(items[i]) if i in items else [] for i in range(n)]
+                for rarest in plans.keys() & lists.keys():
+                    for plan, length, own in plans[rarest]:
+                        found = near_starts(lists, plan, slop) if slop else phrase_starts(lists, plan)
+                        if len(found):
+                            docs = np.searchsorted(starts, found + plan[0][1], side="right") - 1
+                            for d, s in zip(docs.tolist(), (found - starts[docs]).tolist(), strict=True):
+                                spans[d].add((max(0, s), min(int(sizes[d]), s + length)))
+                                items[d].update(own)
+                places = sorted(spans)
                 yield pa.RecordBatch.from_arrays(
-                    [row["doc_ids"], row["n_words"], pa.array(out_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out_items, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    [
+                        pa.array([batch.column(0)[i].as_py()] * len(places), pa.int64()), pa.array(places, pa.int32()),
+                        pa.array([[{"start": a, "end": b} for a, b in sorted(spans[d])] for d in places], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                        pa.array([sorted(items[d], key=lambda x: (x is not None, x)) for d in places], pa.list_(pa.string())),
+                    ],
+                    names=["shard", "at", "spans", "items"],
                 )
 
-    return index.mapInArrow(run, f"doc_id {id_type}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return index.select("shard", "n_words", "words", "counts", "positions").mapInArrow(run, HITS)
 
 
-def _item_blocks(items: DataFrame, item_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
-    """How many lists of at most about item_bytes of text the test items make, and these lists."""
-    items = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+def _item_blocks(items: DataFrame, item_bytes: int) -> Iterator[list[tuple]]:
+    """Lists of at most about item_bytes of text that the test items make."""
+    items = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-size // item_bytes) or 1
-    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) for i in range(blocks))
-    return blocks, ([(r["item_id"], r["text"]) for r in part.collect()] for part in parts)
+    blocks = -(-size // item_bytes)
+    for i in range(blocks):
+        yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()]
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items) of every document, over all test items."""
-    rounds = []
-    blocks, parts = _item_blocks(items, item_bytes)
-    if blocks > 1:  # rows of one doc_id may have different texts, which must not lend each other their hits
-        docs = docs.select(F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("key")).alias("doc_id"), "text")
-    for part in parts:
-        phrases = phrases_of(part, window)
-        terms = {w: i for i, w in enumerate(sorted({w for p in phrases for w in p}))}
-        gap = max(window, slop + 1)
-        index = checkpointed(build_index(docs, terms, gap))
-        rounds.append(search(index, phrases, terms, slop, gap))
-    if len(rounds) == 1:
-        return rounds[0]
-    # each round has each row once: rows of one doc_id and text meet, and come out as often as they came in
-    keyed = []
-    for number, found in enumerate(rounds):
-        keyed.append(found.withColumn("round", F.lit(number)))
-    every = keyed[0]
-    for more in keyed[1:]:
-        every = every.unionByName(more)
-    merged = every.groupBy("doc_id", "n_words").agg(
-        F.sum(F.when(F.col("round") == 0, 1).otherwise(0)).alias("rows"),
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return merged.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
-        "doc_id.doc_id", "n_words", "spans", "items"
+    gap = max(window, slop + 1)
+    index = checkpointed(build_index(docs, gap))
+    rounds = [search(index, phrases_of(part, window), slop, gap) for part in _item_blocks(items, item_bytes)]
+    hits = reduce(DataFrame.unionByName, rounds) if rounds else docs.sparkSession.createDataFrame([], HITS)
+    if len(rounds) > 1:
+        hits = hits.groupBy("shard", "at").agg(
+            F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        )
+    every = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("at", "d")).select("shard", "at", "d.doc_ids", "d.n_words")
+    found = every.join(hits, ["shard", "at"], "left")
+    return found.select(
+        F.col("doc_ids").alias("doc_id"), "n_words", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
@@ -245,6 +272,9 @@ def flags(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of docs that hold no phrase of an item; documents without a doc_id are judged as one."""
-    bad = flags(docs.select("doc_id", "text"), items, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """Rows of docs that hold no phrase of an item; each row is judged by its own text."""
+    keys = row_key()
+    named = docs.select(F.concat_ws(":", *keys).alias("doc_id"), "text")
+    name = free_name(docs, "bad")
+    bad = contamination(named, items, window).where(F.size("spans") > 0).select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, F.concat_ws(":", *keys)).join(bad, name, "left_anti").select(*docs.columns)

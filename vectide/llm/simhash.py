@@ -12,8 +12,10 @@ than two blocks however hot a variant is. Only a spanning forest of the links is
 keeps every component and grows with the fingerprints, not with their pairs.
 
 Defined results: null and empty texts, and texts without words, have fingerprint zero and link
-like any other; repeated rows stay repeated and share a component; a null doc_id is kept and
-never names a component unless it is alone.
+like any other; very long texts are read whole, their hashes some at a time; repeated rows stay
+repeated and share a component; a null doc_id is kept and names no component (one of such rows
+alone has a null component_id); an empty table gives no rows; only doc_id and text are read,
+whatever other columns are called. Of each component drop_near_duplicates keeps one row.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, row_slices, shuffle_partitions
+from .common import checkpointed, connected_components, keep_one, row_key, row_slices, shuffle_partitions
 
 BITS = 64
 SLICE_BYTES = 8 << 20
@@ -54,15 +56,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint's bits as a signed long."""
+    """(doc_id, key1, key2, fp) with fp the fingerprint's bits as a signed long."""
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in row_slices(batches, "text", SLICE_BYTES):
             prints = np.array([fingerprint(t, shingle, seed) for t in rows.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:], pa.array(prints.view(np.int64))], names=["doc_id", "key1", "key2", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_type.simpleString()}, fp long")
+    return docs.select("doc_id", F.col("text").cast("string"), *row_key()).mapInArrow(run, f"doc_id {id_type.simpleString()}, key1 long, key2 long, fp long")
 
 
 def variants(prints: DataFrame, segments: int) -> DataFrame:
@@ -172,28 +174,18 @@ def links(prints: DataFrame, distance: int = 3, segments: int | None = None, blo
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42, segments: int | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id, fp) for every row of docs."""
+    """(doc_id, fingerprint, component_id, fp, root, key1, key2) for every row of docs; root tells components apart."""
     prints = checkpointed(fingerprints(docs, shingle, seed))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(prints, distance, segments))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named_classes = rooted.join(named, "root").select("fp", "component_id")
+    named_classes = rooted.join(named, "root").select("fp", "root", "component_id")
     return prints.join(named_classes, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root", "key1", "key2"
     )
 
 
-def keep_rows(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id names a component, one row of each; those without a doc_id stay."""
-    kept = components.where("doc_id = component_id").select("doc_id").distinct()
-    numbered = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return numbered.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-
-
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs whose doc_id is the smallest of its component, one row of each component.
-
-    Rows that repeat a doc_id stay out but for one; documents without a doc_id stay.
-    """
-    return keep_rows(docs, near_duplicates(docs.select("doc_id", "text"), **options))
+    """One row of docs of each component, chosen as keep_one does; rows of one doc_id are judged by their own texts."""
+    return keep_one(docs, near_duplicates(docs.select("doc_id", "text"), **options))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, row_slices, shared_folder, shuffle_partitions
+from .common import checkpointed, kept, remove, row_slices, shared_folder, shuffle_partitions
 from .tree_bpe import CUT
 
 BLOCK, GROUP = 1024, 64
@@ -330,7 +330,10 @@ def scan(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Writes docs to a new folder of the shared one and reads it back."""
-    folder = f"{shared_folder(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    """Writes docs to a new folder of the shared one, reads it back, and removes it."""
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     write(docs, folder, tokenizer)
-    return scan(docs.sparkSession, folder, keep_ids=False).drop("ids")
+    found = checkpointed(scan(spark, folder, keep_ids=False).drop("ids"))
+    remove(spark, folder)
+    return found
