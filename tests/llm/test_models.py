@@ -1,6 +1,8 @@
 """Trained operators and token files: round trips, brute force, held-out accuracy."""
 
+import html
 import random
+import re
 import zlib
 
 import numpy as np
@@ -349,3 +351,59 @@ def test_languages_odd(spark):
         bare = language.identify(pages, none).collect()
         assert len(bare) == 6 and {(r["lang"], r["probability"], r["addressed"]) for r in bare} == {(None, None, "")}
         assert {r["host"] for r in bare} == {r["host"] for r in found}
+
+
+def plain_languages(pages, languages, logs):
+    """The same evidence and priors, page by page."""
+    def shares(x):
+        x = np.exp(np.array(x) - max(x))
+        return x / x.sum()
+
+    def named(lang, right):
+        n = len(languages)
+        return [0.0 if lang not in languages else np.log(right) if lang == x else np.log((1 - right) / max(1, n - 1)) for x in languages]
+
+    seen = []
+    for page_id, url, page in pages:
+        visible = re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", " ", page or ""))
+        grams = [zlib.crc32(f"^{w}$".encode()[i : i + 3]) % language.BUCKETS for w in re.findall(r"[^\W\d_]+", html.unescape(visible).lower()) for i in range(len(f"^{w}$".encode()) - 2)]
+        text = sum(logs[:, g] for g in grams) * min(1.0, language.MOST_TRIGRAMS / len(grams)) if grams else np.zeros(len(languages))
+        declared = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", page or "")
+        host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
+        host = host[1].lower() if host else ""
+        suffix, part = re.search(r"\.([a-z]{2})$", host), re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", url or "")
+        addressed = suffix[1] if suffix and suffix[1] in languages else part[1].lower() if part and part[1].lower() in languages else ""
+        domain = re.search(r"([^.]+\.[^.]+)$", host)
+        logits = text + named(declared[1].lower() if declared else "", language.DECLARED) + named(addressed, language.ADDRESSED)
+        seen.append((page_id, host, domain[1] if domain else "", logits, shares(logits)))
+    out = []
+    for page_id, host, domain, logits, own in seen:
+        prior = np.full(len(languages), 1 / len(languages))
+        for alike in (lambda h, d: True, lambda h, d: d == domain, lambda h, d: h == host):  # noqa: B023
+            counts = np.maximum(sum(o for _, h, d, _, o in seen if alike(h, d)) - own, 0)
+            prior = (counts + language.STRENGTH * prior) / (counts.sum() + language.STRENGTH)
+        p = shares(logits + np.log(prior))
+        out.append((page_id, host, languages[int(p.argmax())], round(float(p.max()), 6)))
+    return sorted(out, key=str)
+
+
+def test_languages_equal_plain_ones(spark, sf_dir):
+    model = language.fit(read(spark, sf_dir, "documents"))
+    pages = [tuple(r) for r in read(spark, sf_dir, "pages").select("page_id", "url", "html").orderBy("page_id").limit(150).collect()]
+    pages += [(-1, None, None), (-2, "http://x.de/a", ""), (-3, "https://u@x.com:80/fr/", "<script>a<script>der die <b>das"), (-4, "x", "<!-- a <p> the cat"), (-4, "x", "<!-- a <p> the cat"), (-5, pages[0][1], "<html lang=EN>" + "le chat et " * 3000)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = sorted(((r["page_id"], r["host"], r["lang"], round(r["probability"], 6)) for r in language.identify(table, spark.createDataFrame([], "doc_id long, text string, lang string"), model).collect()), key=str)
+    want = plain_languages(pages, *model)
+    assert [x[:3] for x in found] == [x[:3] for x in want]
+    assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(found, want))
+
+
+def test_hidden_parts_in_linear_time():
+    page = "<script>" * 200_000 + "<!--" * 200_000 + "<" * 200_000 + "words"
+    assert "words" in language.text_of(page)
+    assert language.text_of("a<script>b</script>c<!-- d -->e<STYLE>f</style >g<p h>i").split() == ["a", "c", "e", "g", "i"]
+
+
+def test_languages_with_most_documents(spark):
+    docs = spark.createDataFrame([(i, "text", f"l{i % (i // 3 + 1)}") for i in range(60)], "doc_id long, text string, lang string")
+    assert language.fit(docs, most=3)[0] == sorted(r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(3).collect())

@@ -1,7 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
 Four pieces of evidence meet in log space for every page: the likelihood of its text (character
-trigrams, hashed; trained on a bounded sample of labelled documents), the language that its
+trigrams, hashed; trained on SAMPLE labelled documents of each of the LANGUAGES that have most),
+the language that its
 markup declares, the one that its address's suffix or first path part names, and a prior of its
 host. Host priors come from a grouped aggregation: the pages' own probabilities (text and
 declarations) are summed by host, by domain and overall, and each level is smoothed by the one
@@ -11,9 +12,12 @@ argues for itself twice.
 A hot host costs one row a task before the shuffle; its pages meet its sums by an equality join
 whose skew Spark splits.
 
-Defined results: null and empty pages have no text and rest on the other evidence; null urls
-have the empty host; without labelled documents there is no language to tell, so lang and
-probability are null and addressed is empty; rows repeat as given.
+Defined results: null and empty pages have no text and rest on the other evidence; very long
+pages are read whole, in time that grows with their length; null urls have the empty host; equal
+probabilities go to the language whose name comes first; without labelled documents there is no
+language to tell, so lang and probability are null and addressed is empty; rows repeat as given;
+an empty table gives no rows; only page_id, url and html (doc_id, text and lang of documents) are
+read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -30,24 +34,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import low_hash, row_slices
+from .common import checkpointed, row_slices
 
 BUCKETS = 1 << 15
-#: Labelled documents of a language at most, taken by a hash of their doc_id, and how long they may be.
-SAMPLE, SAMPLE_CHARS = 400, 20_000
+#: Labelled documents of a language at most, taken by a hash of their doc_id, and languages at most, those with most documents.
+SAMPLE, LANGUAGES = 400, 200
 #: How often a declaration and an address are taken to be right, and how many pages a level's own counts weigh against.
 DECLARED, ADDRESSED, STRENGTH = 0.9, 0.8, 5.0
 #: Trigrams of a text count as so many independent ones at most.
 MOST_TRIGRAMS = 200.0
 SLICE_BYTES = 4 << 20
 
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->")
+_OPEN = re.compile(r"(?i)<(script|style|noscript)\b|<!--")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript")} | {None: re.compile("-->")}
 _TAG = re.compile(r"(?s)<[^>]*>")
 
 
 def text_of(page: str | None) -> str:
     """Visible text of a page, roughly: without scripts, styles, comments and tags."""
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
+    page = page or ""
+    parts, at, look, unclosed = [], 0, 0, set()
+    while found := _OPEN.search(page, look):
+        look = found.end()
+        name = found[1] and found[1].lower()
+        # what isn't closed from here on isn't closed further on
+        end = None if name in unclosed else _CLOSE[name].search(page, look)
+        if end is None:
+            unclosed.add(name)
+            continue
+        parts.append(page[at : found.start()])
+        at = look = end.end()
+    whole = " ".join([*parts, page[at:]])
+    cut = whole.rfind(">") + 1  # there are no tags behind
+    return html.unescape(_TAG.sub(" ", whole[:cut]) + whole[cut:])
 
 
 def trigrams_of(text: str) -> Counter:
@@ -61,26 +80,39 @@ def trigrams_of(text: str) -> Counter:
     return found
 
 
-def train(texts: list[tuple[str, str | None]]) -> tuple[list[str], np.ndarray]:
-    """Languages, and each one's log probabilities of the buckets."""
-    languages = sorted({lang for lang, _ in texts})
-    counts = np.full((len(languages), BUCKETS), 0.1)
-    for lang, text in texts:
-        own = trigrams_of(text or "")
-        np.add.at(counts[languages.index(lang)], list(own.keys()), list(own.values()))
-    return languages, np.log(counts / counts.sum(axis=1, keepdims=True))
+def train(counts: dict[str, dict[int, int]]) -> tuple[list[str], np.ndarray]:
+    """Languages, and each one's log probabilities of the buckets, from the buckets' counts."""
+    languages = sorted(counts)
+    table = np.full((len(languages), BUCKETS), 0.1)
+    for own, lang in zip(table, languages, strict=True):
+        own[list(counts[lang].keys())] += list(counts[lang].values())
+    return languages, np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The text model from docs' text and lang."""
     named = docs.select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text")).where("lang is not null")
-    picked = F.lit(False)
-    for r in named.groupBy("lang").count().collect():
-        picked = picked | ((F.col("lang") == r["lang"]) & low_hash("doc_id", sample, r["count"]))
-    short = named.where(picked & (F.coalesce(F.length("text"), F.lit(0)) <= sample_chars))
+    sizes = [(r["lang"], r["count"]) for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
+    # a language's rows with the smallest hashes: about four times sample of them, then sample
+    shares = [(lang, min(2**63 - 1, int(-(2**63) + min(1.0, 4 * sample / n) * 2**64))) for lang, n in sizes]
+    known = docs.sparkSession.createDataFrame(shares, "lang string, edge long")
+    some = named.join(F.broadcast(known), "lang").where(F.xxhash64("doc_id") <= F.col("edge"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    rows = short.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).orderBy("lang", "n").collect()
-    return train([(r["lang"], r["text"]) for r in rows])
+    picked = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in row_slices(batches, "text", SLICE_BYTES):
+            counts: dict[str, Counter] = {}
+            for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                counts.setdefault(lang, Counter()).update(trigrams_of(text or ""))
+            for lang, own in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own.keys()), pa.int32()), pa.array(list(own.values()), pa.int64())], names=["lang", "bucket", "n"])
+
+    counts: dict[str, dict[int, int]] = {lang: {} for lang, _ in sizes}
+    # languages x BUCKETS rows at most
+    for r in picked.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r["lang"]][r["bucket"]] = r["n"]
+    return train(counts)
 
 
 def likelihoods(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -139,7 +171,8 @@ def identify(pages: DataFrame, docs: DataFrame, model: tuple[list[str], np.ndarr
     addressed = F.when(suffix.isin(*languages), suffix).when(part.isin(*languages), part).otherwise(F.lit(""))
     seen = likelihoods(pages, model).withColumn("host", host).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("addressed", addressed)
     seen = seen.withColumn("evidence", plus(F.col("ll"), told(F.col("declared"), languages, DECLARED), told(F.col("addressed"), languages, ADDRESSED)))
-    seen = seen.select("page_id", "host", "domain", "declared", "addressed", "evidence", normalised(F.col("evidence")).alias("own"))
+    # the texts are scored once, for the sums and for the pages
+    seen = checkpointed(seen.select("page_id", "host", "domain", "declared", "addressed", "evidence", normalised(F.col("evidence")).alias("own")))
     sums = [F.sum(F.col("own")[i]) for i in range(len(languages))]
     hosts = seen.groupBy("host", "domain").agg(F.array(*sums).alias("by_host"))
     of_hosts = [F.sum(F.col("by_host")[i]) for i in range(len(languages))]
