@@ -66,7 +66,7 @@ def rows_of(df, *cols):
 @pytest.mark.parametrize("window", [1, 3, 35])
 def test_repeats_odd(spark, window):
     docs = odd_docs(spark)
-    found = substring_dedup.repeated_passages(docs, window, block_bytes=5000)
+    found = substring_dedup.repeated_passages(docs, window, block_bytes=5000, range_hashes=3000)
     assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_repeats([(r[0], r[1]) for r in docs.collect()], window)
     for r in found.collect():
         assert hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"]
@@ -90,7 +90,29 @@ def test_window_hashes_follow_words():
             assert same.setdefault(x, tuple(words[i : i + window])) == tuple(words[i : i + window])
         assert len(same) == len({tuple(words[i : i + window]) for i in range(len(h))})
     sample = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
-    assert (substring_dedup.unpack(substring_dedup.pack(sample)) == sample).all()
+    more = rng.integers(0, 2**32, len(sample)).astype(np.uint32)
+    for n in (1, 2, len(sample)):
+        got = substring_dedup.unpack(substring_dedup.pack(sample[:n], more[:n]))
+        assert (got[0] == sample[:n]).all() and (got[1] == more[:n]).all()
+
+
+def test_other_bits_tell_windows_apart():
+    """Of equal 64-bit hashes only those with equal other bits count as equal, in whatever order they come."""
+    hashes, more = np.array([5, 9, 5, 5, 9, 5], np.uint64), np.array([1, 0, 2, 1, 0, 3], np.uint32)
+    order = substring_dedup.ordered(hashes, more)
+    same = substring_dedup.alike(hashes[order], more[order])
+    shared = same.copy()
+    shared[:-1] |= same[1:]
+    flags = np.empty(6, bool)
+    flags[order] = shared
+    assert flags.tolist() == [True, True, False, True, True, False]
+
+
+def test_equal_rows_are_spread_over_blocks(spark):
+    docs = spark.createDataFrame([(None, "w " * 50)] * 200 + [(1, "other words")], "doc_id long, text string").coalesce(1)
+    assert substring_dedup.blocks_of(docs, 1000).count() >= 20
+    found = substring_dedup.repeated_passages(docs, 35, block_bytes=1000)
+    assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_repeats([(r[0], r[1]) for r in docs.collect()], 35)
 
 
 # simhash
