@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -89,64 +90,90 @@ def test_battery_tells_random_from_prose(spark):
     assert len([i for i in found if i >= 400]) >= 34
 
 
-def nearest_template(part):
-    grams = licenses.bigrams_of(licenses.words_of(part))
-    found = []
-    for name, notice in licenses.TEMPLATES:
-        own = licenses.bigrams_of(licenses.words_of(notice))
-        dice = 2 * len(set(grams) & set(own)) / (len(grams) + len(own))
-        if grams and dice >= licenses.THRESHOLD:
-            found.append((-dice, name))
-    return min(found, default=None)
-
-
-def plain_licences(text):
-    lines = (text or "").split("\n")
-    alone = [nearest_template(line) for line in lines]
-    out, runs = [b for b in alone if b], set()
-    rare = re.compile("(?i)(?<![a-z0-9])(?:" + "|".join(licenses.anchors(licenses.TEMPLATES, licenses.THRESHOLD)) + ")(?![a-z0-9])")
-    for at, line in enumerate(lines):
-        if alone[at] is None and rare.search(line):
-            own = []
-            for n in range(2, licenses.WRAP + 1):
-                for first in range(max(0, at - n + 1), min(at, len(lines) - n) + 1):
-                    if not any(alone[first : first + n]) and (b := nearest_template(" ".join(lines[first : first + n]))):
-                        own.append((*b, n, first))
-            if own:
-                runs.add(min(own))
-    return out + [r[:2] for r in runs]
+def bigrams(text):
+    words = re.findall("[a-z0-9]+", text.lower())
+    return [" ".join(p) for p in zip(words, words[1:])]
 
 
-def check_licences(rows, texts):
-    for r in rows:
-        want = plain_licences(texts[r["doc_id"]])
-        assert r["n_notices"] == len(want)
-        assert r["found"] == ",".join(sorted({n for _, n in want}))
-        if want:
-            assert r["licence"] == min(want)[1] and abs(r["dice"] + min(want)[0]) < 1e-6
-        else:
-            assert r["licence"] is None
+KNOWN = [(name, Counter(bigrams(notice))) for name, notice in licenses.TEMPLATES]
 
 
-def test_licences(spark, sf_dir):
-    texts = {r["doc_id"]: r["text"] for r in read(spark, sf_dir, "documents").collect()}
+def plain_best(text):
+    """(dice, licence) over all templates and all windows of a text that begin and end with a template's bigram."""
+    grams, best = bigrams(text), (0.0, "")
+    for name, own in KNOWN:
+        n = own.total()
+        hits = [i for i, g in enumerate(grams) if g in own]
+        for at, p in enumerate(hits):
+            left, shared = own.copy(), 0
+            for q in hits[at:]:
+                if q - p >= 1.5 * n:
+                    break
+                if left[grams[q]]:
+                    left[grams[q]] -= 1
+                    shared += 1
+                best = max(best, (2 * shared / (q - p + 1 + n), name))
+    return best
+
+
+def check_licences(rows, texts):
+    """Every notice has the coefficient it says; texts have one exactly if some window is above the threshold."""
+    templates = {}
+    for name, own in KNOWN:
+        templates.setdefault(name, []).append(own)
+    for r in rows:
+        grams = bigrams(texts[r["doc_id"]] or "")
+        for x in r["l"]:
+            part = Counter(grams[x["first"] : x["last"]])
+            assert max(2 * (part & own).total() / (part.total() + own.total()) for own in templates[x["licence"]]) + 1e-9 >= x["dice"] > licenses.THRESHOLD
+        assert all(a["last"] < b["first"] for a, b in zip(r["l"], r["l"][1:]))
+        dice, name = plain_best(texts[r["doc_id"]] or "")
+        assert bool(r["l"]) == (dice > licenses.THRESHOLD + 1e-9), (texts[r["doc_id"]], dice, name)
+        if r["l"]:
+            assert max(x["dice"] for x in r["l"]) >= dice - 0.05
+
+
+def found_licences(docs):
+    return docs.select("doc_id", licenses.licences(F.coalesce("text", F.lit(""))).alias("l")).collect()
+
+
+def test_licences_whole_table(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    own = found_licences(docs)
+    check_licences(own, texts)
+    by = {r["doc_id"]: r["l"] for r in own}
     rows = queries.op8_license_scan(spark, sf_dir).collect()
     assert len(rows) == len(texts) and any(r["n_notices"] for r in rows)
-    check_licences(rows, texts)
+    for r in rows:
+        assert r["n_notices"] == len(by[r["doc_id"]]) and r["found"] == ",".join(sorted({x["licence"] for x in by[r["doc_id"]]}))
+        assert r["dice"] == (round(max(x["dice"] for x in by[r["doc_id"]]), 6) if by[r["doc_id"]] else None)
+
+
+def test_changed_notices(spark):
     rng, odd = random.Random(2), [None, "", "\n\n", "All rights reserved", "all Rights, RESERVED!\nLicensed under CC BY 4.0", "# Released under MIT License", "rights " * 500]
     for _, notice in licenses.TEMPLATES:
         words = notice.split()
-        for _ in range(6):
-            changed = [w for w in words if rng.random() > 0.1]
+        for share in (0.0, 0.05, 0.1):
+            changed = [w for w in words if rng.random() >= share]
             changed.insert(rng.randrange(len(changed) + 1), "extra")
-            odd.append("prose before\n" + " ".join(changed) + "\nprose after")
-            if len(words) > 8:
-                odd.append("prose before\n\n" + "\n".join(textwrap.wrap(" ".join(changed), len(notice) // 3)) + "\n\nAll rights reserved.\nprose after")
+            odd.append("prose before it, of the sort " + " ".join(changed) + " and after")
+            odd.append("prose before\n\n" + "\n".join(textwrap.wrap(" ".join(changed), 30)) + "\n\nAll rights reserved.\nprose after")
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(odd)], "doc_id long, text string, l string")
-    rows = licenses.scan(docs).collect()
+    rows = found_licences(docs)
     check_licences(rows, dict(enumerate(odd)))
-    assert sum(r["n_notices"] > 0 for r in rows) > 100
-    assert licenses.scan(docs.where("false")).count() == 0
+    assert sum(len(r["l"]) > 0 for r in rows) > 100
+    assert licenses.scan(docs).count() == len(odd) and licenses.scan(docs.where("false")).count() == 0
+
+
+def test_notices_inside_lines(spark):
+    texts = {
+        0: "Copyright (c) 2021 Example Corp. All rights reserved.", 1: "// Licensed under the MIT License (see LICENSE file).",
+        2: "Some prose before it. Licensed under the Apache License, Version 2.0.", 3: "SPDX-License-Identifier: MIT", 4: "SPDX-License-Identifier: Something-Else",
+        5: "This library is released under the MIT License. " * 3, 6: " * ".join(textwrap.wrap("x y. " + dict(licenses.TEMPLATES)["MIT"] + " z", 20)), 7: "the rights of all people are reserved",
+    }
+    rows = {r["doc_id"]: [x["licence"] for x in r["l"]] for r in found_licences(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))}
+    assert rows == {0: ["all-rights-reserved"], 1: ["MIT"], 2: ["Apache-2.0"], 3: ["MIT"], 4: [], 5: ["MIT"] * 3, 6: ["MIT"], 7: []}
 
 
 def test_sums_before(spark):
