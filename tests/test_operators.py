@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectide.functions.distance import dimension
-from vectide.operators import evaluate, flat, hnsw, kmeans, partition, pq, sq
+from vectide.operators import blocks, evaluate, flat, hnsw, kmeans, partition, pq, sq
 from vectide.operators.ivf import IVFIndex, IVFPQIndex
 from vectide.sources import fbin
 from vectide.streaming.search import search_stream, upsert_stream
@@ -32,9 +32,9 @@ def rows(df):
 def test_ties_short_results_and_negative_distances(spark):
     base = table(spark, [(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [5.0, 0.0])])
     asked = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, qv array<float>")
-    for found in (flat.nearest(base, asked, 10), flat.nearest_by_kernel(base, asked, 10), hnsw.HNSWIndex.build(base, parts=1).search(asked, 10)):
+    for found in (flat.nearest(base, asked, 10), flat.nearest_in_blocks(base, asked, 10), hnsw.HNSWIndex.build(base, parts=1).search(asked, 10)):
         assert [(r["vec_id"], r["dist"]) for r in found.orderBy("rk").collect()] == [(2, -4.0), (1, 0.0), (3, 0.0)]
-    assert flat.nearest_by_kernel(base, asked, 1).first()["vec_id"] == 2
+    assert flat.nearest_in_blocks(base, asked, 1).first()["vec_id"] == 2
 
 
 def test_bad_vectors_raise(spark):
@@ -70,7 +70,7 @@ def test_sq_of_equal_and_outside_components(spark):
 def test_wide_searches_are_exact(spark):
     base = vectors(spark)
     asked, want = queries(base), rows(flat.nearest(base, queries(base), 10))
-    assert rows(flat.nearest_by_kernel(base, asked, 10)) == want
+    assert rows(flat.nearest_in_blocks(base, asked, 10)) == want
     assert rows(sq.SQIndex.build(base).search(asked, 10, 300)) == want
     assert rows(pq.PQIndex.build(base, 4, 16, 2).search(asked, 10, 300)) == want
     assert rows(IVFIndex.build(base, 8, 2).search(asked, 10, 8)) == want
@@ -149,13 +149,120 @@ def test_balanced_parts(spark):
 
 def test_matrix_files(spark, tmp_path):
     base = vectors(spark, 30)
-    path = str(tmp_path / "x.fbin")
-    fbin.write(base, path)
+    path = str(tmp_path / "x")
+    assert sum(r["rows"] for r in fbin.write(base, path, files=3).collect()) == 30
+    assert fbin.read(spark, path).count() == 30
+    one = sorted(str(p) for p in (tmp_path / "x").iterdir())
+    assert len(one) == 3 and fbin.read(spark, one[0]).count() < 30
     assert sorted(map(tuple, ((r["vec_id"], *r["embedding"]) for r in fbin.read(spark, path).collect()))) == sorted((r["vec_id"], *r["embedding"]) for r in base.collect())
-    with open(path, "ab") as f:
+    whole = spark.createDataFrame([(i, [i, -i]) for i in range(5)], "vec_id long, embedding array<int>")
+    fbin.write(whole, str(tmp_path / "i"), "int", files=1)
+    assert sorted(map(tuple, ((r["vec_id"], *r["embedding"]) for r in fbin.read(spark, str(tmp_path / "i"), "int").collect()))) == [(i, i, -i) for i in range(5)]
+    with open(one[1], "ab") as f:
         f.write(b"odd")
-    with pytest.raises(Exception, match="bytes don't hold"):
-        fbin.read(spark, path).collect()
+    with pytest.raises(ValueError, match="bytes don't hold"):
+        fbin.read(spark, path)
+    with pytest.raises(FileNotFoundError):
+        fbin.read(spark, str(tmp_path / "none"))
+
+
+def test_queries_beyond_a_broadcast(spark, monkeypatch):
+    """All searches give the same for more queries than are broadcast, block by block."""
+    base = vectors(spark, 400, 8)
+    base = base.withColumn("doc_id", (F.col("vec_id") % 7).cast("int")).cache()
+    asked = flat.queries_of(base, F.lit(True))
+    scalar, product = sq.SQIndex.build(base), pq.PQIndex.build(base, 4, 16, 2)
+    searches = (
+        lambda: flat.nearest(base, asked, 5), lambda: flat.nearest(base, asked, 5, "l2"), lambda: flat.within(base, asked, 0.5, 2, 9), lambda: flat.within(base, asked, 0.6),
+        lambda: flat.by_documents(base, asked, 3), lambda: scalar.search(asked, 5, 20), lambda: product.search(asked, 5, 20), lambda: sq.nearest_codes(scalar.coded, scalar.coded.selectExpr("vec_id as qid", "code as qv"), 5, sq.code_l2),
+    )
+    few = [rows(s()) for s in searches]
+    for name, n in (("BROADCAST_BYTES", 100), ("QUERY_ROWS", 90), ("PART_ROWS", 70)):
+        monkeypatch.setattr(blocks, name, n)
+    assert [rows(s()) for s in searches] == few
+
+
+def test_2500_queries(spark):
+    base = vectors(spark, 2500, 4)
+    asked = flat.queries_of(base, F.lit(True))
+    assert sq.SQIndex.build(base).search(asked, 3, 10).count() == 7500
+    assert pq.PQIndex.build(base, 2, 8, 1).search(asked, 3, 10).count() == 7500
+    assert flat.within(base, asked, 0.0).where("qid = vec_id").count() > 1000
+    assert flat.by_documents(base.withColumn("doc_id", F.col("vec_id") % 2), asked, 1).select("qid").distinct().count() == 2500
+
+
+def test_equal_vectors_share_a_cell():
+    x = np.random.default_rng(3).normal(size=(500, 16))
+    centres = np.concatenate((x[:20], x[:20], x[:20]))
+    assert (kmeans.nearest_cells(x, centres) == kmeans.nearest_cells(x, x[:20])).all()
+    assert (kmeans.nearest_cells(np.repeat(x, 3, axis=0), x[:20]).reshape(500, 3) == kmeans.nearest_cells(x, x[:20])[:, None]).all()
+
+
+def test_places_of_scattered_ids(spark, monkeypatch):
+    ids = [i * i * i - 10**9 * (i % 3) for i in range(250)]
+    base = spark.createDataFrame([(i, [1.0]) for i in ids], "vec_id long, embedding array<float>")
+    for n in (None, 2_500_000):  # one bucket, and 25
+        got = {r["vec_id"]: r["at"] for r in kmeans.numbered(base, n).collect()}
+        assert got == {v: at for at, v in enumerate(sorted(ids))}
+
+
+def test_weighted_seeds(spark):
+    base = table(spark, [(i, [1.0, 0.0]) for i in range(50)] + [(100, [0.0, 1.0]), (101, [-1.0, 0.0])])
+    assert {tuple(s) for s in kmeans.weighted_seeds(base, 3)} == {(1.0, 0.0), (0.0, 1.0), (-1.0, 0.0)}
+    assert kmeans.weighted_seeds(base, 3) == kmeans.weighted_seeds(base, 3)
+    same = table(spark, [(i, [1.0, 0.0]) for i in range(5)])
+    assert kmeans.weighted_seeds(same, 3) == [[1.0, 0.0]] * 3
+    base = vectors(spark, 600, 16)
+    truth = flat.nearest(base, queries(base), 10)
+    assert evaluate.mean_recall(pq.PQIndex.build(base, 4, 64, 4, weighted=True).search(queries(base), 10, 100), truth, 10).first()[0] >= 0.8
+
+
+def test_stop_conditions(spark):
+    base = vectors(spark, 400, 8).withColumn("doc_id", (F.col("vec_id") % 9).cast("int"))
+    asked = queries(base)
+    index = hnsw.HNSWIndex.build(base, parts=2)
+    assert rows(index.within(asked, 0.4, least=400, most=400)) == rows(flat.within(base, asked, 0.4))
+    few = index.within(asked, 0.4, least=1, most=5)
+    assert few.where("dist > 0.4").count() == 0 and few.groupBy("qid").count().where("count > 5").count() == 0
+    truth = flat.within(base, asked, 0.4)
+    near = index.within(asked, 0.4, least=30, most=400)
+    assert near.join(truth, ["qid", "vec_id"]).count() >= 0.95 * truth.count()
+    assert rows(index.by_documents(asked, base, 3, None)) == rows(flat.by_documents(base, asked, 3))
+    docs = index.by_documents(asked, base, 3, 9)
+    assert docs.groupBy("qid").agg(F.countDistinct("doc_id").alias("n")).where("n > 3").count() == 0
+    assert rows(index.search(asked, 10, None)) == rows(flat.nearest(base, asked, 10))
+    narrow, wide = (index.effort(asked, 5, w).agg(F.sum("hops"), F.sum("distances")).first() for w in (5, 100))
+    assert 0 < narrow[0] < wide[0] and 0 < narrow[1] < wide[1]
+
+
+def test_large_cells_are_dealt_out(spark, monkeypatch):
+    base = vectors(spark, 300, 8)
+    want = rows(IVFIndex.build(base, 4, 2).search(queries(base), 10, 4))
+    from vectide.operators import ivf
+
+    for module in (ivf, hnsw):
+        monkeypatch.setattr(module, "PART_ROWS", 20)
+    monkeypatch.setattr(ivf, "QUERY_ROWS", 4)
+    assert rows(IVFIndex.build(base, 4, 2).search(queries(base), 10, 4)) == want
+    cells = hnsw.CellGraphIndex.build(base, 4, 2)
+    assert cells.shares.agg(F.max("shares")).first()[0] > 2
+    assert rows(cells.search(queries(base), 10, 4, None)) == want
+    assert rows(hnsw.CellGraphIndex.build(base, 4, 2, coarse=True).search(queries(base), 10, 4, None)) == want
+
+
+def test_new_rows_take_deleted_slots(spark):
+    base = vectors(spark, 60)
+    index = hnsw.HNSWIndex.build(base, parts=1).delete(base.where("vec_id < 5"))
+    more = index.upsert(table(spark, [(100, [0.25] * 8), (101, [0.5] * 8)]), replace_deleted=True)
+    assert tuple(more.counts().first()) == (60, 3)
+    assert tuple(more.upsert(table(spark, [(200 + i, [0.25] * 8) for i in range(4)]), replace_deleted=True).counts().first()) == (61, 0)
+
+
+def test_timed_sweep(spark):
+    base = vectors(spark, 200)
+    found = evaluate.timed_sweep(lambda k: flat.nearest(base, queries(base), k), [{"k": 10}, {"k": 5}], flat.nearest(base, queries(base), 10), 10).collect()
+    assert [(r["config"], r["recall"]) for r in found] == [("k=10", 1.0), ("k=5", 0.5)]
+    assert found[0]["speed_up"] == 1.0 and all(r["query_us"] > 0 for r in found)
 
 
 def test_streams(spark, tmp_path):

@@ -31,16 +31,6 @@ def l2_distance(a: Column, b: Column) -> Column:
     return _folded(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")), F.lit(0.0))
 
 
-def inner_product_int(a: Column, b: Column) -> Column:
-    """Of codes, exact."""
-    return _folded(a, b, lambda x, y: x.cast("bigint") * y.cast("bigint"), F.lit(0).cast("bigint"))
-
-
-def l2_distance_int(a: Column, b: Column) -> Column:
-    """Of codes, squared, exact."""
-    return _folded(a, b, lambda x, y: (x.cast("bigint") - y.cast("bigint")) * (x.cast("bigint") - y.cast("bigint")), F.lit(0).cast("bigint"))
-
-
 METRICS: dict[str, Callable[[Column, Column], Column]] = {"ip": ip_distance, "l2": l2_distance}
 
 

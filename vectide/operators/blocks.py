@@ -1,28 +1,36 @@
-"""Queries meeting stored vectors in blocks.
+"""Queries meeting stored vectors.
 
-Stored rows lie in parts; each part meets each block of the queries that are sent to it in one
-task, which holds one part and one block. Neither side is broadcast or collected.
+A kernel gets some stored rows and some queries. Queries of BROADCAST_BYTES at most (counted)
+are sent to a scan of the stored rows; others meet them in blocks: stored rows lie in parts, and
+each part meets each block of the queries that are sent to it in one task, which holds one part
+and one block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a part, and queries of a block, at most about so many.
 PART_ROWS, QUERY_ROWS = 32_768, 4_096
+#: Bytes of queries, as doubles, that are sent to every task at most.
+BROADCAST_BYTES = 8 << 20
+#: Queries whose distances to a part are held at a time.
+CHUNK = 128
 
+Kernel = Callable[[pa.Table, pa.Table], pa.Table]
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def deal(n: int, column: str = "vec_id"):
+def deal(n: int, column: str = "vec_id") -> Column:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
@@ -30,7 +38,13 @@ def parts_for(rows: int) -> int:
     return max(1, -(-rows // PART_ROWS))
 
 
-def meet(stored: DataFrame, queries: DataFrame, task: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def small_table(queries: DataFrame) -> pa.Table | None:
+    """queries as one table if they are few enough to be broadcast; qv is their array column."""
+    seen = queries.agg(F.count("*").alias("n"), F.sum(F.size("qv").cast("long") + 2).alias("values")).first()
+    return queries.toArrow() if 8 * (seen["values"] or 0) <= BROADCAST_BYTES else None
+
+
+def meet(stored: DataFrame, queries: DataFrame, task: Kernel, schema: str) -> DataFrame:
     """task(rows of a part, a block of its queries) for all; both frames have a column part, queries also qid and qv."""
     blocks = max(1, -(-queries.select("qid").distinct().count() // QUERY_ROWS))
     left = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -38,7 +52,59 @@ def meet(stored: DataFrame, queries: DataFrame, task: Callable[[pa.Table, pa.Tab
     return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(task, schema)
 
 
+def in_blocks(stored: DataFrame, queries: DataFrame, task: Kernel, schema: str) -> DataFrame:
+    """task over all pairs of rows and queries, block by block."""
+    parts = parts_for(stored.count())
+    every = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return meet(stored.withColumn("part", deal(parts)), every, task, schema)
+
+
+def every_pair(stored: DataFrame, queries: DataFrame, task: Kernel, schema: str) -> DataFrame:
+    """task over all pairs of rows and queries, each pair in one call."""
+    small = small_table(queries)
+    if small is None:
+        return in_blocks(stored, queries, task, schema)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, small.schema) as out:
+        out.write_table(small)
+    shared = stored.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = pa.ipc.open_stream(shared.value).read_all()
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PART_ROWS:
+                yield from task(pa.Table.from_batches(held), right).to_batches()
+                held = []
+        if sum(b.num_rows for b in held):
+            yield from task(pa.Table.from_batches(held), right).to_batches()
+
+    return stored.mapInArrow(run, schema)
+
+
 def to_every_part(queries: DataFrame, stored: DataFrame) -> DataFrame:
     """queries once for each part of stored; the parts' numbers are collected, PART_ROWS rows giving one."""
     parts = [r["part"] for r in stored.select("part").distinct().collect()]
-    return queries.withColumn("part", F.explode(F.array(*map(F.lit, parts)).cast("array<int>")))
+    return queries.withColumn("part", F.explode(F.lit(parts).cast("array<int>")))
+
+
+def found_table(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    """(qid, vec_id, dist) of lists (qid, ids, distances)."""
+    none = np.zeros(0)
+    return pa.table(
+        {
+            "qid": pa.array(np.concatenate([np.full(len(i), q, np.int64) for q, i, _ in found] or [none]), pa.int64()),
+            "vec_id": pa.array(np.concatenate([i for _, i, _ in found] or [none]), pa.int64()),
+            "dist": pa.array(np.concatenate([d for *_, d in found] or [none]), pa.float64()),
+        }
+    )
+
+
+def least(ids: np.ndarray, distances: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least distances, in order; ties go to the smaller id."""
+    if k < len(distances):
+        near = np.flatnonzero(distances <= np.partition(distances, k - 1)[k - 1])
+    else:
+        near = np.arange(len(distances))
+    return near[np.lexsort((ids[near], distances[near]))[:k]]

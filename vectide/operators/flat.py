@@ -1,22 +1,25 @@
 """Exact search over a table of vectors: nearest k, filtered, by range, by document; upserts and deletes.
 
 Tables are (vec_id, embedding, ...), queries (qid, qv); results (qid, vec_id, dist, rk), nearest
-first, ties to the smaller vec_id.
+first, ties to the smaller vec_id. Distances come from matrix products; those that may count are
+worked out again row by row, so that equal vectors get equal distances wherever they stand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import array_distances, dimension, metric
-from .blocks import deal, matrix, meet, parts_for, to_every_part
+from .blocks import CHUNK, every_pair, found_table, in_blocks, least, matrix
 from .topk import RESULT, top_k
 
-#: Queries that are broadcast to a scan at most; more of them meet the table in blocks.
-BROADCAST_QUERIES = 2_000
+FOUND = "qid long, vec_id long, dist double"
 
 
 def queries_of(vectors: DataFrame, which: Column) -> DataFrame:
@@ -24,56 +27,75 @@ def queries_of(vectors: DataFrame, which: Column) -> DataFrame:
     return vectors.where(which).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
-def pairs(base: DataFrame, queries: DataFrame, by: str = "ip") -> DataFrame:
-    """(qid, all of base's columns, dist) of every query and row; queries have to be few."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries; nearest() takes them in blocks")
-    return base.crossJoin(F.broadcast(queries)).withColumn("dist", metric(by)(F.col("qv"), F.col("embedding"))).drop("qv")
+def _close(by: str, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
+    """For each query its number, its distances to all rows, and how far off they may be."""
+    squares = np.einsum("ij,ij->i", x, x)
+    largest = float(np.sqrt(squares.max(initial=0.0)))
+    for a in range(0, len(y), CHUNK):
+        some = y[a : a + CHUNK]
+        products = some @ x.T
+        for j, q in enumerate(some):
+            norm = float(np.sqrt(q @ q))
+            d = 1.0 - products[j] if by == "ip" else squares - 2.0 * products[j] + norm * norm
+            yield a + j, d, 1e-12 * len(q) * (1.0 + (largest + norm) ** 2)
+
+
+def _top(by: str, k: int):
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            ids, x, qids, y = left.column("vec_id").to_numpy(), matrix(left.column("embedding")), right.column("qid").to_numpy(), matrix(right.column("qv"))
+            for i, d, off in _close(by, x, y):
+                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1] + 2 * off) if k < len(d) else np.arange(len(d))
+                exact = array_distances(by, x[near], y[i])
+                best = least(ids[near], exact, k)
+                found.append((qids[i], ids[near[best]], exact[best]))
+        return found_table(found)
+
+    return task
 
 
 def nearest(base: DataFrame, queries: DataFrame, k: int = 10, by: str = "ip", where: Column | None = None) -> DataFrame:
-    """The k nearest rows of each query, of those where a predicate holds; by columns if queries are few, else by kernel."""
+    """The k nearest rows of each query, of those where a predicate holds."""
+    metric(by)
     kept = base if where is None else base.where(where)
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        return top_k(pairs(kept.select("vec_id", "embedding"), queries, by), k)
-    return nearest_by_kernel(kept, queries, k, by)
+    return top_k(every_pair(kept.select("vec_id", "embedding"), queries, _top(by, k), FOUND), k)
 
 
-def nearest_by_kernel(base: DataFrame, queries: DataFrame, k: int = 10, by: str = "ip") -> DataFrame:
-    """The same through matrix products in workers, parts against blocks of queries."""
+def nearest_in_blocks(base: DataFrame, queries: DataFrame, k: int = 10, by: str = "ip") -> DataFrame:
+    """The same for any number of queries, without a broadcast."""
+    metric(by)
+    return top_k(in_blocks(base.select("vec_id", "embedding"), queries, _top(by, k), FOUND), k)
+
+
+def within(base: DataFrame, queries: DataFrame, eps: float, least_rows: int = 0, most: int | None = None, by: str = "ip") -> DataFrame:
+    """Rows at most eps from each query, the nearest most of them; never fewer than the nearest least_rows."""
     metric(by)
-    stored = base.select("vec_id", "embedding").withColumn("part", deal(parts_for(base.count())))
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"qid": [], "vec_id": [], "dist": []}
+        found = []
         if left.num_rows and right.num_rows:
             ids, x, qids, y = left.column("vec_id").to_numpy(), matrix(left.column("embedding")), right.column("qid").to_numpy(), matrix(right.column("qv"))
-            for i, q in enumerate(y):
-                d = array_distances(by, x, q)
-                edge = np.partition(d, k - 1)[k - 1] if k < len(d) else np.inf
-                near = np.flatnonzero(d <= edge)
-                near = near[np.lexsort((ids[near], d[near]))[:k]]
-                out["qid"].append(np.full(len(near), qids[i]))
-                out["vec_id"].append(ids[near])
-                out["dist"].append(d[near])
-        return pa.table({c: pa.array(np.concatenate(v) if v else [], t) for (c, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-
-    return top_k(meet(stored, to_every_part(queries, stored), task, "qid long, vec_id long, dist double"), k)
-
+            for i, d, off in _close(by, x, y):
+                edge = eps
+                if least_rows:
+                    edge = max(eps, np.partition(d, least_rows - 1)[least_rows - 1] if least_rows < len(d) else np.inf)
+                near = np.flatnonzero(d <= edge + 2 * off)
+                exact = array_distances(by, x[near], y[i])
+                order = np.lexsort((ids[near], exact))
+                good = (exact[order] <= eps) | (np.arange(len(order)) < least_rows)
+                order = order[good] if most is None else order[good][:most]
+                found.append((qids[i], ids[near[order]], exact[order]))
+        return found_table(found)
 
-def within(base: DataFrame, queries: DataFrame, eps: float, least: int = 0, most: int | None = None, by: str = "ip") -> DataFrame:
-    """Rows at most eps from each query, the nearest most of them; never fewer than the nearest least."""
     order = Window.partitionBy("qid").orderBy("dist", "vec_id")
-    found = pairs(base.select("vec_id", "embedding"), queries, by)
-    if not least:
-        found = found.where(F.col("dist") <= eps)
-    placed = found.withColumn("rk", F.row_number().over(order).cast("long")).where((F.col("dist") <= eps) | (F.col("rk") <= least))
+    found = every_pair(base.select("vec_id", "embedding"), queries, task, FOUND)
+    placed = found.withColumn("rk", F.row_number().over(order).cast("long")).where((F.col("dist") <= eps) | (F.col("rk") <= least_rows))
     return (placed if most is None else placed.where(F.col("rk") <= most)).select("qid", "vec_id", "dist", "rk")
 
 
-def by_documents(base: DataFrame, queries: DataFrame, documents: int, doc: str = "doc_id", by: str = "ip") -> DataFrame:
-    """(qid, vec_id, doc_id, dist, rk): the nearest vectors up to the first of one document too many."""
-    found = pairs(base.select("vec_id", "embedding", F.col(doc).alias("doc_id")), queries, by).drop("embedding")
+def before_last_document(found: DataFrame, documents: int) -> DataFrame:
+    """Of (qid, vec_id, doc_id, dist) a query's rows before the first of one document too many, with rk."""
     firsts = found.groupBy("qid", "doc_id").agg(F.min(F.struct("dist", "vec_id")).alias("first"))
     placed = firsts.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("first")))
     stops = placed.where(F.col("n") == documents + 1).select("qid", F.col("first").alias("stop"))
@@ -82,6 +104,33 @@ def by_documents(base: DataFrame, queries: DataFrame, documents: int, doc: str =
     return kept.withColumn("rk", F.row_number().over(order).cast("long")).select("qid", "vec_id", "doc_id", "dist", "rk")
 
 
+def by_documents(base: DataFrame, queries: DataFrame, documents: int, doc: str = "doc_id", by: str = "ip") -> DataFrame:
+    """(qid, vec_id, doc_id, dist, rk): the nearest vectors up to the first of one document too many."""
+    metric(by)
+    kind = base.schema[doc].dataType.simpleString()
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [pa.nulls(0, left.schema.field("doc_id").type)]
+        found = []
+        if left.num_rows and right.num_rows:
+            ids, x, qids, y = left.column("vec_id").to_numpy(), matrix(left.column("embedding")), right.column("qid").to_numpy(), matrix(right.column("qv"))
+            docs = left.column("doc_id").combine_chunks()
+            codes = pc.dictionary_encode(docs, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            for i, q in enumerate(y):
+                d = array_distances(by, x, q)
+                order = np.lexsort((ids, d))
+                firsts = np.sort(np.unique(codes[order], return_index=True)[1])
+                if len(firsts) > documents:  # what comes later here comes later among all rows, too
+                    order = order[: firsts[documents] + 1]
+                found.append((qids[i], ids[order], d[order]))
+                out.append(docs.take(pa.array(order)))
+        table = found_table(found)
+        return pa.table([table["qid"], table["vec_id"], pa.concat_arrays(out), table["dist"]], names=["qid", "vec_id", "doc_id", "dist"])
+
+    stored = base.select("vec_id", "embedding", F.col(doc).alias("doc_id"))
+    return before_last_document(every_pair(stored, queries, task, f"qid long, vec_id long, doc_id {kind}, dist double"), documents)
+
+
 def delete(base: DataFrame, ids: DataFrame) -> DataFrame:
     """base without ids' vec_ids; unknown ones change nothing."""
     return base.join(ids.select("vec_id"), "vec_id", "left_anti").select(*base.columns)
@@ -127,4 +176,4 @@ class FlatIndex:
         return cls(spark.read.parquet(path), by)
 
 
-__all__ = ["RESULT", "FlatIndex", "by_documents", "delete", "nearest", "nearest_by_kernel", "pairs", "queries_of", "upsert", "within"]
+__all__ = ["RESULT", "FlatIndex", "before_last_document", "by_documents", "delete", "nearest", "nearest_in_blocks", "queries_of", "upsert", "within"]

@@ -1,10 +1,13 @@
 """Layered proximity graphs, one for each part of a table.
 
 A graph is built and searched in one task, in numpy, and stored as rows (part, node, vec_id,
-level, deleted, embedding, links), links[l] holding a node's neighbours on level l. A row's level
-is drawn from a hash of its vec_id, so graphs don't depend on the order of rows or on retries. A
-search expands one or several of the best open nodes at a time, their neighbours' distances in
-one product; queries go to the parts' tasks in blocks and the parts' results merge.
+level, deleted, embedding, links), links[l] holding a node's neighbours on level l. Nodes are kept
+in the shared folder once they are built, so that searches, deletes and counts don't build them
+again. A row's level is drawn from a hash of its vec_id, so graphs don't depend on the order of
+rows or on retries. A search expands one or several of the best open nodes at a time, their
+neighbours' distances in one product; queries go to the parts' tasks in blocks and the parts'
+results merge. When a walk ends is up to a stop condition: a beam's width, a distance, or a number
+of documents.
 
 The part's entry is its first node of the highest level. Pruning links can cut nodes off, so the
 finished graph gets a link to each such node; a beam as wide as the graph is then exact.
@@ -14,28 +17,125 @@ from __future__ import annotations
 
 import heapq
 import math
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import array_distances, dimension, metric
-from .blocks import deal, matrix, meet, parts_for, to_every_part
+from ..functions.durable import kept
+from .blocks import PART_ROWS, deal, matrix, meet, parts_for, to_every_part
+from .flat import before_last_document
 from .topk import top_k
 
 NODES = "part int, node int, vec_id long, level int, deleted boolean, embedding array<float>, links array<array<int>>"
+#: Rows that are worth a part of their own, while there are idle cores.
+LEAST_ROWS = 500
+#: Open nodes that are expanded at a time while a graph is built.
+BUILD_FRONTIER = 8
+
+
+class Stop(Protocol):
+    """When a walk over a graph ends, and what it keeps; dist is a node's distance, worst that of the farthest kept node."""
+
+    def add(self, node: int) -> None: ...
+
+    def remove(self, node: int) -> None: ...
+
+    def done(self, dist: float, worst: float) -> bool:
+        """Whether to end before an open node is expanded."""
+
+    def wants(self, dist: float, worst: float) -> bool:
+        """Whether to open and keep a node."""
+
+    def over(self) -> bool:
+        """Whether the farthest kept node has to go."""
+
+    def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        """What counts of the kept nodes, nearest first."""
+
+
+class Width:
+    """The nearest nodes, width of them."""
+
+    def __init__(self, width: int):
+        self.width, self.n = width, 0
+
+    def add(self, node: int) -> None:
+        self.n += 1
+
+    def remove(self, node: int) -> None:
+        self.n -= 1
+
+    def done(self, dist: float, worst: float) -> bool:
+        return self.n >= self.width and dist > worst
+
+    def wants(self, dist: float, worst: float) -> bool:
+        return self.n < self.width or dist < worst
+
+    def over(self) -> bool:
+        return self.n > self.width
+
+    def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        return found
+
+
+class Within(Width):
+    """All nodes at most eps away, the nearest most of them; the walk goes on until it has seen least."""
+
+    def __init__(self, eps: float, least: int, most: int):
+        super().__init__(most)
+        self.eps, self.least = eps, least
+
+    def done(self, dist: float, worst: float) -> bool:
+        return super().done(dist, worst) or (dist > self.eps and self.n >= self.least)
+
+    def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        return [x for x in found if x[0] <= self.eps]
+
+
+class Documents(Width):
+    """The nearest nodes of documents different documents; the beam holds those of width. The first node of one document more is kept to mark the end."""
+
+    def __init__(self, codes: np.ndarray, documents: int, width: int):
+        super().__init__(max(width, documents + 1))
+        self.codes, self.documents, self.nodes = codes, documents, {}
+
+    def add(self, node: int) -> None:
+        doc = self.codes[node]
+        self.nodes[doc] = self.nodes.get(doc, 0) + 1
+        self.n = len(self.nodes)
+
+    def remove(self, node: int) -> None:
+        doc = self.codes[node]
+        self.nodes[doc] -= 1
+        if not self.nodes[doc]:
+            del self.nodes[doc]
+        self.n = len(self.nodes)
+
+    def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        seen: set = set()
+        for i, (_, node) in enumerate(found):
+            seen.add(self.codes[node])
+            if len(seen) > self.documents:
+                return found[: i + 1]
+        return found
 
 
 class Graph:
-    """One part's graph."""
+    """One part's graph; hops and distances count the nodes expanded and the distances taken."""
 
     def __init__(self, vectors: np.ndarray, by: str, m: int):
         self.vectors, self.by, self.m = vectors, by, m
         self.links: list[list[list[int]]] = []
         self.entry = -1
+        self.hops = self.distances = 0
 
     def far(self, query: np.ndarray, nodes) -> np.ndarray:
+        self.distances += len(nodes)
         return array_distances(self.by, self.vectors[nodes], query)
 
     def descend(self, query: np.ndarray, at: int, top: int, bottom: int) -> int:
@@ -43,6 +143,7 @@ class Graph:
         best = self.far(query, [at])[0]
         for level in range(top, bottom, -1):
             while near := self.links[at][level]:
+                self.hops += 1
                 d = self.far(query, near)
                 i = int(d.argmin())
                 if d[i] >= best:
@@ -50,42 +151,54 @@ class Graph:
                 at, best = near[i], d[i]
         return at
 
-    def beam(self, query: np.ndarray, start: int, width: int, level: int, allowed: np.ndarray | None = None, frontier: int = 1) -> list[tuple[float, int]]:
-        """The width nearest (distance, node) that a best-first walk finds, nearest first; nodes that aren't allowed are walked through."""
-        seen = np.zeros(len(self.vectors), bool)
-        seen[start] = True
+    def walk(self, query: np.ndarray, start: int, level: int, stop: Stop, allowed: np.ndarray | None = None, frontier: int = 1) -> list[tuple[float, int]]:
+        """The (distance, node) that a best-first walk keeps, nearest first; nodes that aren't allowed are walked through."""
+        seen = bytearray(len(self.vectors))
+        seen[start] = 1
         open_ = [(float(self.far(query, [start])[0]), start)]
-        kept = [(-open_[0][0], -start)] if allowed is None or allowed[start] else []
+        held: list[tuple[float, int]] = []
+        if allowed is None or allowed[start]:
+            held.append((-open_[0][0], -start))
+            stop.add(start)
+        worst = lambda: -held[0][0] if held else math.inf
         while open_:
             front = []
-            while open_ and len(front) < frontier and (len(kept) < width or open_[0][0] <= -kept[0][0]):
+            while open_ and len(front) < frontier and not stop.done(open_[0][0], worst()):
                 front.append(heapq.heappop(open_)[1])
             if not front:
                 break
-            near = [n for f in front for n in self.links[f][level]]
-            near = list(dict.fromkeys(n for n in near if not seen[n]))
+            self.hops += len(front)
+            near = []
+            for f in front:
+                for n in self.links[f][level]:
+                    if not seen[n]:
+                        seen[n] = 1
+                        near.append(n)
             if not near:
                 continue
-            seen[near] = True
             for d, n in zip(self.far(query, near).tolist(), near, strict=True):
-                if len(kept) < width or d < -kept[0][0]:
+                if stop.wants(d, worst()):
                     heapq.heappush(open_, (d, n))
                     if allowed is None or allowed[n]:
-                        heapq.heappush(kept, (-d, -n))
-                        if len(kept) > width:
-                            heapq.heappop(kept)
-        return sorted((-d, -n) for d, n in kept)
+                        heapq.heappush(held, (-d, -n))
+                        stop.add(n)
+                        while stop.over():
+                            stop.remove(-heapq.heappop(held)[1])
+        return stop.result(sorted((-d, -n) for d, n in held))
 
     def diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Of found, nearest first, those that none chosen before is nearer to than the centre is; all if there are fewer than most."""
         if len(found) < most:
             return [n for _, n in found]
-        chosen: list[int] = []
-        for d, n in found:
-            if len(chosen) == most:
-                break
-            if not chosen or (self.far(self.vectors[n], chosen) >= d).all():
+        nodes, d = [n for _, n in found], np.array([d for d, _ in found])
+        x = self.vectors[nodes]
+        good, chosen = np.ones(len(nodes), bool), []
+        for i, n in enumerate(nodes):
+            if good[i]:
                 chosen.append(n)
+                if len(chosen) == most:
+                    break
+                good[i + 1 :] &= array_distances(self.by, x[i + 1 :], x[i]) >= d[i + 1 :]
         return chosen
 
     def insert(self, node: int, level: int, width: int) -> None:
@@ -97,7 +210,7 @@ class Graph:
         at = self.descend(query, self.entry, top, level)
         for layer in range(min(level, top), -1, -1):
             cap = self.m if layer else 2 * self.m
-            chosen = self.diverse(self.beam(query, at, width, layer), self.m)
+            chosen = self.diverse(self.walk(query, at, layer, Width(width), frontier=BUILD_FRONTIER), self.m)
             self.links[node][layer] = list(chosen)
             for other in chosen:
                 own = self.links[other][layer]
@@ -124,9 +237,9 @@ class Graph:
                     seen[near] = True
                     pending += dict.fromkeys(near)
 
-    def search(self, query: np.ndarray, k: int, width: int, allowed: np.ndarray | None, frontier: int) -> list[tuple[float, int]]:
+    def search(self, query: np.ndarray, stop: Stop, allowed: np.ndarray | None, frontier: int) -> list[tuple[float, int]]:
         at = self.descend(query, self.entry, len(self.links[self.entry]) - 1, 0)
-        return self.beam(query, at, max(width, k), 0, allowed, frontier)[:k]
+        return self.walk(query, at, 0, stop, allowed, frontier)
 
 
 def level_of(vec_id: int, m: int, seed: int) -> int:
@@ -138,7 +251,7 @@ def level_of(vec_id: int, m: int, seed: int) -> int:
 
 
 def build(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed: int = 100) -> DataFrame:
-    """Nodes of a graph for each part; base has part, vec_id, embedding and may have deleted."""
+    """Nodes of a graph for each part, kept; base has part, vec_id, embedding and may have deleted."""
     if m < 2:
         raise ValueError("a node has two links at least")
     metric(by)
@@ -161,35 +274,55 @@ def build(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed:
             }
         )
 
-    return rows.groupBy("part").applyInArrow(graph, NODES)
+    return kept(rows.groupBy("part").applyInArrow(graph, NODES))
 
 
-def search(nodes: DataFrame, queries: DataFrame, k: int = 10, width: int = 50, by: str = "ip", m: int = 16, where: Column | None = None, frontier: int = 1) -> DataFrame:
-    """The nearest k over all parts; queries with a column part go to that part alone.
+def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where: Column | None, frontier: int, doc: str | None = None) -> DataFrame:
+    """(qid, vec_id, dist, doc_id, hops, distances) of every part's own result; stop(left, codes) makes a walk's stop condition.
 
-    where keeps rows out of the result, not out of the walk.
+    The last row of a query and part has no vec_id and says how many nodes were expanded and how many distances taken.
     """
     metric(by)
     allowed = (~F.col("deleted")) if where is None else (~F.col("deleted") & F.coalesce(where, F.lit(False)))
-    stored = nodes.withColumn("allowed", allowed).select("part", "node", "vec_id", "level", "embedding", "links", "allowed")
+    named = F.lit(None).cast("int") if doc is None else F.col(doc)
+    stored = nodes.select("part", "node", "vec_id", "level", "embedding", "links", allowed.alias("allowed"), named.alias("doc_id"))
     asked = queries if "part" in queries.columns else to_every_part(queries, nodes)
+    kind = stored.schema["doc_id"].dataType.simpleString()
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"qid": [], "vec_id": [], "dist": []}
+        out = {"qid": [], "vec_id": [], "dist": [], "node": [], "hops": [], "distances": []}
+        left = left.sort_by("node")
+        docs = left.column("doc_id").combine_chunks()
         if left.num_rows and right.num_rows:
-            left = left.sort_by("node")
             g = Graph(matrix(left.column("embedding")), by, m)
             g.links = left.column("links").to_pylist()
             g.entry = int(left.column("level").to_numpy().argmax())
             ids, good = left.column("vec_id").to_numpy(), np.asarray(left.column("allowed").to_pylist(), bool)
+            codes = pc.dictionary_encode(docs, null_encoding="encode").indices.to_numpy(zero_copy_only=False) if doc else None
             for qid, q in zip(right.column("qid").to_pylist(), matrix(right.column("qv")), strict=True):
-                for d, n in g.search(q, k, width, None if good.all() else good, frontier):
-                    out["qid"].append(qid)
-                    out["vec_id"].append(int(ids[n]))
-                    out["dist"].append(d)
-        return pa.table({"qid": pa.array(out["qid"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "dist": pa.array(out["dist"], pa.float64())})
+                g.hops = g.distances = 0
+                for d, n in g.search(q, stop(len(ids), codes), None if good.all() else good, frontier):
+                    for name, x in zip(out, (qid, int(ids[n]), d, n, None, None), strict=True):
+                        out[name].append(x)
+                for name, x in zip(out, (qid, None, None, None, g.hops, g.distances), strict=True):
+                    out[name].append(x)
+        columns = {
+            "qid": pa.array(out["qid"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "dist": pa.array(out["dist"], pa.float64()),
+            "doc_id": docs.take(pa.array(out["node"], pa.int32())), "hops": pa.array(out["hops"], pa.int64()), "distances": pa.array(out["distances"], pa.int64()),
+        }
+        return pa.table(columns)
+
+    return meet(stored, asked.select("part", "qid", "qv"), walk, f"qid long, vec_id long, dist double, doc_id {kind}, hops long, distances long")
+
+
+def search(nodes: DataFrame, queries: DataFrame, k: int = 10, width: int | None = 50, by: str = "ip", m: int = 16, where: Column | None = None, frontier: int = 1) -> DataFrame:
+    """The nearest k over all parts; queries with a column part go to that part alone.
 
-    return top_k(meet(stored, asked.select("part", "qid", "qv"), walk, "qid long, vec_id long, dist double"), k)
+    where keeps rows out of the result, not out of the walk. Without a width the beam holds a
+    whole part, and the result is exact.
+    """
+    found = _walked(nodes, queries, lambda n, _: Width(n if width is None else max(width, k)), by, m, where, frontier)
+    return top_k(found.where("vec_id is not null"), k)
 
 
 def integrity(nodes: DataFrame) -> DataFrame:
@@ -202,7 +335,7 @@ def integrity(nodes: DataFrame) -> DataFrame:
         F.sum("count").alias("links"), F.sum(F.when(F.col("node") == F.col("to"), F.col("count")).otherwise(0)).alias("to_self"),
         F.sum(F.col("count") - 1).alias("repeated"), F.count(F.when(F.col("known").isNull(), 1)).alias("to_none"),
     )
-    return checked.crossJoin(into)
+    return checked.crossJoin(into)  # one row each
 
 
 class HNSWIndex:
@@ -213,14 +346,39 @@ class HNSWIndex:
 
     @classmethod
     def build(cls, base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", parts: int | None = None) -> HNSWIndex:
-        """base may say each row's part; else rows are dealt evenly by a hash, into parts of bounded size."""
+        """base may say each row's part; else rows are dealt evenly by a hash, into parts of bounded size, as many as there are cores if rows are few."""
         dimension(base)
-        dealt = base if "part" in base.columns else base.withColumn("part", deal(parts or parts_for(base.count())))
+        if "part" in base.columns:
+            dealt = base
+        else:
+            n = base.count()
+            cores = base.sparkSession.sparkContext.defaultParallelism
+            dealt = base.withColumn("part", deal(parts or max(parts_for(n), min(cores, n // LEAST_ROWS))))
         return cls(build(dealt, m, width, by), m, width, by)
 
-    def search(self, queries: DataFrame, k: int = 10, width: int = 50, where: Column | None = None, frontier: int = 1) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, width: int | None = 50, where: Column | None = None, frontier: int = 1) -> DataFrame:
         return search(self.nodes, queries, k, width, self.by, self.m, where, frontier)
 
+    def within(self, queries: DataFrame, eps: float, least: int = 1, most: int = 1000, where: Column | None = None, frontier: int = 1) -> DataFrame:
+        """Rows at most eps away that the walks find, the nearest most of them; a walk doesn't end before it has seen least."""
+        found = _walked(self.nodes, queries, lambda *_: Within(eps, least, most), self.by, self.m, where, frontier)
+        return top_k(found.where("vec_id is not null"), most)
+
+    def by_documents(self, queries: DataFrame, docs: DataFrame, documents: int, width: int | None = 50, frontier: int = 1) -> DataFrame:
+        """(qid, vec_id, doc_id, dist, rk): the nearest vectors of so many documents; docs is (vec_id, doc_id).
+
+        The beam holds the vectors of width documents, or of all without a width.
+        """
+        named = self.nodes.join(docs.select("vec_id", "doc_id"), "vec_id", "left")
+        stop = lambda n, codes: Documents(codes, documents, n if width is None else width)
+        found = _walked(named, queries, stop, self.by, self.m, None, frontier, "doc_id").where("vec_id is not null")
+        return before_last_document(found.select("qid", "vec_id", "doc_id", "dist"), documents)
+
+    def effort(self, queries: DataFrame, k: int = 10, width: int = 50, frontier: int = 1) -> DataFrame:
+        """(qid, hops, distances): nodes expanded and distances taken for each query, over all parts."""
+        found = _walked(self.nodes, queries, lambda n, _: Width(max(width, k)), self.by, self.m, None, frontier)
+        return found.where("vec_id is null").groupBy("qid").agg(F.sum("hops").alias("hops"), F.sum("distances").alias("distances"))
+
     def _marked(self, ids: DataFrame, deleted: bool) -> HNSWIndex:
         named = ids.select("vec_id").distinct().withColumn("named", F.lit(True))
         marked = self.nodes.join(named, "vec_id", "left")
@@ -242,8 +400,9 @@ class HNSWIndex:
     def upsert(self, rows: DataFrame, replace_deleted: bool = False) -> HNSWIndex:
         """New vectors for known ids (which they undelete), others added; the parts they touch are built anew.
 
-        New rows go to parts by a hash. With replace_deleted, deleted rows of these parts make
-        room and a deleted id can't be updated.
+        New rows go to parts by a hash. With replace_deleted each of them takes the place of a
+        deleted row of its part, the first ones first, as long as there are any; a deleted id
+        can't be updated then.
         """
         dimension(rows)
         fresh = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("v"))
@@ -251,11 +410,13 @@ class HNSWIndex:
         if replace_deleted and fresh.join(at.where("deleted"), "vec_id").limit(1).count():
             raise ValueError("a deleted id can't be updated while its slot may be taken")
         parts = [r["part"] for r in self.nodes.select("part").distinct().orderBy("part").collect()] or [0]
-        placed = fresh.join(at, "vec_id", "left").select("vec_id", "v", F.coalesce("old", F.array(*map(F.lit, parts))[deal(len(parts))]).alias("part"))
+        placed = kept(fresh.join(at, "vec_id", "left").select("vec_id", "v", F.coalesce("old", F.lit(parts).cast("array<int>")[deal(len(parts))]).alias("part"), F.col("old").isNull().alias("new")))
         touched = [r["part"] for r in placed.select("part").distinct().collect()]
         old = self.nodes.where(F.col("part").isin(*touched)).join(placed.select("vec_id"), "vec_id", "left_anti")
         if replace_deleted:
-            old = old.where(~F.col("deleted"))
+            taken = placed.where("new").groupBy("part").agg(F.count("*").alias("taken"))
+            place = F.row_number().over(Window.partitionBy("part", "deleted").orderBy("node"))
+            old = old.join(taken, "part", "left").withColumn("place", place).where(~F.col("deleted") | (F.col("place") > F.coalesce("taken", F.lit(0))))
         new = placed.select("part", "vec_id", F.lit(False).alias("deleted"), F.col("v").alias("embedding"))
         rebuilt = build(old.select("part", "vec_id", "deleted", "embedding").unionByName(new), self.m, self.width, self.by)
         return HNSWIndex(self.nodes.where(~F.col("part").isin(*touched)).unionByName(rebuilt), self.m, self.width, self.by)
@@ -277,19 +438,23 @@ class HNSWIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> HNSWIndex:
-        """ValueError if the nodes aren't those that were saved."""
+        """ValueError if the nodes aren't those that were saved, or link to others than their part's."""
         meta, nodes = spark.read.parquet(f"{path}/meta").first(), spark.read.parquet(f"{path}/nodes")
-        bad = nodes.agg(F.count("*").alias("n"), F.count(F.when(F.size("links") != F.col("level") + 1, 1)).alias("odd")).first()
-        if bad["n"] != meta["n"] or bad["odd"]:
-            raise ValueError(f"the index is damaged: {bad['n']} of {meta['n']} nodes, {bad['odd']} with the wrong levels")
+        sizes = nodes.groupBy("part").agg(F.count("*").alias("n"), F.max(F.array_max(F.flatten("links"))).alias("last"), F.count(F.when(F.size("links") != F.col("level") + 1, 1)).alias("odd"))
+        bad = sizes.agg(F.sum("n").alias("n"), F.sum("odd").alias("odd"), F.count(F.when(F.col("last") >= F.col("n"), 1)).alias("beyond")).first()
+        if (bad["n"] or 0) != meta["n"] or bad["odd"] or bad["beyond"]:
+            raise ValueError(f"the index is damaged: {bad['n'] or 0} of {meta['n']} nodes, {bad['odd']} with the wrong levels, links beyond {bad['beyond']} parts")
         return cls(nodes, meta["m"], meta["width"], meta["metric"])
 
 
 class CellGraphIndex:
-    """An inverted file with a graph in every cell; coarse=True finds cells through a graph over the centres."""
+    """An inverted file with graphs in every cell; coarse=True finds cells through a graph over the centres.
+
+    A cell of more than PART_ROWS rows is dealt out to several graphs, all of which are searched.
+    """
 
-    def __init__(self, ivf, graph: HNSWIndex, centres: HNSWIndex | None):
-        self.ivf, self.graph, self.centres = ivf, graph, centres
+    def __init__(self, ivf, graph: HNSWIndex, shares: DataFrame, centres: HNSWIndex | None):
+        self.ivf, self.graph, self.shares, self.centres = ivf, graph, shares, centres
 
     @classmethod
     def build(cls, base: DataFrame, cells: int = 256, rounds: int = 15, m: int = 16, width: int = 200, coarse: bool = False, digits: int | None = None) -> CellGraphIndex:
@@ -297,17 +462,23 @@ class CellGraphIndex:
         from .ivf import IVFIndex, centroid_table
 
         ivf = IVFIndex.build(base, cells, rounds, digits)
-        graph = HNSWIndex.build(ivf.postings.withColumnRenamed("cid", "part"), m, width)
+        ivf.postings = kept(ivf.postings)
+        shares = kept(ivf.postings.groupBy("cid").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("shares")))
+        # part c + s * cells is share s of cell c
+        dealt = ivf.postings.join(shares, "cid").withColumn("part", F.col("cid") + F.pmod(F.xxhash64("vec_id"), F.col("shares")).cast("int") * F.lit(len(ivf.centres)))
+        graph = HNSWIndex.build(dealt.select("part", "vec_id", "embedding"), m, width)
         over = None
         if coarse:
             table = centroid_table(base.sparkSession, ivf.centres)
             over = HNSWIndex.build(table.select(F.col("cid").cast("long").alias("vec_id"), F.col("centroid").cast("array<float>").alias("embedding"), F.lit(0).alias("part")), m, width)
-        return cls(ivf, graph, over)
+        return cls(ivf, graph, shares, over)
 
-    def search(self, queries: DataFrame, k: int = 10, nprobe: int = 8, width: int = 50, frontier: int = 1) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, nprobe: int = 8, width: int | None = 50, frontier: int = 1) -> DataFrame:
         if self.centres is None:
-            probed = self.ivf.probes(queries, nprobe).select("qid", "qv", F.col("cid").alias("part"))
+            probed = self.ivf.probes(queries, nprobe).select("qid", "qv", "cid")
         else:
             cells = self.centres.search(queries, nprobe, width)
-            probed = cells.select("qid", F.col("vec_id").cast("int").alias("part")).join(queries, "qid")
-        return search(self.graph.nodes, probed, k, width, self.graph.by, self.graph.m, None, frontier)
+            probed = cells.select("qid", F.col("vec_id").cast("int").alias("cid")).join(queries, "qid")
+        every = probed.join(self.shares, "cid").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        asked = every.select("qid", "qv", (F.col("cid") + F.col("s") * F.lit(len(self.ivf.centres))).alias("part"))
+        return search(self.graph.nodes, asked, k, width, self.graph.by, self.graph.m, None, frontier)

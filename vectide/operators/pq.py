@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..functions.distance import dimension, inner_product
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from ..functions.distance import dimension
 from . import kmeans
-from .flat import BROADCAST_QUERIES
+from .blocks import every_pair, found_table, least, matrix
 from .sq import rerank
 from .topk import top_k
 
@@ -15,44 +19,49 @@ from .topk import top_k
 UNIT = 1e9
 
 
-def split(vector: Column, m: int, width: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.slice(vector, i * width + 1, F.lit(width)))
+def train(base: DataFrame, m: int, words: int, rounds: int, digits: int | None = None, weighted: bool = False, seed: int = 42) -> list[list[list[float]]]:
+    """Codebooks [sub-space][word][component], each trained by itself from strided seeds, or from distance-weighted ones."""
+    width = dimension(base) // m
+    spans = [slice(i * width, (i + 1) * width) for i in range(m)]
+    if weighted:
+        books = [kmeans.weighted_seeds(base, words, part=s, seed=seed + i) for i, s in enumerate(spans)]
+    else:
+        rows = kmeans.seeds(base, words)
+        books = [[r[s] for r in rows] for s in spans]
+    return kmeans.moved(base, np.array(books), rounds, digits=digits).tolist()
 
 
-def train(base: DataFrame, m: int, words: int, rounds: int, digits: int | None = None) -> list[list[list[float]]]:
-    """Codebooks [sub-space][word][component], each trained by itself from strided seeds."""
-    width = dimension(base) // m
-    books = [[s[i * width : (i + 1) * width] for s in kmeans.seeds(base, words)] for i in range(m)]
-    for _ in range(rounds):
-        coded = base.select(split(F.col("embedding"), m, width).alias("subs"), encode(F.col("embedding"), books).alias("codes"))
-        parts = coded.select(F.posexplode(F.arrays_zip("codes", "subs")).alias("m", "x")).select("m", F.col("x.codes").alias("k"), F.col("x.subs").alias("s"))
-        means = [F.avg(F.col("s")[i].cast("double")) for i in range(width)]
-        moved = parts.groupBy("m", "k").agg(F.array(*(x if digits is None else F.round(x, digits) for x in means)).alias("c"))
-        for r in moved.collect():  # sub-spaces x words rows
-            books[r["m"]][r["k"]] = list(r["c"])
-    return books
+def codes_of(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Codes of rows, one for each sub-space; ties go to the lowest word."""
+    width = books.shape[2]
+    return np.stack([kmeans.nearest_cells(x[:, i * width : (i + 1) * width], book) for i, book in enumerate(books)], axis=1)
 
 
-def encode(vector: Column, books: list[list[list[float]]]) -> Column:
-    """Codes of a vector, one for each sub-space; ties go to the lowest word."""
-    width = len(books[0][0])
-    return F.array(*(kmeans.cell_of(F.slice(vector, i * width + 1, width), book).cast("smallint") for i, book in enumerate(books)))
+def encode(base: DataFrame, books: list[list[list[float]]], column: str = "embedding") -> DataFrame:
+    """base with codes in place of its vectors."""
+    shared = base.sparkSession.sparkContext.broadcast(np.array(books))
+    place = base.columns.index(column)
+    fields = [f for f in base.schema.fields if f.name != column]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = codes_of(matrix(batch.column(place)), shared.value) if batch.num_rows else np.zeros((0, len(shared.value)), np.int32)
+            kept = [c for i, c in enumerate(batch.columns) if i != place]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(list(codes.astype(np.int16)), pa.list_(pa.int16()))], names=[*(f.name for f in fields), "codes"])
 
-def lookup(query: Column, books: list[list[list[float]]]) -> Column:
-    """Inner products of a query's sub-vectors with all words, [sub-space][word], in whole units."""
-    width = len(books[0][0])
+    return base.mapInArrow(run, T.StructType([*fields, T.StructField("codes", T.ArrayType(T.ShortType()))]))
 
-    def table(i: int, book: list[list[float]]) -> Column:
-        part = F.slice(query, i * width + 1, width)
-        return F.transform(kmeans.literal(book), lambda c: F.round(inner_product(part, c) * UNIT).cast("bigint"))
 
-    return F.array(*(table(i, b) for i, b in enumerate(books)))
+def lookup(y: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Inner products of queries' sub-vectors with all words, [query][sub-space][word], in whole units."""
+    width = books.shape[2]
+    exact = np.stack([kmeans.sequential_products(y[:, i * width : (i + 1) * width], book) for i, book in enumerate(books)], axis=1) * UNIT
+    return (np.sign(exact) * np.floor(np.abs(exact) + 0.5)).astype(np.int64)
 
 
-def looked_up(table: Column, codes: Column) -> Column:
-    """1 - inner product, by the table."""
-    return F.lit(1.0) - F.aggregate(F.zip_with(table, codes, lambda t, c: t[c]), F.lit(0).cast("bigint"), lambda s, x: s + x).cast("double") / F.lit(UNIT)
+def looked_up(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """1 - inner product of every row of codes, by a query's table."""
+    return 1.0 - table[np.arange(len(table)), codes].sum(axis=1).astype(np.float64) / UNIT
 
 
 class PQIndex:
@@ -62,25 +71,42 @@ class PQIndex:
         self.base, self.books, self.coded = base, books, coded
 
     @classmethod
-    def build(cls, base: DataFrame, m: int = 8, words: int = 256, rounds: int = 15, digits: int | None = None) -> PQIndex:
+    def build(cls, base: DataFrame, m: int = 8, words: int = 256, rounds: int = 15, digits: int | None = None, weighted: bool = False) -> PQIndex:
         size = dimension(base)
         if size % m:
             raise ValueError(f"{m} sub-spaces don't divide {size} components")
         if not 0 < words <= 256:
             raise ValueError("a code is one byte: 1 to 256 words")
-        books = train(base, m, words, rounds, digits)
-        return cls(base, books, base.select("vec_id", encode(F.col("embedding"), books).alias("codes")))
+        books = train(base, m, words, rounds, digits, weighted)
+        return cls(base, books, encode(base.select("vec_id", "embedding"), books))
 
     def tables(self, queries: DataFrame) -> DataFrame:
-        """(qid, lut)."""
-        if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-            raise ValueError(f"more than {BROADCAST_QUERIES} queries in one search")
-        return queries.select("qid", lookup(F.col("qv"), self.books).alias("lut"))
+        """(qid, lut): a query's look-up tables [sub-space][word]."""
+        shared = queries.sparkSession.sparkContext.broadcast(np.array(self.books))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    some = batch.slice(a, 256)
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lookup(matrix(some.column(1)), shared.value).tolist(), pa.list_(pa.list_(pa.int64())))], names=["qid", "lut"])
+
+        return queries.select("qid", "qv").mapInArrow(run, "qid long, lut array<array<long>>")
 
     def coarse(self, queries: DataFrame, p: int = 100) -> DataFrame:
         """The p nearest by codes alone."""
-        met = self.coded.crossJoin(F.broadcast(self.tables(queries)))
-        return top_k(met.withColumn("dist", looked_up(F.col("lut"), F.col("codes"))), p)
+        shared = queries.sparkSession.sparkContext.broadcast(np.array(self.books))
+
+        def task(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = []
+            if left.num_rows and right.num_rows:
+                ids, codes, qids, y = left.column("vec_id").to_numpy(), matrix(left.column("codes")).astype(np.int64), right.column("qid").to_numpy(), matrix(right.column("qv"))
+                for i, q in enumerate(y):
+                    d = looked_up(lookup(q[None], shared.value)[0], codes)
+                    best = least(ids, d, p)
+                    found.append((qids[i], ids[best], d[best]))
+            return found_table(found)
+
+        return top_k(every_pair(self.coded.select("vec_id", "codes"), queries, task, "qid long, vec_id long, dist double"), p)
 
     def search(self, queries: DataFrame, k: int = 10, p: int = 100) -> DataFrame:
         return rerank(self.base, queries, self.coarse(queries, p), k)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import inner_product_int, ip_distance
-from .flat import BROADCAST_QUERIES
+from ..functions.distance import ip_distance
+from .blocks import CHUNK, every_pair, found_table, least, matrix
 from .topk import top_k
 
 
@@ -33,11 +37,41 @@ def encode(base: DataFrame, params: dict) -> DataFrame:
     return base.select("vec_id", codes(F.col("embedding"), params).alias("code")).withColumn("code_sum", total(F.col("code")))
 
 
-def distance(query: Column, query_sum: Column, code: Column, code_sum: Column, params: dict) -> Column:
-    """1 - inner product, from codes."""
+def distance(dots: np.ndarray, query_sum: int, code_sums: np.ndarray, params: dict) -> np.ndarray:
+    """1 - inner product, from inner products and sums of codes."""
     gmin, scale, dim = params["gmin"], params["gscale"], params["dim"]
-    dot = inner_product_int(query, code).cast("double")
-    return F.lit(1.0) - (dot / F.lit(scale * scale) + F.lit(gmin / scale) * (query_sum + code_sum) + F.lit(gmin * gmin * dim))
+    return 1.0 - (dots / (scale * scale) + gmin / scale * (query_sum + code_sums) + gmin * gmin * dim)
+
+
+def nearest_codes(coded: DataFrame, asked: DataFrame, k: int, score: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The k nearest of (vec_id, code, code_sum) to each of (qid, qv), qv being codes.
+
+    score gets the inner products of a query's codes with all rows', the query's codes, and the rows'.
+    """
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            ids, x, qids, y = left.column("vec_id").to_numpy(), matrix(left.column("code")), right.column("qid").to_numpy(), matrix(right.column("qv"))
+            for a in range(0, len(y), CHUNK):
+                dots = y[a : a + CHUNK] @ x.T  # of whole numbers, so exact
+                for j, own in enumerate(dots):
+                    d = score(own, y[a + j], x)
+                    best = least(ids, d, k)
+                    found.append((qids[a + j], ids[best], d[best]))
+        return found_table(found)
+
+    return top_k(every_pair(coded.select("vec_id", "code"), asked.select("qid", "qv"), task, "qid long, vec_id long, dist double"), k)
+
+
+def code_l2(dots: np.ndarray, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Squared distances of codes."""
+    return (query * query).sum() - 2.0 * dots + (rows * rows).sum(axis=1)
+
+
+def code_ip(dots: np.ndarray, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Minus the inner products of codes."""
+    return -dots
 
 
 class SQIndex:
@@ -53,11 +87,9 @@ class SQIndex:
 
     def coarse(self, queries: DataFrame, p: int = 50) -> DataFrame:
         """The p nearest by codes."""
-        if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-            raise ValueError(f"more than {BROADCAST_QUERIES} queries in one search")
-        asked = queries.select("qid", codes(F.col("qv"), self.params).alias("qc")).withColumn("qs", total(F.col("qc")))
-        met = self.coded.crossJoin(F.broadcast(asked))
-        return top_k(met.withColumn("dist", distance(F.col("qc"), F.col("qs"), F.col("code"), F.col("code_sum"), self.params)), p)
+        params = self.params
+        asked = queries.select("qid", codes(F.col("qv"), params).alias("qv"))
+        return nearest_codes(self.coded, asked, p, lambda dots, q, x: distance(dots, q.sum(), x.sum(axis=1), params))
 
     def search(self, queries: DataFrame, k: int = 10, p: int = 50) -> DataFrame:
         return rerank(self.base, queries, self.coarse(queries, p), k)

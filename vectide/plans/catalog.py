@@ -7,21 +7,23 @@ are rounded each round, so that both engines take the same course.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.distance import inner_product_int, l2_distance_int
+from ..functions.durable import kept, shared_folder
 from ..operators import evaluate, flat, hnsw, kmeans, partition, pq, sq
 from ..operators.ivf import IVFIndex, IVFPQIndex
-from ..operators.topk import merge_top_k, top_k
+from ..operators.topk import merge_top_k
+from ..sources import fbin
 from . import oracle as o
 
 K, CELLS, ROUNDS, NPROBE, M, WORDS, WIDTH, PQ_ROUNDS, P, PARTS = 10, 16, 3, 4, 8, 16, 8, 2, 50, 3
 EPS = 0.75
-#: A beam that holds every node makes a graph search exact.
-WIDE = 1 << 20
+#: Without a width a beam holds every node, which makes a graph search exact.
+WIDE = None
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,7 +62,7 @@ def knn_l2_exact(base):
 
 @named(o.knn(K))
 def knn_ip_kernel(base):
-    return shown(flat.nearest_by_kernel(base, asked(base), K))
+    return shown(flat.nearest_in_blocks(base, asked(base), K))
 
 
 @named(o.knn(K, rows="SELECT * FROM e WHERE label < 5"))
@@ -98,7 +100,7 @@ def range_search_eps(base):
 
 @named(o.query(f"d AS (SELECT qid, vec_id, {o.IP} AS dist FROM q, e)", end=o.result("d", f"(dist <= {EPS} OR rk <= 3) AND rk <= 8")))
 def range_search_bounded(base):
-    return shown(flat.within(base, asked(base), EPS, least=3, most=8))
+    return shown(flat.within(base, asked(base), EPS, least_rows=3, most=8))
 
 
 @named(
@@ -143,20 +145,19 @@ def sq_coarse_rerank(base):
     return shown(sq.SQIndex.build(base).search(asked(base), K, P))
 
 
-def _coded_pairs(base: DataFrame) -> DataFrame:
+def _nearest_codes(base: DataFrame, score) -> DataFrame:
     coded = sq.SQIndex.build(base).coded
-    queries = coded.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("code").alias("qc"))
-    return coded.crossJoin(F.broadcast(queries))
+    return shown(sq.nearest_codes(coded, coded.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("code").alias("qv")), K, score))
 
 
 @named(o.query(*o.SQ[:3], "d AS (SELECT qid, vec_id, list_sum(list_transform(list_zip(qc, code), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::DOUBLE AS dist FROM sq, sc)", end=o.result("d", f"rk <= {K}")))
 def l2_uint8_codes(base):
-    return shown(top_k(_coded_pairs(base).withColumn("dist", l2_distance_int(F.col("qc"), F.col("code")).cast("double")), K))
+    return _nearest_codes(base, sq.code_l2)
 
 
 @named(o.query(*o.SQ[:3], "d AS (SELECT qid, vec_id, -list_dot_product(qc::DOUBLE[], code::DOUBLE[]) AS dist FROM sq, sc)", end=o.result("d", f"rk <= {K}")))
 def ip_uint8_codes(base):
-    return shown(top_k(_coded_pairs(base).withColumn("dist", -inner_product_int(F.col("qc"), F.col("code")).cast("double")), K))
+    return _nearest_codes(base, sq.code_ip)
 
 
 # cells
@@ -309,7 +310,15 @@ def partition_imbalance(base):
     return partition.imbalance(rows, PARTS).withColumn("imbalance", F.round("imbalance", 6))
 
 
-@named()
+@named(
+    o.query(
+        *o.cells(CELLS, ROUNDS),
+        "z AS (SELECT n, row_number() OVER (ORDER BY n DESC, cid DESC) AS i FROM (SELECT cid, count(*) AS n FROM a GROUP BY cid))",
+        f"w AS (SELECT 0::BIGINT AS i, [0::BIGINT FOR x IN range({PARTS})] AS load UNION ALL SELECT z.i, list_transform(range(1, {PARTS} + 1),"
+        " lambda p: load[p] + CASE WHEN p = list_position(load, list_min(load)) THEN z.n ELSE 0 END) FROM w JOIN z ON z.i = w.i + 1)",
+        end=f"SELECT CAST(p - 1 AS INT) AS part, load[p] AS n FROM (SELECT load FROM w ORDER BY i DESC LIMIT 1), (SELECT unnest(range(1, {PARTS} + 1)) AS p)",
+    ).replace("WITH e", "WITH RECURSIVE e", 1)
+)
 def partition_balanced_load(base):
     index = _ivf(base)
     dealt = partition.balanced(index.postings.groupBy("cid").agg(F.count("*").alias("n")), PARTS)
@@ -339,10 +348,43 @@ def mean_recall_ivf(base):
     return evaluate.mean_recall(ivf_search(base), knn_ip_exact(base), K).withColumn("recall", F.round("recall", 6))
 
 
-@named()
+def _ivf_sql(nprobe: int) -> str:
+    return o.query(*o.cells(CELLS, ROUNDS), o.probes(ROUNDS, nprobe), IVF, end=o.result("d", f"rk <= {K}"))
+
+
+def _sweep_sql(found: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{config}' AS config, recall FROM ({_recall_sql(sql, True)})" for config, sql in found.items())
+
+
+@named(_sweep_sql({f"nprobe={n}": _ivf_sql(n) for n in (1, 4, CELLS)}))
 def recall_sweep(base):
     index, queries = _ivf(base), asked(base)
-    return evaluate.sweep(lambda nprobe: index.search(queries, K, nprobe), [{"nprobe": n} for n in (1, 4, CELLS)], flat.nearest(base, queries, K), K)
+    index.postings = kept(index.postings)
+    found = evaluate.sweep(lambda nprobe: index.search(queries, K, nprobe), [{"nprobe": n} for n in (1, 4, CELLS)], kept(flat.nearest(base, queries, K)), K)
+    return found.withColumn("recall", F.round("recall", 6))
+
+
+def _pq_sql(m: int, p: int) -> str:
+    width = 64 // m
+    return o.query(*o.books(m, WORDS, width, 1), o.lut(width, 1), o.ADC, *o.reranked(p), end=o.result("x", f"rk <= {K}"))
+
+
+@named(_sweep_sql({f"m={m}, p={p}": _pq_sql(m, p) for m in (4, 16) for p in (20, 100)}))
+def pq_recall_sweep(base):
+    """Sub-spaces by rows ranked again, the tables' vectors having 64 components."""
+    queries = asked(base)
+    built = {m: pq.PQIndex.build(base, m, WORDS, 1, digits=6) for m in (4, 16)}
+    found = evaluate.sweep(lambda m, p: built[m].search(queries, K, p), [{"m": m, "p": p} for m in built for p in (20, 100)], kept(flat.nearest(base, queries, K)), K)
+    return found.withColumn("recall", F.round("recall", 6))
+
+
+@named("SELECT CAST(k AS INT) AS k, CAST(m AS INT) AS m, true AS in_table FROM (SELECT unnest(range(0, 16)) AS k), (SELECT unnest(range(0, 8)) AS m)")
+def pq_weighted_seeding(base):
+    """Distance-weighted seeds are sub-vectors of the table."""
+    rows = [(k, m, s) for m in range(M) for k, s in enumerate(kmeans.weighted_seeds(base, WORDS, part=slice(m * WIDTH, (m + 1) * WIDTH), seed=42 + m))]
+    drawn = base.sparkSession.createDataFrame(rows, "k int, m int, s array<double>")
+    subs = base.select(F.posexplode(F.array(*(F.slice("embedding", m * WIDTH + 1, WIDTH).cast("array<double>") for m in range(M)))).alias("m", "s")).distinct()
+    return drawn.join(subs.withColumn("known", F.lit(True)), ["m", "s"], "left").select("k", "m", F.coalesce("known", F.lit(False)).alias("in_table"))
 
 
 # graphs
@@ -395,9 +437,68 @@ def hnsw_approximate(base):
     return shown(hnsw.HNSWIndex.build(base).search(asked(base), K, 50))
 
 
-@named()
+SWEPT = [{"width": w, "frontier": f} for w in (50, 100, 200) for f in (1, 8, 32)]
+
+
+@named(" UNION ALL ".join(f"SELECT '{evaluate.named(c)}' AS config, true AS found, true AS timed" for c in SWEPT))
+def hnsw_recall_sweep(base):
+    """Widths by nodes expanded at a time: recall of 0.9 at least, and the speed-up over the first."""
+    index, queries = hnsw.HNSWIndex.build(base), asked(base)
+    found = evaluate.timed_sweep(lambda width, frontier: index.search(queries, K, width, frontier=frontier), SWEPT, flat.nearest(base, queries, K), K)
+    return found.select("config", (F.col("recall") >= 0.9).alias("found"), ((F.col("query_us") > 0) & (F.col("speed_up") > 0)).alias("timed"))
+
+
+@named("SELECT 0::BIGINT AS to_self, 0::BIGINT AS repeated, 0::BIGINT AS to_none, true AS reached, true AS capped")
 def hnsw_integrity(base):
-    return hnsw.integrity(hnsw.HNSWIndex.build(base, parts=2).nodes)
+    checked = hnsw.integrity(hnsw.HNSWIndex.build(base, parts=2).nodes)
+    return checked.select("to_self", "repeated", "to_none", (F.col("least_in") > 0).alias("reached"), (F.col("links") <= 33 * F.lit(base.count())).alias("capped"))
+
+
+@named("SELECT vec_id AS qid, true AS walked, true AS fewer FROM embeddings WHERE vec_id % 20 = 0")
+def hnsw_effort(base):
+    """A narrow beam expands nodes and takes fewer distances than there are rows."""
+    found = hnsw.HNSWIndex.build(base, parts=1).effort(asked(base), K, 10)
+    return found.select("qid", (F.col("hops") > 0).alias("walked"), (F.col("distances") < base.count()).alias("fewer"))
+
+
+@named(SQL["range_search_eps"])
+def hnsw_range_exhaustive(base):
+    n = base.count()
+    return shown(hnsw.HNSWIndex.build(base, parts=2).within(asked(base), EPS, least=n, most=n))
+
+
+@named(SQL["knn_multi_vector_docs"])
+def hnsw_multi_vector_docs(base):
+    found = hnsw.HNSWIndex.build(base, parts=2).by_documents(asked(base), base.select("vec_id", F.col("label").alias("doc_id")), 4, None)
+    return found.withColumn("dist", F.round("dist", 6) + F.lit(0.0))
+
+
+def _folder(base: DataFrame) -> str:
+    return f"{shared_folder(base.sparkSession)}/catalog-{uuid.uuid4().hex}"
+
+
+@named(o.knn(K))
+def hnsw_saved_and_loaded(base):
+    path = _folder(base)
+    hnsw.HNSWIndex.build(base, parts=2).save(path)
+    return shown(hnsw.HNSWIndex.load(base.sparkSession, path).search(asked(base), K, WIDE))
+
+
+@named(o.knn(K))
+def flat_saved_and_loaded(base):
+    path = _folder(base)
+    flat.FlatIndex(base).save(path)
+    return shown(flat.FlatIndex.load(base.sparkSession, path).search(asked(base), K))
+
+
+@named("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, CAST(list_sum(embedding::DOUBLE[]) * 1000 AS BIGINT) AS total, len(embedding) AS size FROM embeddings")
+def matrix_files(base):
+    """The table's vectors in the order of vec_id, through several binary matrix files."""
+    path = _folder(base)
+    fbin.write(base, path, files=3)
+    v = F.col("embedding").cast("array<double>")
+    found = fbin.read(base.sparkSession, path)
+    return found.select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) * 1000).cast("long").alias("total"), F.size("embedding").cast("long").alias("size"))
 
 
 @named("SELECT count(*) AS elements, count(*) FILTER (label = 7) AS deleted FROM embeddings")
