@@ -13,7 +13,7 @@ Two different windows are taken for equal with probability near n^2 / 2^97 for n
 2e-7 for a terabyte of text (1.7e11 windows), 2e-3 for a hundred.
 
 A block sends a piece to each range, and both grow in number with the input. Blocks grow up to
-LARGEST_BLOCK so that a piece keeps PIECE_HASHES hashes, up to about a terabyte; beyond it pieces
+LARGEST_BLOCK so that a piece keeps PIECE_HASHES hashes, up to some 500 GB; beyond them pieces
 get smaller, and at a hundred terabytes each window is sent as a row of its own.
 
 Defined results: null and empty texts have no words, none removed, and the hash of no bytes;
@@ -35,14 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, kept, remove, row_slices, shared_folder
+from .common import batches_of, checkpointed, kept, remove, row_slices, shared_folder
 
 #: Odd bases of the polynomials; 3 and 5 modulo 8, so that their powers differ in low bits.
 BASE, OTHER = 0x9E3779B97F4A7C13, 0xD1B54A32D192ED05
 #: Text of a block and hashes of a range, at most about so many.
-BLOCK_BYTES, LARGEST_BLOCK = 12 << 20, 48 << 20
+BLOCK_BYTES, LARGEST_BLOCK = 6 << 20, 24 << 20
 RANGE_HASHES, PIECE_HASHES = 2_000_000, 64
 SLICE_BYTES = 4 << 20
+#: Bytes of blocks that a worker gets at a time, but for larger blocks.
+BATCH_BYTES = 8 << 20
 CACHED_WORDS = 400_000
 
 
@@ -264,12 +266,13 @@ def repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool = True,
     if block_bytes is None:
         block_bytes = min(LARGEST_BLOCK, max(BLOCK_BYTES, 6 * PIECE_HASHES << bits))
     folder = f"{shared_folder(spark)}/passages-{uuid.uuid4().hex}"
-    blocks_of(docs, block_bytes).write.parquet(folder)
-    blocks = spark.read.parquet(folder)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sent = blocks.select("block", "texts").mapInArrow(_sent(window, bits), "block long, range long, hashes binary, repeated binary")
-    answers = sent.groupBy("range").applyInArrow(_answered, "block long, range long, repeated binary")
-    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_removed(window, bits, keep_text), f"doc_id {id_type}, {RESULT}")
-    found = checkpointed(found)
+    with batches_of(spark, BATCH_BYTES):
+        blocks_of(docs, block_bytes).write.parquet(folder)
+        blocks = spark.read.parquet(folder)
+        sent = blocks.select("block", "texts").mapInArrow(_sent(window, bits), "block long, range long, hashes binary, repeated binary")
+        answers = sent.groupBy("range").applyInArrow(_answered, "block long, range long, repeated binary")
+        found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_removed(window, bits, keep_text), f"doc_id {id_type}, {RESULT}")
+        found = checkpointed(found)
     remove(spark, folder)
     return found
