@@ -1,7 +1,7 @@
 """Removal of word passages that repeat: Rabin-Karp hashes of every fixed-length window, counted in Spark.
 
-Documents are put into blocks of bounded size as they lie, and the blocks are written as rows of a
-table. A block's windows are hashed with two rolling polynomials over 64-bit word hashes, 96 bits
+Documents are put into blocks of bounded size as they lie, and the blocks are written, compressed,
+as rows of a table. A block's windows are hashed with two rolling polynomials over 64-bit word hashes, 96 bits
 together, and its distinct hashes are sent, sorted and delta-packed, to the ranges of hash space
 they fall in. Each range finds the hashes that more than one block holds (or one block holds
 twice) and answers every block with one bit for each hash it sent. The block hashes its documents
@@ -138,30 +138,37 @@ class _Distinct:
         self.repeated = np.diff(np.append(starts, len(new))) > 1
 
 
-def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, doc_ids, texts): rows of docs as they lie, about block_bytes of text in a row."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def _packed(rows: list[pa.RecordBatch]) -> bytes:
+    """Rows (doc_id, text) as a compressed stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.Table.from_batches(rows).combine_chunks())
+    return sink.getvalue().to_pybytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, texts, size = None, [], [], 0
 
-        def close(kind: pa.DataType) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([texts], pa.list_(pa.string()))], names=["block", "doc_ids", "texts"])
+def _unpacked(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(rows).read_all().combine_chunks()
+
 
-        for rows in row_slices(batches, "text", SLICE_BYTES):
-            kind = rows.column(0).type
-            block = rows.column(2)[0].as_py() << 32 if block is None else block
-            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                if ids and size + len(text or "") > block_bytes:
-                    yield close(kind)
-                    block, ids, texts, size = block + 1, [], [], 0
-                ids.append(doc)
-                texts.append(text)
-                size += len(text or "")
-        if ids:
-            yield close(kind)
+def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, rows): documents as they lie, about block_bytes of text in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = None, [], 0
+        for batch in batches:
+            if batch.num_rows and block is None:
+                block = batch.column(2)[0].as_py() << 32
+            for rows in row_slices([batch.select(["doc_id", "text"])], "text", min(SLICE_BYTES, block_bytes)):
+                own = rows.column(1).nbytes
+                if held and size + own > block_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(held)], pa.binary())], names=["block", "rows"])
+                    block, held, size = block + 1, [], 0
+                held.append(rows)
+                size += own
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(held)], pa.binary())], names=["block", "rows"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part")).mapInArrow(run, f"block long, doc_ids array<{id_type}>, texts array<string>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part")).mapInArrow(run, "block long, rows binary")
 
 
 def _sent(window: int, bits: int):
@@ -170,7 +177,7 @@ def _sent(window: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = _Distinct(batch.column(1)[i].as_py(), window)
+                own = _Distinct(_unpacked(batch.column(1)[i].as_py()).column(1).to_pylist(), window)
                 cuts = _cuts(own.hashes, bits)
                 full = [(r, slice(a, b)) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
                 yield pa.RecordBatch.from_arrays(
@@ -217,8 +224,8 @@ def _removed(window: int, bits: int, keep: bool):
     """A block and its answers in; a row for each document out."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        kind = blocks.schema.field("doc_ids").type.value_type
-        ids, texts = blocks.column("doc_ids")[0].values, blocks.column("texts")[0].as_py()
+        rows = _unpacked(blocks.column("rows")[0].as_py())
+        ids, texts = rows.column(0), rows.column(1).to_pylist()
         own = _Distinct(texts, window)
         cuts, flags = _cuts(own.hashes, bits), np.zeros(len(own.hashes), bool)
         for i, mask in zip(answers.column("range").to_pylist(), answers.column("repeated").to_pylist(), strict=True):
@@ -246,7 +253,7 @@ def _removed(window: int, bits: int, keep: bool):
             out["kept"].append(left.decode() if keep else None)
             out["removed"].append([{"start": a, "end": b} for a, b in edges])
         kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-        return pa.table([ids.cast(kind), *(pa.array(out[k], t) for k, t in kinds.items())], names=["doc_id", *kinds])
+        return pa.table([ids, *(pa.array(out[k], t) for k, t in kinds.items())], names=["doc_id", *kinds])
 
     return run
 
@@ -270,7 +277,7 @@ def repeated_passages(docs: DataFrame, window: int = 35, keep_text: bool = True,
     with batches_of(spark, BATCH_BYTES):
         blocks_of(docs, block_bytes).write.parquet(folder)
         blocks = spark.read.parquet(folder)
-        sent = blocks.select("block", "texts").mapInArrow(_sent(window, bits), "block long, range long, hashes binary, repeated binary")
+        sent = blocks.select("block", "rows").mapInArrow(_sent(window, bits), "block long, range long, hashes binary, repeated binary")
         answers = sent.groupBy("range").applyInArrow(_answered, "block long, range long, repeated binary")
         found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_removed(window, bits, keep_text), f"doc_id {id_type}, {RESULT}")
         found = checkpointed(found)
