@@ -1,16 +1,16 @@
 """Removal of word passages that repeat: Rabin-Karp hashes of every fixed-length window, counted in Spark.
 
 Documents are put into blocks of bounded size as they lie, and the blocks are written, compressed,
-as rows of a table. A block's windows are hashed with two rolling polynomials over 64-bit word hashes, 96 bits
+as rows of a table. A block's windows are hashed with two rolling polynomials over 64-bit word hashes, 88 bits
 together, and its distinct hashes are sent, sorted and delta-packed, to the ranges of hash space
 they fall in. Each range finds the hashes that more than one block holds (or one block holds
 twice) and answers every block with one bit for each hash it sent. The block hashes its documents
-again and merges repeated windows into maximal removal intervals. So a window costs about ten
+again and merges repeated windows into maximal removal intervals. So a window costs about nine
 bytes of shuffle, a passage that millions of documents share costs one hash a block, and nothing
 is sampled or capped.
 
-Two different windows are taken for equal with probability near n^2 / 2^97 for n windows in all:
-2e-7 for a terabyte of text (1.7e11 windows), 2e-3 for a hundred.
+Two different windows are taken for equal with probability near n^2 / 2^89 for n windows in all:
+1e-4 for a terabyte of text (2.4e11 windows); a hundred terabytes may hold one such pair.
 
 A block sends a piece to each range, and both grow in number with the input. Blocks grow up to
 LARGEST_BLOCK so that a piece keeps PIECE_HASHES hashes, up to some 500 GB; beyond them pieces
@@ -79,11 +79,11 @@ def window_hashes(words: np.ndarray, window: int, base: int = BASE) -> np.ndarra
 
 
 def pack(hashes: np.ndarray, more: np.ndarray) -> bytes:
-    """Sorted hashes as their number, first value, a width, and deltas of that many bytes; then their 32 other bits."""
+    """Sorted hashes as their number, first value, a width, and deltas of that many bytes; then their 24 other bits."""
     deltas = np.diff(hashes)
     width = max(1, (int(deltas.max()).bit_length() + 7) // 8) if len(deltas) else 1
     body = np.ascontiguousarray(deltas.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-    return np.uint32(len(hashes)).tobytes() + hashes[:1].astype("<u8").tobytes() + bytes([width]) + body + more.astype("<u4").tobytes()
+    return np.uint32(len(hashes)).tobytes() + hashes[:1].astype("<u8").tobytes() + bytes([width]) + body + np.ascontiguousarray(more.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +91,9 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     body = np.frombuffer(blob, np.uint8, (n - 1) * width, 13).reshape(-1, width)
     deltas = np.zeros((len(body), 8), np.uint8)
     deltas[:, :width] = body
-    return np.cumsum(np.concatenate((first, deltas.reshape(-1).view("<u8"))), dtype=np.uint64), np.frombuffer(blob, "<u4", n, 13 + (n - 1) * width)
+    more = np.zeros((n, 4), np.uint8)
+    more[:, :3] = np.frombuffer(blob, np.uint8, 3 * n, 13 + (n - 1) * width).reshape(-1, 3)
+    return np.cumsum(np.concatenate((first, deltas.reshape(-1).view("<u8"))), dtype=np.uint64), more.reshape(-1).view("<u4")
 
 
 def ordered(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -111,12 +113,12 @@ def alike(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 
 def _hashes(texts: list[str | None], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The hashes of every text's windows, and their 32 other bits."""
+    """The hashes of every text's windows, and their 24 other bits."""
     out = []
     for text in texts:
         words = (text or "").encode().split()
         known = _word_hashes(words) if len(words) >= window else np.zeros(0, np.uint64)
-        out.append((window_hashes(known, window), (window_hashes(known, window, OTHER) >> np.uint64(32)).astype(np.uint32)))
+        out.append((window_hashes(known, window), (window_hashes(known, window, OTHER) >> np.uint64(40)).astype(np.uint32)))
     return out
 
 
