@@ -17,7 +17,8 @@ are as near as the last) are ranked by cosine on the original vectors.
 The level t follows each query's own neighbours: a row as near as the last neighbour found is
 retrieved at level t with a probability that follows from their angle, and t has to make that
 1 - MISS at least. All queries start at one level, which the sample suggests; those whose
-neighbours turn out to be further off go a second time, at the level they need. So queries with
+neighbours turn out to be so far off that it is less than 1 - AGAIN go a second time, at the level
+they need. So queries with
 near neighbours probe few keys, and those without any pay for it.
 
 Equal vectors are one class: indexed and searched once, with the k + 1 smallest ids as members.
@@ -47,9 +48,9 @@ BITS = TABLES * WORD
 SAMPLE, SAMPLE_QUERIES, ROUNDS, SEED = 20_000, 200, 20, 42
 #: Rows of a slice of a table, at most about so many.
 TABLE_ROWS = 1 << 17
-CANDIDATES = 256
-#: How likely a neighbour as near as the last one found may be missed.
-MISS = 0.06
+CANDIDATES = 128
+#: How likely a neighbour as near as the last one found may be missed, and from what likelihood on a query goes again.
+MISS, AGAIN = 0.06, 0.15
 
 _ONES = np.bitwise_count(np.arange(1 << WORD, dtype=np.uint16))
 #: Masks by their number of ones, and how many have at most t.
@@ -111,15 +112,16 @@ class Slice:
     def __init__(self, place: int, codes: np.ndarray):
         keys = codes[:, place].astype(np.int64)
         self.order = np.argsort(keys, kind="stable")
-        self.place, self.codes = place, codes[self.order]
+        self.place, self.codes = place, np.ascontiguousarray(codes[self.order])
+        self.whole = self.codes.view(np.uint64)
         self.keys, counts = np.unique(keys, return_counts=True)
         self.ends = np.zeros(1 << WORD, np.int64)
         self.ends[self.keys] = np.cumsum(counts)
         self.sizes = np.zeros(1 << WORD, np.int64)
         self.sizes[self.keys] = counts
 
-    def probe(self, code: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, bits apart) of all that this table is the first one to retrieve."""
+    def probe(self, code: np.ndarray, level: int, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, bits apart) of all that this table is the first one to retrieve, or of the most nearest it retrieves."""
         own = int(code[self.place])
         if _UP_TO[level] < len(self.keys):
             hit = _MASKS[: _UP_TO[level]] ^ own
@@ -128,9 +130,14 @@ class Slice:
             hit = self.keys[np.bitwise_count((self.keys ^ own).astype(np.uint16)) <= level]
         sizes = self.sizes[hit]
         rows = np.repeat(self.ends[hit] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
-        apart = np.bitwise_count(self.codes[rows] ^ code)
-        first = ~(apart[:, : self.place] <= level).any(axis=1)
-        return self.order[rows[first]], apart[first].sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count(self.whole[rows] ^ np.ascontiguousarray(code).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        if most and len(rows) > most:
+            near = apart <= np.partition(apart, most - 1)[most - 1]
+            rows, apart = rows[near], apart[near]
+        if self.place:
+            first = ~(np.bitwise_count(self.codes[rows, : self.place] ^ code[: self.place]) <= level).any(axis=1)
+            rows, apart = rows[first], apart[first]
+        return self.order[rows], apart
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -203,10 +210,7 @@ def retrieve(stored: DataFrame, asked: DataFrame, rows: int, candidates: int = C
                 if table is None:
                     table = Slice(int(now[0]), np.concatenate(codes))
                 for i in range(middle, b):
-                    found, apart = table.probe(every[i], int(levels[i]))
-                    if len(found) > candidates:
-                        near = apart <= np.partition(apart, candidates - 1)[candidates - 1]
-                        found, apart = found[near], apart[near]
+                    found, apart = table.probe(every[i], int(levels[i]), candidates)
                     out_q += [own[i]] * len(found)
                     out_c += [names[f] for f in found.tolist()]
                     out_d += apart.tolist()
@@ -259,9 +263,12 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, candidates: int =
     level = F.lit(WORD)
     for t in range(WORD, -1, -1):
         level = F.when(F.col("last") >= least[t], t).otherwise(level)
-    again = asked.join(last, "class", "left").withColumn("level", level).where(F.col("level") > start)
-    second = nearest(again)
-    done = first.join(second.select("query").distinct(), "query", "left_anti").unionByName(second)
+    far = F.coalesce(F.col("last") < least_cosines(max(miss, AGAIN))[start], F.lit(True))
+    again = checkpointed(asked.join(last, "class", "left").withColumn("level", level).where(far & (F.col("level") > start)))
+    done = first
+    if not again.isEmpty():
+        second = nearest(again)
+        done = first.join(second.select("query").distinct(), "query", "left_anti").unionByName(second)
     ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = queries.join(done.select("query", "vec_id", "score"), "query").where("vec_id <> query_id")
     return found.select("query_id", F.row_number().over(ranks).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
