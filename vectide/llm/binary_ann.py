@@ -48,9 +48,9 @@ BITS = TABLES * WORD
 SAMPLE, SAMPLE_QUERIES, ROUNDS, SEED = 20_000, 200, 20, 42
 #: Rows of a slice of a table, at most about so many.
 TABLE_ROWS = 1 << 17
-CANDIDATES = 128
+CANDIDATES = 320
 #: How likely a neighbour as near as the last one found may be missed, and from what likelihood on a query goes again.
-MISS, AGAIN = 0.06, 0.15
+MISS, AGAIN = 0.06, 0.12
 
 _ONES = np.bitwise_count(np.arange(1 << WORD, dtype=np.uint16))
 #: Masks by their number of ones, and how many have at most t.
