@@ -233,7 +233,8 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, candidates: int =
         raise ValueError("the vectors have different lengths")
     if not shape["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    some = np.array([r["v"] for r in base.where(low_hash("vec_id", sample, shape["n"])).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()])
+    drawn = base.where(low_hash("vec_id", sample, shape["n"])).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
+    some = _matrix(drawn.column(0).combine_chunks())
     some /= np.linalg.norm(some, axis=1, keepdims=True)
     model, least = learn(some), least_cosines(miss)
     near = np.sort(some[:SAMPLE_QUERIES] @ some.T, axis=1)[:, -k - 1] if len(some) > k else []

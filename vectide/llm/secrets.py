@@ -19,7 +19,9 @@ back as a literal; the texts are scanned once for it and once for the result, wi
 of rows.
 
 Spans are in characters (code points), the end exclusive. Defined results: null texts are
-empty; without any span the joined string is empty; rows repeat as given.
+empty; without any span the joined string is empty; very long texts are scanned whole; rows repeat
+as given, and a table repeated any number of times has the same spans; an empty table gives no
+rows; columns named base and spans are replaced by scan, others stay.
 """
 
 from __future__ import annotations

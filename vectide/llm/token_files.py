@@ -157,6 +157,8 @@ class Words(dict):
     def __init__(self, tokenizer, prefix: str, starts: Words | None = None):
         super().__init__()
         self.tokenizer, self.model, self.prefix = tokenizer, tokenizer.model, prefix
+        #: the prefix as the vocabulary writes it
+        self.lead = prefix.translate(_CHARACTERS)
         #: chunks that start a line
         self.starts = self if starts is None else starts
         self.ids = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
@@ -166,20 +168,22 @@ class Words(dict):
         return b"".join([self.ids[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise KeyError(chunk)
-        line, feed, rest = chunk.partition("\n")
-        if feed and not line[-1].isspace() and not rest[0].isspace():
-            return self[line] + self.marks["\n"] + self.starts[rest]
+        if chunk.isalpha() and (chunk.isascii() or max(chunk) < _PLAIN):
+            letters = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_CHARACTERS)
+            found = b"".join([self.ids[t.id] for t in self.model.tokenize(self.lead + letters)])
+        else:
+            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                raise KeyError(chunk)
+            line, feed, rest = chunk.partition("\n")
+            if feed and not line[-1].isspace() and not rest[0].isspace():
+                return self[line] + self.marks["\n"] + self.starts[rest]
+            word = chunk[:-1]
+            if chunk[-1] in ".," and word.isalpha() and max(word) < _PLAIN:
+                found = self[word] + self.marks[chunk[-1]]
+            else:
+                found = self.encoded(self.prefix + chunk)
         if len(self) > KEPT:
             self.clear()
-        if chunk.isalpha() and max(chunk) < _PLAIN:
-            letters = (self.prefix + chunk).encode().decode("latin-1").translate(_CHARACTERS)
-            found = b"".join([self.ids[t.id] for t in self.model.tokenize(letters)])
-        elif chunk[-1] in ".," and chunk[:-1].isalpha() and max(chunk) < _PLAIN:
-            found = self[chunk[:-1]] + self.marks[chunk[-1]]
-        else:
-            found = self.encoded(self.prefix + chunk)
         self[chunk] = found
         return found
 

@@ -9,7 +9,10 @@ decoding concatenates up the same tree.
 
 A whole match of the pattern that is itself a token is that token, as in the tiktoken library.
 
-Defined results: a null text is empty and has no tokens; the hashes are those of no bytes.
+Defined results: a null text is empty and has no tokens; the hashes are those of no bytes; what
+spells a special token is plain text; very long texts are encoded whole, match by match, and a very
+long match by halves; repeated rows stay repeated; an empty table gives no rows; only doc_id and
+text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
