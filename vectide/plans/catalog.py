@@ -62,6 +62,11 @@ def knn_l2_exact(base):
 
 @named(o.knn(K))
 def knn_ip_kernel(base):
+    return shown(flat.nearest(base, asked(base), K))
+
+
+@named(o.knn(K))
+def knn_ip_blocks(base):
     return shown(flat.nearest_in_blocks(base, asked(base), K))
 
 
