@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -12,26 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.durable import kept as checkpointed
+from ..functions.durable import shared_folder
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Only where none is set in a local session (as in tests) does this pick a temporary one; a
-    cluster that names none is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vectide-"))
-    return sc.getCheckpointDir()
-
-
 @contextmanager
 def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
     """What is run inside sends workers Arrow batches of about so many bytes at most (or single rows); for tables of large rows."""
@@ -78,12 +64,6 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -160,3 +140,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+__all__ = [
+    "batches_of", "checkpointed", "connected_components", "free_name", "keep_one", "kept", "let", "low_hash", "read", "remove", "row_key", "row_slices", "shared_folder", "shuffle_partitions",
+]
