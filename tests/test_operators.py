@@ -250,6 +250,15 @@ def test_large_cells_are_dealt_out(spark, monkeypatch):
     assert rows(hnsw.CellGraphIndex.build(base, 4, 2, coarse=True).search(queries(base), 10, 4, None)) == want
 
 
+def test_large_cells_make_several_parts(spark):
+    base = vectors(spark, 300, 8)
+    parts = partition.by_kmeans(base, 3, 2, most=40)
+    sizes = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}
+    assert sum(sizes.values()) == 300 and len(sizes) > 3 and max(sizes.values()) <= 80
+    assert parts.columns == [*base.columns, "part"]
+    assert rows(hnsw.HNSWIndex.build(parts).search(queries(base), 10, None)) == rows(flat.nearest(base, queries(base), 10))
+
+
 def test_new_rows_take_deleted_slots(spark):
     base = vectors(spark, 60)
     index = hnsw.HNSWIndex.build(base, parts=1).delete(base.where("vec_id < 5"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kmeans
+from .blocks import PART_ROWS
 
 
 def by_blocks(cid: Column, cells: int, parts: int) -> Column:
@@ -40,6 +41,9 @@ def by_range(base: DataFrame, parts: int) -> DataFrame:
     return kmeans.numbered(base).withColumn("part", by_blocks(F.col("at"), n, parts)).drop("at")
 
 
-def by_kmeans(base: DataFrame, parts: int, rounds: int = 10) -> DataFrame:
-    """base with part: cells of their own."""
-    return kmeans.assign(base, kmeans.train(base, parts, rounds)).withColumnRenamed("cid", "part")
+def by_kmeans(base: DataFrame, parts: int, rounds: int = 10, most: int = PART_ROWS) -> DataFrame:
+    """base with part: cells of their own; a cell of more than most rows makes several parts, dealt by a hash, numbered parts further each."""
+    dealt = kmeans.assign(base, kmeans.train(base, parts, rounds))
+    shares = dealt.groupBy("cid").agg(F.ceil(F.count("*") / most).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64("vec_id"), F.col("shares")).cast("int")
+    return dealt.join(shares, "cid").withColumn("part", F.col("cid") + share * parts).drop("cid", "shares").select(*base.columns, "part")

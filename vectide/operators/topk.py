@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 RESULT = "qid long, vec_id long, dist double, rk long"
 
 
+class Index(Protocol):
+    """What every index answers: the k nearest rows (RESULT) of each of queries (qid, qv)."""
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame: ...
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """found's k first rows of each qid by (dist, vec_id), with their place in rk."""
     order = Window.partitionBy("qid").orderBy("dist", "vec_id")
