@@ -43,6 +43,8 @@ BASE, OTHER = 0x9E3779B97F4A7C13, 0xD1B54A32D192ED05
 BLOCK_BYTES, LARGEST_BLOCK = 6 << 20, 24 << 20
 RANGE_HASHES, PIECE_HASHES = 2_000_000, 64
 SLICE_BYTES = 4 << 20
+#: How hard blocks are compressed: they are kept as a table, and meet their answers in a shuffle.
+ZSTD_LEVEL = 6
 #: Bytes of blocks that a worker gets at a time, but for larger blocks.
 BATCH_BYTES = 8 << 20
 CACHED_WORDS = 400_000
@@ -143,7 +145,7 @@ class _Distinct:
 def _packed(rows: list[pa.RecordBatch]) -> bytes:
     """Rows (doc_id, text) as a compressed stream."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))) as out:
         out.write_table(pa.Table.from_batches(rows).combine_chunks())
     return sink.getvalue().to_pybytes()
 
