@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectide.functions.distance import dimension
-from vectide.operators import blocks, evaluate, flat, hnsw, kmeans, partition, pq, sq
+from vectide.operators import blocks, evaluate, flat, graph_build, hnsw, kmeans, partition, pq, sq
 from vectide.operators.ivf import IVFIndex, IVFPQIndex
 from vectide.sources import fbin
 from vectide.streaming.search import search_stream, upsert_stream
@@ -235,6 +235,66 @@ def test_stop_conditions(spark):
     assert 0 < narrow[0] < wide[0] and 0 < narrow[1] < wide[1]
 
 
+def one_way(spark):
+    """A graph whose entry, node 0, links to node 1 and that to none; and another part of one node. Queries descend to node 1."""
+    rows = [(0, 0, 10, 1, False, [1.0, 0.0], [[1], [1]]), (0, 1, 11, 1, False, [0.0, 1.0], [[], []]), (1, 0, 12, 0, False, [0.5, 0.0], [[]])]
+    return hnsw.HNSWIndex(spark.createDataFrame(rows, hnsw.NODES), 16, 200, "ip")
+
+
+#: Searches, by the catalogue's queries that make them, through a beam that holds all: what they find from (0, 2).
+WHOLE = {
+    "hnsw_exhaustive": (lambda i, q: i.search(q, 10, None), [11, 10, 12]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_walks_start_at_the_entry(spark, name):
+    search, want = WHOLE[name]
+    asked = spark.createDataFrame([(0, [0.0, 2.0])], "qid long, qv array<float>")
+    found = search(one_way(spark), asked).orderBy("rk").collect()
+    assert [r["vec_id"] for r in found] == want and [r["rk"] for r in found] == list(range(1, len(want) + 1))
+
+
+def test_graphs_send_only_rows_that_may_count(spark):
+    base = vectors(spark, 200)
+    index = hnsw.HNSWIndex.build(base, parts=2)
+    walked = hnsw._walked(index.nodes, queries(base), lambda n, _: hnsw.Width(n, 5), "ip", 16, None, 1)
+    assert walked.where("vec_id is not null").groupBy("qid").count().agg(F.max("count")).first()[0] == 10
+    assert [tuple(r) for r in walked.where("vec_id is null").groupBy("qid").agg(F.sum("hops"), F.sum("distances")).select("sum(hops)", "sum(distances)").distinct().collect()] == [(200, 200)]
+
+
+def test_large_parts_make_several_graphs(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "GRAPH_ROWS", 40)
+    base = vectors(spark)
+    want = rows(flat.nearest(base, queries(base), 10))
+    for index in (hnsw.HNSWIndex.build(base, parts=2), hnsw.HNSWIndex.build(partition.by_range(base, 2))):
+        assert index.nodes.select("part").distinct().count() == 8
+        assert rows(index.search(queries(base), 10, None)) == want
+
+
+@pytest.mark.parametrize("by", ["ip", "l2"])
+def test_batches_build_whole_graphs(by):
+    """Nodes inserted in batches, many of them copies of one: links within bounds, everything reached, near nodes found."""
+    x = np.random.default_rng(3).normal(size=(1200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::4] = x[0]
+    levels = [hnsw.level_of(i, 8, 1) for i in range(len(x))]
+    built = graph_build.Builder(x, by, 8, 60, levels)
+    built.build()
+    links = [built.links(i) for i in range(len(x))]
+    assert built.entry == int(np.argmax(levels)) and [len(n) - 1 for n in links] == levels
+    assert all(i not in on and len(set(on)) == len(on) and all(levels[j] >= level for j in on) for i, n in enumerate(links) for level, on in enumerate(n))
+    assert all(len(on) <= 8 for n in links for on in n[1:]) and sum(len(n[0]) for n in links) <= 17 * len(x)
+    starts = np.cumsum([0, *(len(n[0]) for n in links)])
+    assert len(hnsw.reached(built.entry, starts, np.array([j for n in links for j in n[0]]))) == len(x)
+    graph = hnsw.Graph(x, by, 8)
+    graph.links, graph.entry, hits = links, built.entry, 0
+    for q in range(1, 400, 4):
+        kth = np.sort(hnsw.array_distances(by, x, x[q]))[9]
+        hits += sum(d <= kth + 1e-9 for d, _ in graph.search(x[q], hnsw.Width(60, 10), None, 1))
+    assert hits >= 950
+
+
 def test_large_cells_are_dealt_out(spark, monkeypatch):
     base = vectors(spark, 300, 8)
     want = rows(IVFIndex.build(base, 4, 2).search(queries(base), 10, 4))

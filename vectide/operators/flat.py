@@ -27,7 +27,7 @@ def queries_of(vectors: DataFrame, which: Column) -> DataFrame:
     return vectors.where(which).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
-def _close(by: str, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
+def close_distances(by: str, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
     """For each query its number, its distances to all rows, and how far off they may be."""
     squares = np.einsum("ij,ij->i", x, x)
     largest = float(np.sqrt(squares.max(initial=0.0)))
@@ -45,7 +45,7 @@ def _top(by: str, k: int):
         found = []
         if left.num_rows and right.num_rows:
             ids, x, qids, y = left.column("vec_id").to_numpy(), matrix(left.column("embedding")), right.column("qid").to_numpy(), matrix(right.column("qv"))
-            for i, d, off in _close(by, x, y):
+            for i, d, off in close_distances(by, x, y):
                 near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1] + 2 * off) if k < len(d) else np.arange(len(d))
                 exact = array_distances(by, x[near], y[i])
                 best = least(ids[near], exact, k)
@@ -76,7 +76,7 @@ def within(base: DataFrame, queries: DataFrame, eps: float, least_rows: int = 0,
         found = []
         if left.num_rows and right.num_rows:
             ids, x, qids, y = left.column("vec_id").to_numpy(), matrix(left.column("embedding")), right.column("qid").to_numpy(), matrix(right.column("qv"))
-            for i, d, off in _close(by, x, y):
+            for i, d, off in close_distances(by, x, y):
                 edge = eps
                 if least_rows:
                     edge = max(eps, np.partition(d, least_rows - 1)[least_rows - 1] if least_rows < len(d) else np.inf)
@@ -176,4 +176,4 @@ class FlatIndex:
         return cls(spark.read.parquet(path), by)
 
 
-__all__ = ["RESULT", "FlatIndex", "before_last_document", "by_documents", "delete", "nearest", "nearest_in_blocks", "queries_of", "upsert", "within"]
+__all__ = ["RESULT", "FlatIndex", "before_last_document", "by_documents", "close_distances", "delete", "nearest", "nearest_in_blocks", "queries_of", "upsert", "within"]

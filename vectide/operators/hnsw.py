@@ -1,6 +1,6 @@
 """Layered proximity graphs, one for each part of a table.
 
-A graph is built and searched in one task, in numpy, and stored as rows (part, node, vec_id,
+A graph is built (graph_build) and searched in one task, in numpy, and stored as rows (part, node, vec_id,
 level, deleted, embedding, links), links[l] holding a node's neighbours on level l. Nodes are kept
 in the shared folder once they are built, so that searches, deletes and counts don't build them
 again. A row's level is drawn from a hash of its vec_id, so graphs don't depend on the order of
@@ -9,6 +9,10 @@ neighbours' distances in one product; queries go to the parts' tasks in blocks a
 results merge. When a walk ends is up to a stop condition: a beam's width, a distance, or a number
 of documents.
 
+A walk that its stop condition can neither end early nor let drop a node expands all that links
+lead to from the entry, in whatever order. So for all queries of a block the links are followed
+once, and the distances to what they reach are matrix products.
+
 The part's entry is its first node of the highest level. Pruning links can cut nodes off, so the
 finished graph gets a link to each such node; a beam as wide as the graph is then exact.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -27,15 +32,17 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import array_distances, dimension, metric
 from ..functions.durable import kept
-from .blocks import PART_ROWS, deal, matrix, meet, parts_for, to_every_part
-from .flat import before_last_document
+from .blocks import PART_ROWS, deal, matrix, meet, to_every_part
+from .flat import before_last_document, close_distances
+from .graph_build import Builder
+from .partition import within_bounds
 from .topk import top_k
 
 NODES = "part int, node int, vec_id long, level int, deleted boolean, embedding array<float>, links array<array<int>>"
 #: Rows that are worth a part of their own, while there are idle cores.
 LEAST_ROWS = 500
-#: Open nodes that are expanded at a time while a graph is built.
-BUILD_FRONTIER = 8
+#: Rows of a graph, which one task builds, at most about so many; a larger part makes several graphs.
+GRAPH_ROWS = 16_384
 
 
 class Stop(Protocol):
@@ -57,12 +64,18 @@ class Stop(Protocol):
     def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
         """What counts of the kept nodes, nearest first."""
 
+    def whole(self, nodes: int) -> bool:
+        """Whether no walk over so many nodes ends early or lets one go."""
+
+    def edge(self, dist: np.ndarray, nodes: np.ndarray) -> float:
+        """A distance beyond which no node counts, all of a walk's nodes and their distances being known."""
+
 
 class Width:
-    """The nearest nodes, width of them."""
+    """The nearest nodes, width of them, of which the first count ones count (all without it)."""
 
-    def __init__(self, width: int):
-        self.width, self.n = width, 0
+    def __init__(self, width: int, count: int | None = None):
+        self.width, self.count, self.n = width, count, 0
 
     def add(self, node: int) -> None:
         self.n += 1
@@ -80,7 +93,13 @@ class Width:
         return self.n > self.width
 
     def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        return found
+        return found[: self.count]
+
+    def whole(self, nodes: int) -> bool:
+        return self.width >= nodes
+
+    def edge(self, dist: np.ndarray, nodes: np.ndarray) -> float:
+        return math.inf if self.count is None or self.count >= len(dist) else float(np.partition(dist, self.count - 1)[self.count - 1])
 
 
 class Within(Width):
@@ -96,6 +115,12 @@ class Within(Width):
     def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
         return [x for x in found if x[0] <= self.eps]
 
+    def whole(self, nodes: int) -> bool:
+        return super().whole(nodes) and self.least >= nodes
+
+    def edge(self, dist: np.ndarray, nodes: np.ndarray) -> float:
+        return self.eps
+
 
 class Documents(Width):
     """The nearest nodes of documents different documents; the beam holds those of width. The first node of one document more is kept to mark the end."""
@@ -124,6 +149,14 @@ class Documents(Width):
                 return found[: i + 1]
         return found
 
+    def edge(self, dist: np.ndarray, nodes: np.ndarray) -> float:
+        codes, of = np.unique(self.codes[nodes], return_inverse=True)
+        if len(codes) <= self.documents:
+            return math.inf
+        firsts = np.full(len(codes), np.inf)
+        np.minimum.at(firsts, of, dist)
+        return float(np.partition(firsts, self.documents)[self.documents])
+
 
 class Graph:
     """One part's graph; hops and distances count the nodes expanded and the distances taken."""
@@ -186,62 +219,32 @@ class Graph:
                             stop.remove(-heapq.heappop(held)[1])
         return stop.result(sorted((-d, -n) for d, n in held))
 
-    def diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Of found, nearest first, those that none chosen before is nearer to than the centre is; all if there are fewer than most."""
-        if len(found) < most:
-            return [n for _, n in found]
-        nodes, d = [n for _, n in found], np.array([d for d, _ in found])
-        x = self.vectors[nodes]
-        good, chosen = np.ones(len(nodes), bool), []
-        for i, n in enumerate(nodes):
-            if good[i]:
-                chosen.append(n)
-                if len(chosen) == most:
-                    break
-                good[i + 1 :] &= array_distances(self.by, x[i + 1 :], x[i]) >= d[i + 1 :]
-        return chosen
-
-    def insert(self, node: int, level: int, width: int) -> None:
-        self.links.append([[] for _ in range(level + 1)])
-        if self.entry < 0:
-            self.entry = node
-            return
-        query, top = self.vectors[node], len(self.links[self.entry]) - 1
-        at = self.descend(query, self.entry, top, level)
-        for layer in range(min(level, top), -1, -1):
-            cap = self.m if layer else 2 * self.m
-            chosen = self.diverse(self.walk(query, at, layer, Width(width), frontier=BUILD_FRONTIER), self.m)
-            self.links[node][layer] = list(chosen)
-            for other in chosen:
-                own = self.links[other][layer]
-                own.append(node)
-                if len(own) > cap:
-                    d = self.far(self.vectors[other], own)
-                    self.links[other][layer] = self.diverse(sorted(zip(d.tolist(), own, strict=True)), cap)
-            at = chosen[0]
-        if level > top:
-            self.entry = node
-
-    def connect(self) -> None:
-        """Links every node that no walk from the entry reaches on level 0 from the nearest one that is reached."""
-        seen = np.zeros(len(self.links), bool)
-        for node in [self.entry, *range(len(self.links))]:
-            if not seen[node]:
-                if node != self.entry:
-                    reached = np.flatnonzero(seen)
-                    self.links[reached[self.far(self.vectors[node], reached).argmin()]][0].append(node)
-                pending = [node]
-                seen[node] = True
-                while pending:
-                    near = [n for n in self.links[pending.pop()][0] if not seen[n]]
-                    seen[near] = True
-                    pending += dict.fromkeys(near)
-
     def search(self, query: np.ndarray, stop: Stop, allowed: np.ndarray | None, frontier: int) -> list[tuple[float, int]]:
         at = self.descend(query, self.entry, len(self.links[self.entry]) - 1, 0)
         return self.walk(query, at, 0, stop, allowed, frontier)
 
 
+def reached(entry: int, starts: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The nodes that links lead to from the entry, in order, itself included; to[starts[i] : starts[i + 1]] are node i's links."""
+    seen = np.zeros(len(starts) - 1, bool)
+    seen[entry], front = True, np.array([entry])
+    while len(front):
+        sizes = starts[front + 1] - starts[front]
+        place = np.repeat(starts[front] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        near = np.unique(to[place])
+        front = near[~seen[near]]
+        seen[front] = True
+    return np.flatnonzero(seen)
+
+
+def ground_links(links: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, to) of level 0: to[starts[i] : starts[i + 1]] are node i's links."""
+    nodes = links.combine_chunks()
+    lists = pc.list_element(nodes, 0).combine_chunks() if isinstance(nodes, pa.ChunkedArray) else pc.list_element(nodes, 0)
+    starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return starts, lists.flatten().to_numpy(zero_copy_only=False)
+
+
 def level_of(vec_id: int, m: int, seed: int) -> int:
     """A draw by the id alone, level l and above having m ** -l of all."""
     x = (vec_id * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03 + 0x2545F4914F6CDD1D) & (2**64 - 1)
@@ -261,20 +264,46 @@ def build(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed:
 
     def graph(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
-        g = Graph(matrix(table.column("embedding")), by, m)
         levels = [level_of(i, m, seed) for i in table.column("vec_id").to_pylist()]
-        for node, level in enumerate(levels):
-            g.insert(node, level, width)
-        g.connect()
         n = len(levels)
+        g = Builder(matrix(table.column("embedding")), by, m, width, levels)
+        g.build()
         return pa.table(
             {
                 "part": table.column("part"), "node": pa.array(range(n), pa.int32()), "vec_id": table.column("vec_id"), "level": pa.array(levels, pa.int32()),
-                "deleted": table.column("deleted"), "embedding": table.column("embedding"), "links": pa.array(g.links, pa.list_(pa.list_(pa.int32()))),
+                "deleted": table.column("deleted"), "embedding": table.column("embedding"), "links": pa.array(map(g.links, range(n)), pa.list_(pa.list_(pa.int32()))),
             }
         )
 
-    return kept(rows.groupBy("part").applyInArrow(graph, NODES))
+    # a task for each part: by a hash of their numbers, several would share one
+    parts = max(1, rows.select("part").distinct().count())
+    dealt = rows.withColumn("slot", F.pmod("part", F.lit(parts))).repartitionById(parts, "slot")
+    return kept(dealt.groupBy("slot", "part").applyInArrow(graph, NODES))
+
+
+Found = Iterator[tuple[int, list[tuple[float, int]], int, int]]
+
+
+def _one_by_one(left: pa.Table, right: pa.Table, x: np.ndarray, entry: int, good: np.ndarray, stop: Callable[[], Stop], by: str, m: int, frontier: int) -> Found:
+    """(qid, result, nodes expanded, distances taken) of a walk for each query."""
+    g = Graph(x, by, m)
+    g.links, g.entry = left.column("links").to_pylist(), entry
+    for qid, q in zip(right.column("qid").to_pylist(), matrix(right.column("qv")), strict=True):
+        g.hops = g.distances = 0
+        yield qid, g.search(q, stop(), None if good.all() else good, frontier), g.hops, g.distances
+
+
+def _whole(left: pa.Table, right: pa.Table, x: np.ndarray, entry: int, good: np.ndarray, stop: Callable[[], Stop], by: str, m: int, frontier: int) -> Found:
+    """The same for walks that expand all there is; what may count is worked out again row by row."""
+    every = reached(entry, *ground_links(left.column("links")))
+    nodes = every[good[every]]
+    x, qids, asked = x[nodes], right.column("qid").to_pylist(), matrix(right.column("qv"))
+    for i, d, off in close_distances(by, x, asked):
+        end = stop()
+        near = np.flatnonzero(d <= end.edge(d, nodes) + 2 * off)
+        exact = array_distances(by, x[near], asked[i])
+        order = np.lexsort((near, exact))
+        yield qids[i], end.result(list(zip(exact[order].tolist(), nodes[near[order]].tolist(), strict=True))), len(every), len(every)
 
 
 def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where: Column | None, frontier: int, doc: str | None = None) -> DataFrame:
@@ -294,18 +323,16 @@ def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where:
         left = left.sort_by("node")
         docs = left.column("doc_id").combine_chunks()
         if left.num_rows and right.num_rows:
-            g = Graph(matrix(left.column("embedding")), by, m)
-            g.links = left.column("links").to_pylist()
-            g.entry = int(left.column("level").to_numpy().argmax())
-            ids, good = left.column("vec_id").to_numpy(), np.asarray(left.column("allowed").to_pylist(), bool)
+            x, ids, good = matrix(left.column("embedding")), left.column("vec_id").to_numpy(), np.asarray(left.column("allowed").to_pylist(), bool)
+            entry = int(left.column("level").to_numpy().argmax())
             codes = pc.dictionary_encode(docs, null_encoding="encode").indices.to_numpy(zero_copy_only=False) if doc else None
-            for qid, q in zip(right.column("qid").to_pylist(), matrix(right.column("qv")), strict=True):
-                g.hops = g.distances = 0
-                for d, n in g.search(q, stop(len(ids), codes), None if good.all() else good, frontier):
-                    for name, x in zip(out, (qid, int(ids[n]), d, n, None, None), strict=True):
-                        out[name].append(x)
-                for name, x in zip(out, (qid, None, None, None, g.hops, g.distances), strict=True):
-                    out[name].append(x)
+            results = _whole if stop(len(ids), codes).whole(len(ids)) else _one_by_one
+            for qid, found, hops, distances in results(left, right, x, entry, good, lambda: stop(len(ids), codes), by, m, frontier):
+                for d, n in found:
+                    for name, value in zip(out, (qid, int(ids[n]), d, n, None, None), strict=True):
+                        out[name].append(value)
+                for name, value in zip(out, (qid, None, None, None, hops, distances), strict=True):
+                    out[name].append(value)
         columns = {
             "qid": pa.array(out["qid"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "dist": pa.array(out["dist"], pa.float64()),
             "doc_id": docs.take(pa.array(out["node"], pa.int32())), "hops": pa.array(out["hops"], pa.int64()), "distances": pa.array(out["distances"], pa.int64()),
@@ -321,7 +348,7 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = 10, width: int | None
     where keeps rows out of the result, not out of the walk. Without a width the beam holds a
     whole part, and the result is exact.
     """
-    found = _walked(nodes, queries, lambda n, _: Width(n if width is None else max(width, k)), by, m, where, frontier)
+    found = _walked(nodes, queries, lambda n, _: Width(n if width is None else max(width, k), k), by, m, where, frontier)
     return top_k(found.where("vec_id is not null"), k)
 
 
@@ -346,14 +373,19 @@ class HNSWIndex:
 
     @classmethod
     def build(cls, base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", parts: int | None = None) -> HNSWIndex:
-        """base may say each row's part; else rows are dealt evenly by a hash, into parts of bounded size, as many as there are cores if rows are few."""
+        """base may say each row's part; else rows are dealt evenly by a hash, as many parts as there are cores if rows are few.
+
+        A part of more than GRAPH_ROWS rows is dealt out to several graphs, which count as parts of
+        their own.
+        """
         dimension(base)
         if "part" in base.columns:
-            dealt = base
+            dealt = within_bounds(base, GRAPH_ROWS)
         else:
             n = base.count()
             cores = base.sparkSession.sparkContext.defaultParallelism
-            dealt = base.withColumn("part", deal(parts or max(parts_for(n), min(cores, n // LEAST_ROWS))))
+            named = parts or max(1, min(cores, n // LEAST_ROWS))
+            dealt = base.withColumn("part", deal(named * max(1, -(-n // (named * GRAPH_ROWS)))))
         return cls(build(dealt, m, width, by), m, width, by)
 
     def search(self, queries: DataFrame, k: int = 10, width: int | None = 50, where: Column | None = None, frontier: int = 1) -> DataFrame:
@@ -466,7 +498,7 @@ class CellGraphIndex:
         shares = kept(ivf.postings.groupBy("cid").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("shares")))
         # part c + s * cells is share s of cell c
         dealt = ivf.postings.join(shares, "cid").withColumn("part", F.col("cid") + F.pmod(F.xxhash64("vec_id"), F.col("shares")).cast("int") * F.lit(len(ivf.centres)))
-        graph = HNSWIndex.build(dealt.select("part", "vec_id", "embedding"), m, width)
+        graph = HNSWIndex(build(dealt.select("part", "vec_id", "embedding"), m, width), m, width, "ip")
         over = None
         if coarse:
             table = centroid_table(base.sparkSession, ivf.centres)

@@ -47,3 +47,13 @@ def by_kmeans(base: DataFrame, parts: int, rounds: int = 10, most: int = PART_RO
     shares = dealt.groupBy("cid").agg(F.ceil(F.count("*") / most).cast("int").alias("shares"))
     share = F.pmod(F.xxhash64("vec_id"), F.col("shares")).cast("int")
     return dealt.join(shares, "cid").withColumn("part", F.col("cid") + share * parts).drop("cid", "shares").select(*base.columns, "part")
+
+
+def within_bounds(base: DataFrame, most: int) -> DataFrame:
+    """base, each part of more than most rows dealt by a hash to several; those are numbered on from the largest part's number, once round for each share."""
+    sizes = base.groupBy("part").agg(F.ceil(F.count("*") / most).cast("int").alias("shares"))
+    largest = sizes.agg(F.max("part").alias("part"), F.max("shares").alias("shares")).first()
+    if (largest["shares"] or 1) == 1:
+        return base
+    share = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("shares")).cast("int")
+    return base.join(sizes, "part").withColumn("part", F.col("part") + share * F.lit(largest["part"] + 1)).select(*base.columns)
