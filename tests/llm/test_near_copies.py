@@ -3,8 +3,10 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from vectide.llm import near_copies
-from vectide.llm.common import read
+from vectide.llm.common import connected_components, read
 
 
 def plain_set(text):
@@ -82,3 +84,24 @@ def test_large_groups_of_copies_and_others(spark):
     for block in (2, 10, 128):
         found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, block=block).collect()}
         assert found == want
+
+
+def test_fingerprints_bring_copies_together(spark):
+    """Without any shared band, texts whose fingerprints are linked and whose sets are alike are linked; those alike in fingerprints alone aren't."""
+    rng = random.Random(9)
+    texts = {}
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        for edits in (0, 1, 1, 2):
+            texts[len(texts)] = edited(rng, words, edits)
+    docs = spark.createDataFrame([*texts.items(), (900, None), (901, "")], "doc_id long, text string")
+    found = near_copies.sets(docs).withColumn("bands", F.when(F.size("bands") > 0, F.array("node")).otherwise(F.col("bands"))).cache()
+    prints = {r["doc_id"]: (r["node"], r["fp"] & (2**64 - 1)) for r in found.collect()}
+    want = {(a, b) for a in texts for b in texts if a < b and (prints[a][1] ^ prints[b][1]).bit_count() <= 3}
+    assert len(want) >= 30 and all(a // 4 == b // 4 for a, b in want)
+    roots = {r["node"]: r["root"] for r in connected_components(near_copies.links(found)).collect()}
+    root = lambda i: roots.get(prints[i][0], prints[i][0])
+    assert all(root(a) == root(b) for a, b in want)
+    # the same fingerprint, but sets that share nothing
+    apart = found.where("doc_id in (0, 4)").withColumn("fp", F.lit(5).cast("long"))
+    assert near_copies.links(apart).count() == 0

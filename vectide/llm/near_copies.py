@@ -1,9 +1,13 @@
 """Near copies: documents whose sets of word shingles reach a Jaccard similarity.
 
 A set is known by 32-bit hashes of its shingles (chance n / 2^32 of a false match for each shingle
-of a set of n). Equal sets are one node. Candidates share a band of minima: each of BANDS keys
+of a set of n). Equal sets are one node. Candidates come two ways, and all candidates' sets are
+compared. First by the near-duplicate operator's method (simhash): a set has a 64-bit SimHash of
+its shingles, is indexed under that fingerprint's one-wildcard variants, and fingerprints that share
+one and differ in at most DISTANCE bits are linked; nodes of linked fingerprints are compared.
+Then, for what fingerprints can't bring together, by bands of minima: each of BANDS keys
 hashes ROWS minima under multiplications of the shingles' 64-bit hashes, so a pair of similarity s
-is missed with probability (1 - s^ROWS)^BANDS, 0.2% at 0.8. All candidates' sets are compared.
+is missed with probability (1 - s^ROWS)^BANDS, 0.2% at 0.8.
 
 Groups of the same nodes are compared once. A group of more than BLOCK nodes is dealt out as
 pairs of blocks, so no task holds more than two, and only a spanning forest of the links is
@@ -11,7 +15,7 @@ emitted.
 
 This is the form that the near-duplicate operator takes in the pipeline, where texts count as
 copies from a similarity of 0.8 of their five-word shingles on: fingerprints of 64 bits differ in
-ten of them on average at 0.8, so that deletion variants of simhash would miss most such links.
+ten of them on average at 0.8, so that deletion variants alone would miss most such links.
 
 Defined results: null and empty texts, and texts without words, are copies of each other; texts
 shorter than a shingle are one shingle; very long texts are read whole and stand as one set of
@@ -30,10 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import checkpointed, connected_components, keep_one, row_key, row_slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
+#: Bits that linked fingerprints differ in at most.
+DISTANCE = 3
 SLICE_BYTES = 8 << 20
 #: Nodes of a group that are compared in one go.
 BLOCK = 128
@@ -69,23 +76,24 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, key1, key2, node, bands, hashes) of every row of docs; node stands for the set."""
+    """(doc_id, key1, key2, node, fp, bands, hashes) of every row of docs; node stands for the set, fp is its fingerprint."""
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in row_slices(batches, "text", SLICE_BYTES):
-            nodes, keys, kept = [], [], []
+            nodes, prints, keys, kept = [], [], [], []
             for text in rows.column(1).to_pylist():
                 found = shingles(text, shingle)
                 nodes.append(xxhash.xxh64_intdigest(found.astype("<u8").tobytes()))
+                prints.append(simhash.majority(found))
                 keys.append(bands(found))
                 kept.append(np.unique(found.astype("<u4")).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), *rows.columns[2:], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-                names=["doc_id", "key1", "key2", "node", "bands", "hashes"],
+                [rows.column(0), *rows.columns[2:], *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
+                names=["doc_id", "key1", "key2", "node", "fp", "bands", "hashes"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string"), *row_key()).mapInArrow(run, f"doc_id {id_type.simpleString()}, key1 long, key2 long, node long, bands array<long>, hashes binary")
+    return docs.select("doc_id", F.col("text").cast("string"), *row_key()).mapInArrow(run, f"doc_id {id_type.simpleString()}, key1 long, key2 long, node long, fp long, bands array<long>, hashes binary")
 
 
 def forest(hashes: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -111,9 +119,16 @@ def forest(hashes: list[np.ndarray], similarity: float) -> tuple[list[int], list
     return heads, tails
 
 
+def alike(nodes: DataFrame) -> DataFrame:
+    """(node, key): one key for all nodes whose fingerprints the near-duplicate operator links, directly or through others."""
+    roots = connected_components(simhash.links(nodes, DISTANCE)).select(F.col("node").alias("fp"), "root")
+    return nodes.join(roots, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"))
+
+
 def links(found: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(a, b): a spanning forest of the links between nodes, of candidates by bands."""
-    keyed = checkpointed(found.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key")))
+    """(a, b): a spanning forest of the links between nodes, of candidates by fingerprints and by bands."""
+    nodes = checkpointed(found.where("size(bands) > 0").select("node", "fp", "bands").dropDuplicates(["node"]))
+    keyed = checkpointed(alike(nodes.select("node", "fp")).unionByName(nodes.select("node", F.explode("bands").alias("key"))))
     groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
     once = groups.groupBy("n", "first", "all").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     # block x meets block y in the part (x, y): x is sent to every y from x on, and to every smaller one
