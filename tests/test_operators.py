@@ -1,5 +1,7 @@
 """Edge cases and properties of the search operators."""
 
+import tempfile
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -241,8 +243,15 @@ def one_way(spark):
     return hnsw.HNSWIndex(spark.createDataFrame(rows, hnsw.NODES), 16, 200, "ip")
 
 
+def _reloaded(index, asked):
+    path = f"{tempfile.mkdtemp()}/graph"
+    index.save(path)
+    return hnsw.HNSWIndex.load(asked.sparkSession, path).search(asked, 10, None)
+
+
 #: Searches, by the catalogue's queries that make them, through a beam that holds all: what they find from (0, 2).
 WHOLE = {
+    "hnsw_after_upsert": (lambda i, q: i.upsert(i.nodes.where("vec_id = 12").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"))).search(q, 10, None), [11, 10, 12]),
     "hnsw_exhaustive": (lambda i, q: i.search(q, 10, None), [11, 10, 12]),
 }
 
