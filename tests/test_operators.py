@@ -255,6 +255,7 @@ WHOLE = {
     "hnsw_after_upsert": (lambda i, q: i.upsert(i.nodes.where("vec_id = 12").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"))).search(q, 10, None), [11, 10, 12]),
     "hnsw_exhaustive": (lambda i, q: i.search(q, 10, None), [11, 10, 12]),
     "hnsw_filtered_exhaustive": (lambda i, q: i.search(q, 10, None, where=F.col("vec_id") != 11), [10, 12]),
+    "hnsw_kmeans_parts": (lambda i, q: i.search(q, 2, None), [11, 10]),
     "hnsw_l2_exhaustive": (lambda i, q: hnsw.HNSWIndex(i.nodes, 16, 200, "l2").search(q, 10, None), [11, 12, 10]),
 }
 
