@@ -257,6 +257,7 @@ WHOLE = {
     "hnsw_filtered_exhaustive": (lambda i, q: i.search(q, 10, None, where=F.col("vec_id") != 11), [10, 12]),
     "hnsw_kmeans_parts": (lambda i, q: i.search(q, 2, None), [11, 10]),
     "hnsw_l2_exhaustive": (lambda i, q: hnsw.HNSWIndex(i.nodes, 16, 200, "l2").search(q, 10, None), [11, 12, 10]),
+    "hnsw_parallel_frontier": (lambda i, q: i.search(q, 10, None, frontier=8), [11, 10, 12]),
 }
 
 
