@@ -259,6 +259,7 @@ WHOLE = {
     "hnsw_l2_exhaustive": (lambda i, q: hnsw.HNSWIndex(i.nodes, 16, 200, "l2").search(q, 10, None), [11, 12, 10]),
     "hnsw_multi_vector_docs": (lambda i, q: i.by_documents(q, i.nodes.select("vec_id", F.col("vec_id").alias("doc_id")), 5, None), [11, 10, 12]),
     "hnsw_parallel_frontier": (lambda i, q: i.search(q, 10, None, frontier=8), [11, 10, 12]),
+    "hnsw_range_exhaustive": (lambda i, q: i.within(q, 1.5, least=3, most=3), [11, 10, 12]),
 }
 
 
