@@ -261,6 +261,7 @@ WHOLE = {
     "hnsw_parallel_frontier": (lambda i, q: i.search(q, 10, None, frontier=8), [11, 10, 12]),
     "hnsw_range_exhaustive": (lambda i, q: i.within(q, 1.5, least=3, most=3), [11, 10, 12]),
     "hnsw_range_parts": (lambda i, q: i.search(q, 3, None), [11, 10, 12]),
+    "hnsw_saved_and_loaded": (_reloaded, [11, 10, 12]),
 }
 
 
