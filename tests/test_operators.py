@@ -313,6 +313,66 @@ def test_batches_build_whole_graphs(by):
     assert hits >= 950
 
 
+#: Vectors as the graphs of the catalogue's queries hold them, and their metric, by query.
+BUILT = {
+    "hnsw_after_upsert": ("ip", lambda x: np.concatenate([np.where(np.arange(len(x))[:, None] % 10 == 3, -x, x), x[4::10]])),
+}
+
+
+def _unit(n, dim=8):
+    x = np.random.default_rng(3).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _hits(x, by, built, asked):
+    """Of the 10 nearest rows of each node asked for, how many a search through the built graph finds."""
+    graph, hits = hnsw.Graph(x, by, 8), 0
+    graph.links, graph.entry = [built.links(i) for i in range(len(x))], built.entry
+    for q in asked:
+        kth = np.sort(hnsw.array_distances(by, x, x[q]))[9]
+        hits += sum(d <= kth + 1e-9 for d, _ in graph.search(x[q], hnsw.Width(60, 10), None, 1))
+    return hits
+
+
+@pytest.mark.parametrize("name", sorted(BUILT))
+def test_graphs_are_built_without_walks(name, monkeypatch):
+    by, held = BUILT[name]
+    x = held(_unit(600))
+    built = graph_build.Builder(x, by, 8, 60, [hnsw.level_of(i, 8, 1) for i in range(len(x))])
+    monkeypatch.setattr(built, "_walk", None)
+    built.build()
+    assert _hits(x, by, built, range(0, 400, 4)) >= 950
+
+
+@pytest.mark.parametrize("by", ["ip", "l2"])
+def test_large_graphs_are_built_by_walks(by, monkeypatch):
+    monkeypatch.setattr(graph_build, "PRODUCT_ROWS", 0)
+    x = _unit(600)
+    built = graph_build.Builder(x, by, 8, 60, [hnsw.level_of(i, 8, 1) for i in range(len(x))])
+    built.build()
+    assert _hits(x, by, built, range(0, 400, 4)) >= 950
+
+
+def test_candidates_are_the_nearest_before():
+    x = _unit(700)
+    for by, held in (("ip", x), ("l2", x + 3000)):  # products of vectors far off would cancel out
+        built = graph_build.Builder(held, by, 8, 20, [hnsw.level_of(i, 8, 1) for i in range(len(x))])
+        built.build()
+        for level in (0, 1):
+            on = built.on[level]
+            for nodes in (on[30:60], on[:9]):
+                found, dist = built._nearest(nodes, level)
+                for node, f, d in zip(nodes, found, dist, strict=True):
+                    before = on[on < node]
+                    want = before[np.argsort(hnsw.array_distances(by, held[before], held[node]))][:20]
+                    assert len(set(f[f >= 0].tolist()) & set(want.tolist())) >= len(want) - (by == "l2")
+                    assert (f >= 0).sum() == len(want) and (np.diff(d[f >= 0]) >= 0).all()
+        some = np.arange(500, 600)
+        found, dist = built._nearest(some, 0)
+        found, dist = np.hstack([found] * 3), np.hstack([dist] * 3)  # none but the first 20 differ, so that rows run on
+        assert (built._diverse(found, dist, 4) == np.where(built._chosen(found, dist, 4), found, -1)).all()
+
+
 def test_large_cells_are_dealt_out(spark, monkeypatch):
     base = vectors(spark, 300, 8)
     want = rows(IVFIndex.build(base, 4, 2).search(queries(base), 10, 4))

@@ -1,10 +1,13 @@
 """Building a layered graph in numpy, a batch of nodes at a time.
 
-The nodes of a batch walk the graph in step, a step's links and distances being a few array
-operations for all of them. What each finds is joined by the nodes of the batch before it, so a
-batch sees no fewer candidates than nodes inserted one by one. Batches grow from one node to
-BATCH. Links are kept as a matrix a level, -1 where there is none. Distances that only order
-candidates are single precision.
+A node's candidates are the nearest nodes inserted before it, as many as the beam is wide. In a
+graph of PRODUCT_ROWS nodes at most a matrix product finds them, which is what a walk looks for
+and takes less time. In a larger one the nodes of a batch walk the graph in step, a step's links
+and distances being a few array operations for all of them; what each finds is joined by the
+nodes of the batch before it, so a batch sees no fewer candidates than nodes inserted one by one.
+Batches grow from one node to BATCH. Links are kept as a matrix a level, -1 where there is none.
+Distances that only order candidates are single precision; by l2 they are taken from the middle
+of the vectors, so that products don't cancel out.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ import numpy as np
 
 #: Nodes that are inserted in one go, and marks of seen nodes (batch x nodes) that are held at most.
 BATCH, MARKS = 256, 1 << 24
+#: Nodes of a graph whose candidates are found by matrix products, at most.
+PRODUCT_ROWS = 1 << 16
 #: Open nodes that each walk expands at a time.
 FRONTIER = 8
 #: Distances between candidates that are held at a time.
@@ -23,11 +28,15 @@ class Builder:
     """levels[i] is the highest level of node i; links(i) is what the build gives."""
 
     def __init__(self, vectors: np.ndarray, by: str, m: int, width: int, levels: list[int]):
+        if by == "l2" and len(vectors):
+            vectors = vectors - vectors.mean(axis=0)
         self.x, self.by, self.m, self.width = np.ascontiguousarray(vectors, np.float32), by, m, width
         self.levels = np.array(levels, np.int64)
         self.n, self.entry, self.top = len(levels), -1, -1
         self.near = [np.full((self.n, m if level else 2 * m), -1, np.int32) for level in range(int(self.levels.max(initial=0)) + 1)]
         self.extra: dict[int, list[int]] = {}
+        #: By level its nodes in order, while candidates are found by products.
+        self.on = [np.flatnonzero(self.levels >= level) for level in range(len(self.near))] if self.n <= PRODUCT_ROWS else None
 
     def build(self) -> None:
         at, most = 0, max(1, min(BATCH, MARKS // max(1, self.n)))
@@ -102,8 +111,30 @@ class Builder:
             dist[grown], held[grown], open_[grown] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_n, best, 1), np.take_along_axis(all_o, best, 1)
         return _sorted(held, dist)
 
+    def _nearest(self, nodes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, distances) of those of a level before each of the nodes (a run of the level's) that are nearest, width of them, nearest first; -1 and inf fill rows up."""
+        at = int(np.searchsorted(self.on[level], nodes[0]))
+        before = self.on[level][: at + len(nodes)].astype(np.int32)
+        dist = self._between(self.x[nodes], self.x[before])
+        dist[:, at:][~np.tri(len(nodes), k=-1, dtype=bool)] = np.inf
+        if self.width < len(before):
+            best = np.argpartition(dist, self.width - 1, axis=1)[:, : self.width]
+            found, dist = before[best], np.take_along_axis(dist, best, 1)
+        else:
+            found = np.broadcast_to(before, dist.shape)
+        return _sorted(np.where(np.isfinite(dist), found, -1), dist)
+
     def _diverse(self, found: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
         """A row's nodes, nearest first, that none chosen before is nearer to than the centre is, -1 elsewhere; all if there are fewer than most."""
+        head = 4 * most
+        chosen = self._chosen(found[:, :head], dist[:, :head], most)
+        if found.shape[1] > head:  # a row seldom needs more to get most of them
+            chosen = np.hstack([chosen, np.zeros((len(found), found.shape[1] - head), bool)])
+            late = np.flatnonzero((found[:, head] >= 0) & (chosen.sum(axis=1) < most))
+            chosen[late] = self._chosen(found[late], dist[late], most)
+        return np.where(chosen, found, -1)
+
+    def _chosen(self, found: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
         g, c = found.shape
         chosen = np.zeros((g, c), bool)
         step = max(1, PAIRS // max(1, c * c))
@@ -121,13 +152,21 @@ class Builder:
                 good[:, i + 1 :] &= (apart[:, i, i + 1 :] >= d[:, i + 1 :]) | (~now | few)[:, None]
                 if (n >= most).all():
                     break
-        return np.where(chosen, found, -1)
+        return chosen
 
     def _insert(self, batch: np.ndarray) -> None:
         if self.entry < 0:
             self.entry, self.top = int(batch[0]), int(self.levels[batch[0]])
             return
-        own, among = self.levels[batch], self._between(self.x[batch], self.x[batch])
+        own = self.levels[batch]
+        if self.on is not None:
+            for level in range(int(own.max()), -1, -1):
+                nodes = batch[own >= level]
+                self._link(nodes, self._diverse(*self._nearest(nodes, level), self.m), level)
+            if own.max() > self.top:
+                self.entry, self.top = int(batch[own.argmax()]), int(own.max())
+            return
+        among = self._between(self.x[batch], self.x[batch])
         at = np.full(len(batch), self.entry)
         for level in range(max(self.top, int(own.max())), -1, -1):
             joins = own >= level

@@ -61,8 +61,8 @@ class Stop(Protocol):
     def over(self) -> bool:
         """Whether the farthest kept node has to go."""
 
-    def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        """What counts of the kept nodes, nearest first."""
+    def counted(self, dist: np.ndarray, nodes: np.ndarray) -> int:
+        """How many of the kept nodes count; they and their distances are given nearest first."""
 
     def whole(self, nodes: int) -> bool:
         """Whether no walk over so many nodes ends early or lets one go."""
@@ -92,8 +92,8 @@ class Width:
     def over(self) -> bool:
         return self.n > self.width
 
-    def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        return found[: self.count]
+    def counted(self, dist: np.ndarray, nodes: np.ndarray) -> int:
+        return len(nodes) if self.count is None else min(self.count, len(nodes))
 
     def whole(self, nodes: int) -> bool:
         return self.width >= nodes
@@ -112,8 +112,8 @@ class Within(Width):
     def done(self, dist: float, worst: float) -> bool:
         return super().done(dist, worst) or (dist > self.eps and self.n >= self.least)
 
-    def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        return [x for x in found if x[0] <= self.eps]
+    def counted(self, dist: np.ndarray, nodes: np.ndarray) -> int:
+        return int(np.searchsorted(dist, self.eps, "right"))
 
     def whole(self, nodes: int) -> bool:
         return super().whole(nodes) and self.least >= nodes
@@ -141,21 +141,14 @@ class Documents(Width):
             del self.nodes[doc]
         self.n = len(self.nodes)
 
-    def result(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        seen: set = set()
-        for i, (_, node) in enumerate(found):
-            seen.add(self.codes[node])
-            if len(seen) > self.documents:
-                return found[: i + 1]
-        return found
+    def counted(self, dist: np.ndarray, nodes: np.ndarray) -> int:
+        firsts = np.sort(np.unique(self.codes[nodes], return_index=True)[1])
+        return int(firsts[self.documents]) + 1 if len(firsts) > self.documents else len(nodes)
 
     def edge(self, dist: np.ndarray, nodes: np.ndarray) -> float:
-        codes, of = np.unique(self.codes[nodes], return_inverse=True)
-        if len(codes) <= self.documents:
-            return math.inf
-        firsts = np.full(len(codes), np.inf)
-        np.minimum.at(firsts, of, dist)
-        return float(np.partition(firsts, self.documents)[self.documents])
+        firsts = np.full(int(self.codes.max(initial=0)) + 1, np.inf)
+        np.minimum.at(firsts, self.codes[nodes], dist)
+        return float(np.partition(firsts, self.documents)[self.documents]) if len(firsts) > self.documents else math.inf
 
 
 class Graph:
@@ -217,7 +210,8 @@ class Graph:
                         stop.add(n)
                         while stop.over():
                             stop.remove(-heapq.heappop(held)[1])
-        return stop.result(sorted((-d, -n) for d, n in held))
+        found = sorted((-d, -n) for d, n in held)
+        return found[: stop.counted(np.array([d for d, _ in found]), np.array([n for _, n in found], int))]
 
     def search(self, query: np.ndarray, stop: Stop, allowed: np.ndarray | None, frontier: int) -> list[tuple[float, int]]:
         at = self.descend(query, self.entry, len(self.links[self.entry]) - 1, 0)
@@ -281,16 +275,17 @@ def build(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed:
     return kept(dealt.groupBy("slot", "part").applyInArrow(graph, NODES))
 
 
-Found = Iterator[tuple[int, list[tuple[float, int]], int, int]]
+Found = Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]
 
 
 def _one_by_one(left: pa.Table, right: pa.Table, x: np.ndarray, entry: int, good: np.ndarray, stop: Callable[[], Stop], by: str, m: int, frontier: int) -> Found:
-    """(qid, result, nodes expanded, distances taken) of a walk for each query."""
+    """(qid, distances and nodes that count, nodes expanded, distances taken) of a walk for each query."""
     g = Graph(x, by, m)
     g.links, g.entry = left.column("links").to_pylist(), entry
     for qid, q in zip(right.column("qid").to_pylist(), matrix(right.column("qv")), strict=True):
         g.hops = g.distances = 0
-        yield qid, g.search(q, stop(), None if good.all() else good, frontier), g.hops, g.distances
+        found = g.search(q, stop(), None if good.all() else good, frontier)
+        yield qid, np.array([d for d, _ in found]), np.array([n for _, n in found], int), g.hops, g.distances
 
 
 def _whole(left: pa.Table, right: pa.Table, x: np.ndarray, entry: int, good: np.ndarray, stop: Callable[[], Stop], by: str, m: int, frontier: int) -> Found:
@@ -303,13 +298,23 @@ def _whole(left: pa.Table, right: pa.Table, x: np.ndarray, entry: int, good: np.
         near = np.flatnonzero(d <= end.edge(d, nodes) + 2 * off)
         exact = array_distances(by, x[near], asked[i])
         order = np.lexsort((near, exact))
-        yield qids[i], end.result(list(zip(exact[order].tolist(), nodes[near[order]].tolist(), strict=True))), len(every), len(every)
+        exact, near = exact[order], nodes[near[order]]
+        n = end.counted(exact, near)
+        yield qids[i], exact[:n], near[:n], len(every), len(every)
+
+
+def _then_nulls(values: np.ndarray, kind: pa.DataType, n: int) -> pa.Array:
+    return pa.concat_arrays([pa.array(values, kind), pa.nulls(n, kind)])
+
+
+def _nulls_then(n: int, values) -> pa.Array:
+    return pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(values, pa.int64())])
 
 
 def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where: Column | None, frontier: int, doc: str | None = None) -> DataFrame:
     """(qid, vec_id, dist, doc_id, hops, distances) of every part's own result; stop(left, codes) makes a walk's stop condition.
 
-    The last row of a query and part has no vec_id and says how many nodes were expanded and how many distances taken.
+    A row of each query and part has no vec_id and says how many nodes were expanded and how many distances taken.
     """
     metric(by)
     allowed = (~F.col("deleted")) if where is None else (~F.col("deleted") & F.coalesce(where, F.lit(False)))
@@ -319,23 +324,22 @@ def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where:
     kind = stored.schema["doc_id"].dataType.simpleString()
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"qid": [], "vec_id": [], "dist": [], "node": [], "hops": [], "distances": []}
         left = left.sort_by("node")
-        docs = left.column("doc_id").combine_chunks()
+        docs, ids, found = left.column("doc_id").combine_chunks(), left.column("vec_id").to_numpy(), []
         if left.num_rows and right.num_rows:
-            x, ids, good = matrix(left.column("embedding")), left.column("vec_id").to_numpy(), np.asarray(left.column("allowed").to_pylist(), bool)
+            x, good = matrix(left.column("embedding")), np.asarray(left.column("allowed").to_pylist(), bool)
             entry = int(left.column("level").to_numpy().argmax())
             codes = pc.dictionary_encode(docs, null_encoding="encode").indices.to_numpy(zero_copy_only=False) if doc else None
             results = _whole if stop(len(ids), codes).whole(len(ids)) else _one_by_one
-            for qid, found, hops, distances in results(left, right, x, entry, good, lambda: stop(len(ids), codes), by, m, frontier):
-                for d, n in found:
-                    for name, value in zip(out, (qid, int(ids[n]), d, n, None, None), strict=True):
-                        out[name].append(value)
-                for name, value in zip(out, (qid, None, None, None, hops, distances), strict=True):
-                    out[name].append(value)
+            found = list(results(left, right, x, entry, good, lambda: stop(len(ids), codes), by, m, frontier))
+        qids, dist, at, hops, distances = zip(*found, strict=True) if found else ([], [], [], [], [])
+        qids, none = np.array(qids, np.int64), np.zeros(0)
+        dist, at = np.concatenate([*dist, none]), np.concatenate([*at, none]).astype(np.int64)
+        n, more = len(at), len(qids)  # the nodes that count, and a row more for each query
         columns = {
-            "qid": pa.array(out["qid"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "dist": pa.array(out["dist"], pa.float64()),
-            "doc_id": docs.take(pa.array(out["node"], pa.int32())), "hops": pa.array(out["hops"], pa.int64()), "distances": pa.array(out["distances"], pa.int64()),
+            "qid": pa.array(np.concatenate([np.repeat(qids, [len(f[1]) for f in found]), qids]).astype(np.int64)), "vec_id": _then_nulls(ids[at], pa.int64(), more),
+            "dist": _then_nulls(dist, pa.float64(), more), "doc_id": docs.take(_then_nulls(at, pa.int64(), more)),
+            "hops": _nulls_then(n, hops), "distances": _nulls_then(n, distances),
         }
         return pa.table(columns)
 
