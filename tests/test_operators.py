@@ -316,6 +316,7 @@ def test_batches_build_whole_graphs(by):
 #: Vectors as the graphs of the catalogue's queries hold them, and their metric, by query.
 BUILT = {
     "hnsw_after_upsert": ("ip", lambda x: np.concatenate([np.where(np.arange(len(x))[:, None] % 10 == 3, -x, x), x[4::10]])),
+    "hnsw_after_delete": ("ip", lambda x: x[np.arange(len(x)) % 10 != 7]),
 }
 
 
