@@ -318,6 +318,7 @@ BUILT = {
     "hnsw_after_upsert": ("ip", lambda x: np.concatenate([np.where(np.arange(len(x))[:, None] % 10 == 3, -x, x), x[4::10]])),
     "hnsw_after_delete": ("ip", lambda x: x[np.arange(len(x)) % 10 != 7]),
     "hnsw_filtered_exhaustive": ("ip", lambda x: x[::-1]),
+    "hnsw_l2_exhaustive": ("l2", lambda x: x),
 }
 
 
