@@ -319,6 +319,7 @@ BUILT = {
     "hnsw_after_delete": ("ip", lambda x: x[np.arange(len(x)) % 10 != 7]),
     "hnsw_filtered_exhaustive": ("ip", lambda x: x[::-1]),
     "hnsw_l2_exhaustive": ("l2", lambda x: x),
+    "hnsw_kmeans_parts": ("ip", lambda x: x[x[:, 0] > -0.2]),
 }
 
 
