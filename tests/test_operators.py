@@ -320,6 +320,7 @@ BUILT = {
     "hnsw_filtered_exhaustive": ("ip", lambda x: x[::-1]),
     "hnsw_l2_exhaustive": ("l2", lambda x: x),
     "hnsw_kmeans_parts": ("ip", lambda x: x[x[:, 0] > -0.2]),
+    "hnsw_parallel_frontier": ("ip", lambda x: x),
 }
 
 
