@@ -323,6 +323,7 @@ BUILT = {
     "hnsw_parallel_frontier": ("ip", lambda x: x),
     "hnsw_multi_vector_docs": ("ip", lambda x: x[np.argsort(np.arange(len(x)) % 10, kind="stable")]),
     "hnsw_range_exhaustive": ("ip", lambda x: x * 2),
+    "hnsw_range_parts": ("ip", lambda x: x[: 400]),
 }
 
 
