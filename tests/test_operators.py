@@ -324,6 +324,7 @@ BUILT = {
     "hnsw_multi_vector_docs": ("ip", lambda x: x[np.argsort(np.arange(len(x)) % 10, kind="stable")]),
     "hnsw_range_exhaustive": ("ip", lambda x: x * 2),
     "hnsw_range_parts": ("ip", lambda x: x[: 400]),
+    "hnsw_saved_and_loaded": ("ip", lambda x: x.astype(np.float32)),
 }
 
 
