@@ -3,6 +3,9 @@
 import hashlib
 
 import corpus_pipeline
+from pyspark.sql.types import LongType, StructField, StructType
+
+from vectide.llm import common, near_copies, simhash
 from vectide.llm.common import read
 
 from .test_documents import plain_hits
@@ -61,3 +64,23 @@ def test_stages_take_odd_rows(spark, sf_dir):
             assert name == "byte_bpe" or out.columns == docs.columns
             out.collect()
     assert set(schema) <= set(docs.columns)
+
+
+class Caught:
+    """Stands for documents; keeps the kernel that they would go through."""
+
+    schema = StructType([StructField("doc_id", LongType())])
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_stages_drop_what_workers_keep_of_others(spark):
+    """A worker that encoded documents holds hundreds of MB of known chunks; they must not stand beside the next run's first stages."""
+    for run in (near_copies.sets(Caught()).run, simhash.fingerprints(Caught()).run, simhash._within(2, 3, 10)):
+        common.kept(("other operator",), dict)
+        assert list(run(iter([]))) == [] and not common._kept

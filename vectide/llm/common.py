@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -98,6 +100,15 @@ def kept(key: tuple, make: Callable):
     return _kept[key]
 
 
+def keep_nothing() -> None:
+    """For kernels that keep nothing: what the worker keeps of another operator goes, and memory that is free goes back to the system."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each slice's text takes max_bytes at most (or is a single row)."""
     for batch in batches:
@@ -143,5 +154,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 __all__ = [
-    "batches_of", "checkpointed", "connected_components", "free_name", "keep_one", "kept", "let", "low_hash", "read", "remove", "row_key", "row_slices", "shared_folder", "shuffle_partitions",
+    "batches_of", "checkpointed", "connected_components", "free_name", "keep_nothing", "keep_one", "kept", "let", "low_hash", "read", "remove", "row_key", "row_slices", "shared_folder", "shuffle_partitions",
 ]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, connected_components, keep_one, row_key, row_slices
+from .common import checkpointed, connected_components, keep_nothing, keep_one, row_key, row_slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -80,6 +80,7 @@ def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for rows in row_slices(batches, "text", SLICE_BYTES):
             nodes, prints, keys, kept = [], [], [], []
             for text in rows.column(1).to_pylist():

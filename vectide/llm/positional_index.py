@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, row_key, row_slices
+from .common import checkpointed, free_name, keep_nothing, row_key, row_slices
 
 WINDOW = 10
 #: Words of a shard, and bytes of test items of one round, at most about so many. A window takes
@@ -95,6 +95,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW, shard_words: int = SHARD_WOR
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         ids, sizes, codes, total, numbers, shard = [], [], [], 0, _Numbers(), None
         for rows in row_slices(batches, "text", SLICE_BYTES):
             shard = rows.column(2)[0].as_py() << 32 if shard is None else shard
@@ -136,6 +137,7 @@ def term_counts(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
     """Occurrences in the whole corpus of those of the terms that occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = [(w, n) for w, n in zip(words.split(b" ") if words else (), np.frombuffer(counts, "<i4").tolist(), strict=True) if w in terms]
@@ -199,6 +201,7 @@ def search(index: DataFrame, phrases: dict[tuple[bytes, ...], list], slop: int =
             plans[plan[0][0]].append((plan, len(words), [None if i is None else str(i) for i in items]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             for i in range(batch.num_rows):
                 sizes = batch.column(1)[i].values.to_numpy()

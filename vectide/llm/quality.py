@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import low_hash, row_slices
+from .common import keep_nothing, low_hash, row_slices
 
 BUCKETS, DIMENSIONS = 1 << 16, 16
 GRAMS = (1, 2, 3, 4)
@@ -145,6 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for rows in row_slices(batches, "text", SLICE_BYTES):
             found = [weights_of(t) for t in rows.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -175,6 +176,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for rows in row_slices(batches, "text", SLICE_BYTES):
             texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
             found = np.array([1 / (1 + math.exp(min(700.0, -odds(t, *shared.value)))) for t in texts])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, keep_one, row_key, row_slices, shuffle_partitions
+from .common import checkpointed, connected_components, keep_nothing, keep_one, row_key, row_slices, shuffle_partitions
 
 BITS = 64
 SLICE_BYTES = 8 << 20
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for rows in row_slices(batches, "text", SLICE_BYTES):
             prints = np.array([fingerprint(t, shingle, seed) for t in rows.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:], pa.array(prints.view(np.int64))], names=["doc_id", "key1", "key2", "fp"])
@@ -121,6 +122,7 @@ def _within(segments: int, distance: int, block: int):
     width = BITS // segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         key, held, blocks = None, np.zeros(0, np.int64), 0
 
         def close():
