@@ -290,6 +290,29 @@ def test_large_parts_make_several_graphs(spark, monkeypatch):
         assert rows(index.search(queries(base), 10, None)) == want
 
 
+def test_parts_have_a_task_each_and_the_largest_starts_first(spark):
+    sizes = {0: 30, 3: 20, 6: 50, 1: 10}  # 0, 3 and 6 leave nothing when divided by 3
+    base = spark.createDataFrame([(p, i) for p, n in sizes.items() for i in range(n)], "part int, vec_id long")
+    dealt, slots = hnsw.in_slots(base)
+    assert slots == 4 and dealt.count() == 110
+    assert {r["part"]: r["slot"] for r in dealt.select("part", "slot").distinct().collect()} == {6: 0, 0: 1, 3: 2, 1: 3}
+
+
+def test_given_parts_are_worked_out_once(spark):
+    """hnsw_kmeans_parts: cells aren't assigned again for each look at the rows."""
+    base, seen = vectors(spark), spark.sparkContext.accumulator(0)
+
+    def part(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    parts = base.withColumn("part", F.pmod("vec_id", F.lit(3)).cast("int"))
+    index = hnsw.HNSWIndex.build(parts.mapInArrow(part, parts.schema))
+    assert rows(index.search(queries(base), 10, None)) == rows(flat.nearest(base, queries(base), 10))
+    assert seen.value == 300
+
+
 @pytest.mark.parametrize("by", ["ip", "l2"])
 def test_batches_build_whole_graphs(by):
     """Nodes inserted in batches, many of them copies of one: links within bounds, everything reached, near nodes found."""

@@ -247,6 +247,13 @@ def level_of(vec_id: int, m: int, seed: int) -> int:
     return int(-math.log(((x ^ (x >> 31)) + 1) / 2**64) / math.log(m))
 
 
+def in_slots(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows with slot, and how many there are: a number for each part, the largest part's first, so that tasks of slots start with what takes longest."""
+    sizes = rows.groupBy("part").count().orderBy(F.desc("count"), "part").collect()
+    slots = rows.sparkSession.createDataFrame(pa.table({"of": pa.array([r["part"] for r in sizes], pa.int32()), "slot": pa.array(range(len(sizes)), pa.int32())}))
+    return rows.join(F.broadcast(slots), F.col("part").eqNullSafe(F.col("of"))).drop("of"), max(1, len(sizes))
+
+
 def build(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed: int = 100) -> DataFrame:
     """Nodes of a graph for each part, kept; base has part, vec_id, embedding and may have deleted."""
     if m < 2:
@@ -269,10 +276,9 @@ def build(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed:
             }
         )
 
-    # a task for each part: by a hash of their numbers, several would share one
-    parts = max(1, rows.select("part").distinct().count())
-    dealt = rows.withColumn("slot", F.pmod("part", F.lit(parts))).repartitionById(parts, "slot")
-    return kept(dealt.groupBy("slot", "part").applyInArrow(graph, NODES))
+    # a task for each part: by a hash of their numbers, or by what is left of them, several would share one
+    dealt, slots = in_slots(rows)
+    return kept(dealt.repartitionById(slots, "slot").groupBy("slot", "part").applyInArrow(graph, NODES))
 
 
 Found = Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]
@@ -380,8 +386,10 @@ class HNSWIndex:
         """base may say each row's part; else rows are dealt evenly by a hash, as many parts as there are cores if rows are few.
 
         A part of more than GRAPH_ROWS rows is dealt out to several graphs, which count as parts of
-        their own.
+        their own. Parts that base says are worked out once and kept.
         """
+        if "part" in base.columns:
+            base = kept(base.select(*(c for c in ("part", "vec_id", "embedding", "deleted") if c in base.columns)))
         dimension(base)
         if "part" in base.columns:
             dealt = within_bounds(base, GRAPH_ROWS)
