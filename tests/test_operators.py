@@ -298,21 +298,41 @@ def test_parts_have_a_task_each_and_the_largest_starts_first(spark):
     assert {r["part"]: r["slot"] for r in dealt.select("part", "slot").distinct().collect()} == {6: 0, 0: 1, 3: 2, 1: 3}
 
 
-def test_given_parts_are_worked_out_once(spark):
-    """hnsw_kmeans_parts: cells aren't assigned again for each look at the rows."""
-    base, seen = vectors(spark), spark.sparkContext.accumulator(0)
+def counted(df):
+    """df, and an accumulator of how many of its rows were worked out."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
 
-    def part(batches):
+    def same(batches):
         for b in batches:
             seen.add(b.num_rows)
             yield b
 
-    parts = base.withColumn("part", F.pmod("vec_id", F.lit(3)).cast("int"))
-    index = hnsw.HNSWIndex.build(parts.mapInArrow(part, parts.schema))
+    return df.mapInArrow(same, df.schema), seen
+
+
+def test_given_parts_are_worked_out_once(spark):
+    """hnsw_kmeans_parts: cells aren't assigned again for each look at the rows."""
+    base = vectors(spark)
+    parts, seen = counted(base.withColumn("part", F.pmod("vec_id", F.lit(3)).cast("int")))
+    index = hnsw.HNSWIndex.build(parts)
     assert rows(index.search(queries(base), 10, None)) == rows(flat.nearest(base, queries(base), 10))
     assert seen.value == 300
 
 
+def test_documents_are_found_in_one_pass(spark):
+    """hnsw_multi_vector_docs: what was found is not worked out a second time for where each query ends."""
+    near = [(1, 10, "a", 0.1), (1, 11, "b", 0.2), (1, 12, "a", 0.3), (1, 13, None, 0.4), (1, 14, "c", 0.4), (1, 15, None, 0.5), (1, 16, "d", 0.6), (2, 10, "a", 0.1), (2, 11, "a", 0.1)]
+    found, seen = counted(spark.createDataFrame(near, "qid long, vec_id long, doc_id string, dist double"))
+    for documents, want in ((0, []), (1, [10]), (2, [10, 11, 12]), (3, [10, 11, 12, 13]), (4, [10, 11, 12, 13, 14, 15]), (9, [10, 11, 12, 13, 14, 15, 16])):
+        before = seen.value
+        got = flat.before_last_document(found, documents).orderBy("qid", "rk").collect()
+        assert [r["vec_id"] for r in got if r["qid"] == 1] == want and [r["rk"] for r in got if r["qid"] == 1] == list(range(1, len(want) + 1))
+        assert [r["vec_id"] for r in got if r["qid"] == 2] == ([10, 11] if documents else [])
+        assert seen.value - before == len(near)
+    twice = spark.createDataFrame([(1, 10, "a", 0.1), (1, 11, "b", 0.2), (1, 11, "c", 0.2)], found.schema)  # an id of two documents
+    assert [r["vec_id"] for r in flat.before_last_document(twice, 2).collect()] == [10]
+
+
 @pytest.mark.parametrize("by", ["ip", "l2"])
 def test_batches_build_whole_graphs(by):
     """Nodes inserted in batches, many of them copies of one: links within bounds, everything reached, near nodes found."""

@@ -95,13 +95,13 @@ def within(base: DataFrame, queries: DataFrame, eps: float, least_rows: int = 0,
 
 
 def before_last_document(found: DataFrame, documents: int) -> DataFrame:
-    """Of (qid, vec_id, doc_id, dist) a query's rows before the first of one document too many, with rk."""
-    firsts = found.groupBy("qid", "doc_id").agg(F.min(F.struct("dist", "vec_id")).alias("first"))
-    placed = firsts.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("first")))
-    stops = placed.where(F.col("n") == documents + 1).select("qid", F.col("first").alias("stop"))
-    kept = found.join(stops, "qid", "left").where(F.col("stop").isNull() | (F.struct("dist", "vec_id") < F.col("stop")))
+    """Of (qid, vec_id, doc_id, dist) a query's rows before the first of one document too many, with rk; found is read once."""
+    place = Window.partitionBy("qid", "doc_id").orderBy("dist", "vec_id")
     order = Window.partitionBy("qid").orderBy("dist", "vec_id")
-    return kept.withColumn("rk", F.row_number().over(order).cast("long")).select("qid", "vec_id", "doc_id", "dist", "rk")
+    firsts = found.repartition("qid").withColumn("first", (F.row_number().over(place) == 1).cast("int"))
+    # rows of one distance and id, of several documents, count all of these
+    placed = firsts.withColumn("n", F.sum("first").over(order)).withColumn("rk", F.row_number().over(order).cast("long"))
+    return placed.where(F.col("n") <= documents).select("qid", "vec_id", "doc_id", "dist", "rk")
 
 
 def by_documents(base: DataFrame, queries: DataFrame, documents: int, doc: str = "doc_id", by: str = "ip") -> DataFrame:
