@@ -319,6 +319,38 @@ def test_given_parts_are_worked_out_once(spark):
     assert seen.value == 300
 
 
+def test_graphs_fill_the_cores(spark, monkeypatch):
+    """Eight graphs of 12,821 rows on six cores would take two turns of as long as graphs of that size take."""
+    assert [hnsw.graph_rows(102_564, cores) for cores in (1, 6, 8, 100)] == [14_652, 8_547, 12_821, 4_096]
+    assert hnsw.graph_rows(10_256, 6) == 4_096 and hnsw.graph_rows(0, 6) == 4_096
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(hnsw, "GRAPH_ROWS", 300 // cores - 4)  # one turn isn't enough
+    base = vectors(spark)
+    for index in (hnsw.HNSWIndex.build(base, parts=2), hnsw.HNSWIndex.build(partition.by_range(base, 2))):
+        assert index.nodes.select("part").distinct().count() == 2 * cores
+        assert rows(index.search(queries(base), 10, None)) == rows(flat.nearest(base, queries(base), 10))
+    sizes = partition.within_bounds(base.withColumn("part", (F.col("vec_id") >= 30).cast("int")), 40, 20).groupBy("part").count().collect()
+    assert sorted(r["part"] for r in sizes) == [0, *range(1, 2 * 14, 2)] and sum(r["count"] for r in sizes) == 300
+
+
+def test_few_marks_go_to_the_nodes(spark, monkeypatch):
+    """hnsw_after_delete: ids to delete are read once, and few of them don't shuffle the nodes."""
+    base = vectors(spark)
+    for most, exchanged in ((hnsw.BROADCAST_BYTES, False), (16 * 29, True)):
+        monkeypatch.setattr(hnsw, "BROADCAST_BYTES", most)
+        ids, seen = counted(base.where("vec_id % 10 = 3").select("vec_id"))
+        index = hnsw.HNSWIndex.build(base, parts=2).delete(ids)
+        assert seen.value == 30
+        plan = index.nodes._jdf.queryExecution().optimizedPlan().toString()
+        assert ("rightHint=(strategy=broadcast)" in plan) != exchanged
+        assert rows(index.search(queries(base, 3), 10, None)) == rows(flat.nearest(base, queries(base, 3), 10, where=F.col("vec_id") % 10 != 3))
+        assert tuple(index.undelete(base.where("vec_id = 13")).counts().first()) == (300, 29)
+        with pytest.raises(KeyError):
+            index.delete(table(spark, [(1, [0.0] * 8), (1000, [0.0] * 8)]))
+        with pytest.raises(ValueError):
+            index.delete(base.where("vec_id in (3, 4)"))
+
+
 def test_documents_are_found_in_one_pass(spark):
     """hnsw_multi_vector_docs: what was found is not worked out a second time for where each query ends."""
     near = [(1, 10, "a", 0.1), (1, 11, "b", 0.2), (1, 12, "a", 0.3), (1, 13, None, 0.4), (1, 14, "c", 0.4), (1, 15, None, 0.5), (1, 16, "d", 0.6), (2, 10, "a", 0.1), (2, 11, "a", 0.1)]

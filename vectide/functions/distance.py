@@ -46,13 +46,18 @@ def array_distances(name: str, rows: np.ndarray, query: np.ndarray) -> np.ndarra
     return 1.0 - np.einsum("ij,j->i", rows, query) if name == "ip" else ((rows - query) ** 2).sum(axis=1)
 
 
-def dimension(vectors: DataFrame, column: str = "embedding") -> int:
-    """The vectors' one length (0 without rows); ValueError for nulls, non-finite components and mixed lengths."""
+def checked(vectors: DataFrame, column: str = "embedding") -> tuple[int, int]:
+    """The vectors' one length (0 without rows), and how many there are; ValueError for nulls, non-finite components and mixed lengths."""
     v = F.col(column)
     bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    seen = vectors.agg(F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.count(F.when(bad, 1)).alias("bad")).first()
+    seen = vectors.agg(F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.count(F.when(bad, 1)).alias("bad"), F.count("*").alias("n")).first()
     if seen["bad"]:
         raise ValueError(f"{seen['bad']} rows of {column} are null or hold null or non-finite components")
     if seen["low"] != seen["high"]:
         raise ValueError(f"{column} holds vectors of {seen['low']} to {seen['high']} components")
-    return seen["low"] or 0
+    return seen["low"] or 0, seen["n"]
+
+
+def dimension(vectors: DataFrame, column: str = "embedding") -> int:
+    """The vectors' one length, as checked gives it."""
+    return checked(vectors, column)[0]

@@ -30,9 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import array_distances, dimension, metric
+from ..functions.distance import array_distances, checked, dimension, metric
 from ..functions.durable import kept
-from .blocks import PART_ROWS, deal, matrix, meet, to_every_part
+from .blocks import BROADCAST_BYTES, PART_ROWS, deal, matrix, meet, to_every_part
 from .flat import before_last_document, close_distances
 from .graph_build import Builder
 from .partition import within_bounds
@@ -41,7 +41,8 @@ from .topk import top_k
 NODES = "part int, node int, vec_id long, level int, deleted boolean, embedding array<float>, links array<array<int>>"
 #: Rows that are worth a part of their own, while there are idle cores.
 LEAST_ROWS = 500
-#: Rows of a graph, which one task builds, at most about so many; a larger part makes several graphs.
+#: Rows of a graph, which one task builds, at most about so many; a larger part makes several graphs,
+#: of a quarter of that at least.
 GRAPH_ROWS = 16_384
 
 
@@ -254,6 +255,12 @@ def in_slots(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.join(F.broadcast(slots), F.col("part").eqNullSafe(F.col("of"))).drop("of"), max(1, len(sizes))
 
 
+def graph_rows(n: int, cores: int) -> int:
+    """Rows of each graph of a part that makes several, n being all parts' rows: so many that the last graphs are built while no core waits."""
+    turns = max(1, -(-n // (cores * GRAPH_ROWS)))
+    return min(GRAPH_ROWS, max(GRAPH_ROWS // 4, -(-n // (cores * turns))))
+
+
 def build(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed: int = 100) -> DataFrame:
     """Nodes of a graph for each part, kept; base has part, vec_id, embedding and may have deleted."""
     if m < 2:
@@ -388,16 +395,16 @@ class HNSWIndex:
         A part of more than GRAPH_ROWS rows is dealt out to several graphs, which count as parts of
         their own. Parts that base says are worked out once and kept.
         """
+        cores = base.sparkSession.sparkContext.defaultParallelism
         if "part" in base.columns:
             base = kept(base.select(*(c for c in ("part", "vec_id", "embedding", "deleted") if c in base.columns)))
-        dimension(base)
+        n = checked(base)[1]
         if "part" in base.columns:
-            dealt = within_bounds(base, GRAPH_ROWS)
+            dealt = within_bounds(base, GRAPH_ROWS, graph_rows(n, cores))
         else:
-            n = base.count()
-            cores = base.sparkSession.sparkContext.defaultParallelism
             named = parts or max(1, min(cores, n // LEAST_ROWS))
-            dealt = base.withColumn("part", deal(named * max(1, -(-n // (named * GRAPH_ROWS)))))
+            size = graph_rows(n, cores) if n > named * GRAPH_ROWS else GRAPH_ROWS
+            dealt = base.withColumn("part", deal(named * max(1, -(-n // (named * size)))))
         return cls(build(dealt, m, width, by), m, width, by)
 
     def search(self, queries: DataFrame, k: int = 10, width: int | None = 50, where: Column | None = None, frontier: int = 1) -> DataFrame:
@@ -424,13 +431,15 @@ class HNSWIndex:
         return found.where("vec_id is null").groupBy("qid").agg(F.sum("hops").alias("hops"), F.sum("distances").alias("distances"))
 
     def _marked(self, ids: DataFrame, deleted: bool) -> HNSWIndex:
-        named = ids.select("vec_id").distinct().withColumn("named", F.lit(True))
-        marked = self.nodes.join(named, "vec_id", "left")
-        known = marked.where("named").agg(F.count("*").alias("n"), F.count(F.when(F.col("deleted") == deleted, 1)).alias("already")).first()
-        if known["n"] < named.count():
+        named = kept(ids.select("vec_id").distinct().withColumn("named", F.lit(True)))
+        at = self.nodes.select("vec_id", "deleted", F.lit(True).alias("there"))
+        known = named.join(at, "vec_id", "left").agg(F.count("*").alias("ids"), F.count("there").alias("n"), F.count(F.when(F.col("deleted") == deleted, 1)).alias("already")).first()
+        if known["n"] < known["ids"]:
             raise KeyError("some ids aren't in the index")
         if known["already"]:
             raise ValueError(f"{known['already']} of the ids are {'deleted already' if deleted else 'not deleted'}")
+        # few ids go to the nodes, so that these, with their vectors and links, aren't shuffled
+        marked = self.nodes.join(F.broadcast(named) if 16 * known["ids"] <= BROADCAST_BYTES else named, "vec_id", "left")
         nodes = marked.withColumn("deleted", F.coalesce(F.when(F.col("named"), F.lit(deleted)), F.col("deleted"))).select(*self.nodes.columns)
         return HNSWIndex(nodes, self.m, self.width, self.by)
 

@@ -49,9 +49,10 @@ def by_kmeans(base: DataFrame, parts: int, rounds: int = 10, most: int = PART_RO
     return dealt.join(shares, "cid").withColumn("part", F.col("cid") + share * parts).drop("cid", "shares").select(*base.columns, "part")
 
 
-def within_bounds(base: DataFrame, most: int) -> DataFrame:
-    """base, each part of more than most rows dealt by a hash to several; those are numbered on from the largest part's number, once round for each share."""
-    sizes = base.groupBy("part").agg(F.ceil(F.count("*") / most).cast("int").alias("shares"))
+def within_bounds(base: DataFrame, most: int, each: int | None = None) -> DataFrame:
+    """base, each part of more than most rows dealt by a hash to several, of about each (most without it) rows at most; those are numbered on from the largest part's number, once round for each share."""
+    rows = F.count("*")
+    sizes = base.groupBy("part").agg(F.when(rows <= most, 1).otherwise(F.ceil(rows / (each or most))).cast("int").alias("shares"))
     largest = sizes.agg(F.max("part").alias("part"), F.max("shares").alias("shares")).first()
     if (largest["shares"] or 1) == 1:
         return base
