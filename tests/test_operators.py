@@ -294,7 +294,7 @@ def test_parts_have_a_task_each_and_the_largest_starts_first(spark):
     sizes = {0: 30, 3: 20, 6: 50, 1: 10}  # 0, 3 and 6 leave nothing when divided by 3
     base = spark.createDataFrame([(p, i) for p, n in sizes.items() for i in range(n)], "part int, vec_id long")
     dealt, slots = hnsw.in_slots(base)
-    assert slots == 4 and dealt.count() == 110
+    assert slots == [6, 0, 3, 1] and dealt.count() == 110
     assert {r["part"]: r["slot"] for r in dealt.select("part", "slot").distinct().collect()} == {6: 0, 0: 1, 3: 2, 1: 3}
 
 
@@ -333,6 +333,15 @@ def test_graphs_fill_the_cores(spark, monkeypatch):
     assert sorted(r["part"] for r in sizes) == [0, *range(1, 2 * 14, 2)] and sum(r["count"] for r in sizes) == 300
 
 
+def test_searches_read_the_nodes_once(spark):
+    """hnsw_parallel_frontier: the parts that a build made aren't looked up in the nodes again."""
+    base = vectors(spark)
+    for built in (hnsw.HNSWIndex.build(base, parts=2), hnsw.HNSWIndex.build(partition.by_range(base, 3))):
+        nodes, seen = counted(built.nodes)
+        found = hnsw.HNSWIndex(nodes, built.m, built.width, built.by, built.parts).search(queries(base), 10, None, frontier=8)
+        assert rows(found) == rows(flat.nearest(base, queries(base), 10)) and seen.value == 300
+
+
 def test_few_marks_go_to_the_nodes(spark, monkeypatch):
     """hnsw_after_delete: ids to delete are read once, and few of them don't shuffle the nodes."""
     base = vectors(spark)

@@ -248,11 +248,11 @@ def level_of(vec_id: int, m: int, seed: int) -> int:
     return int(-math.log(((x ^ (x >> 31)) + 1) / 2**64) / math.log(m))
 
 
-def in_slots(rows: DataFrame) -> tuple[DataFrame, int]:
-    """rows with slot, and how many there are: a number for each part, the largest part's first, so that tasks of slots start with what takes longest."""
+def in_slots(rows: DataFrame) -> tuple[DataFrame, list[int]]:
+    """rows with slot, and the parts by their slots: a number for each part, the largest part's first, so that tasks of slots start with what takes longest."""
     sizes = rows.groupBy("part").count().orderBy(F.desc("count"), "part").collect()
     slots = rows.sparkSession.createDataFrame(pa.table({"of": pa.array([r["part"] for r in sizes], pa.int32()), "slot": pa.array(range(len(sizes)), pa.int32())}))
-    return rows.join(F.broadcast(slots), F.col("part").eqNullSafe(F.col("of"))).drop("of"), max(1, len(sizes))
+    return rows.join(F.broadcast(slots), F.col("part").eqNullSafe(F.col("of"))).drop("of"), [r["part"] for r in sizes]
 
 
 def graph_rows(n: int, cores: int) -> int:
@@ -263,6 +263,11 @@ def graph_rows(n: int, cores: int) -> int:
 
 def build(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed: int = 100) -> DataFrame:
     """Nodes of a graph for each part, kept; base has part, vec_id, embedding and may have deleted."""
+    return build_parts(base, m, width, by, seed)[0]
+
+
+def build_parts(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed: int = 100, parts: list[int] | None = None) -> tuple[DataFrame, list[int]]:
+    """The same, and the parts' numbers; those given are 0 and up, and of about the same size."""
     if m < 2:
         raise ValueError("a node has two links at least")
     metric(by)
@@ -284,8 +289,8 @@ def build(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed:
         )
 
     # a task for each part: by a hash of their numbers, or by what is left of them, several would share one
-    dealt, slots = in_slots(rows)
-    return kept(dealt.repartitionById(slots, "slot").groupBy("slot", "part").applyInArrow(graph, NODES))
+    dealt, parts = in_slots(rows) if parts is None else (rows.withColumn("slot", F.col("part")), parts)
+    return kept(dealt.repartitionById(max(1, len(parts)), "slot").groupBy("slot", "part").applyInArrow(graph, NODES)), parts
 
 
 Found = Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]
@@ -324,7 +329,7 @@ def _nulls_then(n: int, values) -> pa.Array:
     return pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(values, pa.int64())])
 
 
-def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where: Column | None, frontier: int, doc: str | None = None) -> DataFrame:
+def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where: Column | None, frontier: int, doc: str | None = None, parts: list[int] | None = None) -> DataFrame:
     """(qid, vec_id, dist, doc_id, hops, distances) of every part's own result; stop(left, codes) makes a walk's stop condition.
 
     A row of each query and part has no vec_id and says how many nodes were expanded and how many distances taken.
@@ -333,7 +338,7 @@ def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where:
     allowed = (~F.col("deleted")) if where is None else (~F.col("deleted") & F.coalesce(where, F.lit(False)))
     named = F.lit(None).cast("int") if doc is None else F.col(doc)
     stored = nodes.select("part", "node", "vec_id", "level", "embedding", "links", allowed.alias("allowed"), named.alias("doc_id"))
-    asked = queries if "part" in queries.columns else to_every_part(queries, nodes)
+    asked = queries if "part" in queries.columns else to_every_part(queries, nodes, parts)
     kind = stored.schema["doc_id"].dataType.simpleString()
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -356,16 +361,16 @@ def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where:
         }
         return pa.table(columns)
 
-    return meet(stored, asked.select("part", "qid", "qv"), walk, f"qid long, vec_id long, dist double, doc_id {kind}, hops long, distances long")
+    return meet(stored, asked.select("part", "qid", "qv"), walk, f"qid long, vec_id long, dist double, doc_id {kind}, hops long, distances long", queries)
 
 
-def search(nodes: DataFrame, queries: DataFrame, k: int = 10, width: int | None = 50, by: str = "ip", m: int = 16, where: Column | None = None, frontier: int = 1) -> DataFrame:
-    """The nearest k over all parts; queries with a column part go to that part alone.
+def search(nodes: DataFrame, queries: DataFrame, k: int = 10, width: int | None = 50, by: str = "ip", m: int = 16, where: Column | None = None, frontier: int = 1, parts: list[int] | None = None) -> DataFrame:
+    """The nearest k over all parts; queries with a column part go to that part alone. parts are the parts' numbers, if known.
 
     where keeps rows out of the result, not out of the walk. Without a width the beam holds a
     whole part, and the result is exact.
     """
-    found = _walked(nodes, queries, lambda n, _: Width(n if width is None else max(width, k), k), by, m, where, frontier)
+    found = _walked(nodes, queries, lambda n, _: Width(n if width is None else max(width, k), k), by, m, where, frontier, None, parts)
     return top_k(found.where("vec_id is not null"), k)
 
 
@@ -383,10 +388,10 @@ def integrity(nodes: DataFrame) -> DataFrame:
 
 
 class HNSWIndex:
-    """Graph nodes, and what they were built with."""
+    """Graph nodes, what they were built with, and the parts' numbers, if known."""
 
-    def __init__(self, nodes: DataFrame, m: int, width: int, by: str):
-        self.nodes, self.m, self.width, self.by = nodes, m, width, by
+    def __init__(self, nodes: DataFrame, m: int, width: int, by: str, parts: list[int] | None = None):
+        self.nodes, self.m, self.width, self.by, self.parts = nodes, m, width, by, parts
 
     @classmethod
     def build(cls, base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", parts: int | None = None) -> HNSWIndex:
@@ -400,19 +405,21 @@ class HNSWIndex:
             base = kept(base.select(*(c for c in ("part", "vec_id", "embedding", "deleted") if c in base.columns)))
         n = checked(base)[1]
         if "part" in base.columns:
-            dealt = within_bounds(base, GRAPH_ROWS, graph_rows(n, cores))
+            dealt, known = within_bounds(base, GRAPH_ROWS, graph_rows(n, cores)), None
         else:
             named = parts or max(1, min(cores, n // LEAST_ROWS))
             size = graph_rows(n, cores) if n > named * GRAPH_ROWS else GRAPH_ROWS
-            dealt = base.withColumn("part", deal(named * max(1, -(-n // (named * size)))))
-        return cls(build(dealt, m, width, by), m, width, by)
+            known = list(range(named * max(1, -(-n // (named * size)))))
+            dealt = base.withColumn("part", deal(len(known)))
+        nodes, known = build_parts(dealt, m, width, by, parts=known)
+        return cls(nodes, m, width, by, known)
 
     def search(self, queries: DataFrame, k: int = 10, width: int | None = 50, where: Column | None = None, frontier: int = 1) -> DataFrame:
-        return search(self.nodes, queries, k, width, self.by, self.m, where, frontier)
+        return search(self.nodes, queries, k, width, self.by, self.m, where, frontier, self.parts)
 
     def within(self, queries: DataFrame, eps: float, least: int = 1, most: int = 1000, where: Column | None = None, frontier: int = 1) -> DataFrame:
         """Rows at most eps away that the walks find, the nearest most of them; a walk doesn't end before it has seen least."""
-        found = _walked(self.nodes, queries, lambda *_: Within(eps, least, most), self.by, self.m, where, frontier)
+        found = _walked(self.nodes, queries, lambda *_: Within(eps, least, most), self.by, self.m, where, frontier, None, self.parts)
         return top_k(found.where("vec_id is not null"), most)
 
     def by_documents(self, queries: DataFrame, docs: DataFrame, documents: int, width: int | None = 50, frontier: int = 1) -> DataFrame:
@@ -422,12 +429,12 @@ class HNSWIndex:
         """
         named = self.nodes.join(docs.select("vec_id", "doc_id"), "vec_id", "left")
         stop = lambda n, codes: Documents(codes, documents, n if width is None else width)
-        found = _walked(named, queries, stop, self.by, self.m, None, frontier, "doc_id").where("vec_id is not null")
+        found = _walked(named, queries, stop, self.by, self.m, None, frontier, "doc_id", self.parts).where("vec_id is not null")
         return before_last_document(found.select("qid", "vec_id", "doc_id", "dist"), documents)
 
     def effort(self, queries: DataFrame, k: int = 10, width: int = 50, frontier: int = 1) -> DataFrame:
         """(qid, hops, distances): nodes expanded and distances taken for each query, over all parts."""
-        found = _walked(self.nodes, queries, lambda n, _: Width(max(width, k)), self.by, self.m, None, frontier)
+        found = _walked(self.nodes, queries, lambda n, _: Width(max(width, k)), self.by, self.m, None, frontier, None, self.parts)
         return found.where("vec_id is null").groupBy("qid").agg(F.sum("hops").alias("hops"), F.sum("distances").alias("distances"))
 
     def _marked(self, ids: DataFrame, deleted: bool) -> HNSWIndex:
@@ -441,7 +448,7 @@ class HNSWIndex:
         # few ids go to the nodes, so that these, with their vectors and links, aren't shuffled
         marked = self.nodes.join(F.broadcast(named) if 16 * known["ids"] <= BROADCAST_BYTES else named, "vec_id", "left")
         nodes = marked.withColumn("deleted", F.coalesce(F.when(F.col("named"), F.lit(deleted)), F.col("deleted"))).select(*self.nodes.columns)
-        return HNSWIndex(nodes, self.m, self.width, self.by)
+        return HNSWIndex(nodes, self.m, self.width, self.by, self.parts)
 
     def delete(self, ids: DataFrame) -> HNSWIndex:
         """Rows stay in the walk but out of results; KeyError for unknown ids, ValueError for deleted ones."""
