@@ -333,6 +333,18 @@ def test_graphs_fill_the_cores(spark, monkeypatch):
     assert sorted(r["part"] for r in sizes) == [0, *range(1, 2 * 14, 2)] and sum(r["count"] for r in sizes) == 300
 
 
+def test_loaded_graphs_know_their_parts(spark, tmp_path):
+    """hnsw_saved_and_loaded: the parts counted by a load aren't looked up again; what was saved is described without rows made by workers."""
+    base = vectors(spark)
+    built = hnsw.HNSWIndex.build(base, parts=3)
+    built.save(str(tmp_path / "graph"))
+    loaded = hnsw.HNSWIndex.load(spark, str(tmp_path / "graph"))
+    assert sorted(loaded.parts) == built.parts == [0, 1, 2]
+    assert (loaded.m, loaded.width, loaded.by) == (built.m, built.width, built.by)
+    assert dict(spark.read.parquet(str(tmp_path / "graph/meta")).dtypes) == {"m": "int", "width": "int", "metric": "string", "n": "bigint"}
+    assert rows(loaded.search(queries(base), 10, None)) == rows(flat.nearest(base, queries(base), 10))
+
+
 def test_searches_read_the_nodes_once(spark):
     """hnsw_parallel_frontier: the parts that a build made aren't looked up in the nodes again."""
     base = vectors(spark)

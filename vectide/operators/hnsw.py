@@ -494,17 +494,18 @@ class HNSWIndex:
     def save(self, path: str) -> None:
         self.nodes.write.parquet(f"{path}/nodes")
         n = self.nodes.sparkSession.read.parquet(f"{path}/nodes").count()
-        self.nodes.sparkSession.createDataFrame([(self.m, self.width, self.by, n)], "m int, width int, metric string, n long").coalesce(1).write.parquet(f"{path}/meta")
+        meta = pa.table({"m": pa.array([self.m], pa.int32()), "width": pa.array([self.width], pa.int32()), "metric": [self.by], "n": [n]})  # rows would be made by Python workers
+        self.nodes.sparkSession.createDataFrame(meta).coalesce(1).write.parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> HNSWIndex:
         """ValueError if the nodes aren't those that were saved, or link to others than their part's."""
         meta, nodes = spark.read.parquet(f"{path}/meta").first(), spark.read.parquet(f"{path}/nodes")
         sizes = nodes.groupBy("part").agg(F.count("*").alias("n"), F.max(F.array_max(F.flatten("links"))).alias("last"), F.count(F.when(F.size("links") != F.col("level") + 1, 1)).alias("odd"))
-        bad = sizes.agg(F.sum("n").alias("n"), F.sum("odd").alias("odd"), F.count(F.when(F.col("last") >= F.col("n"), 1)).alias("beyond")).first()
+        bad = sizes.agg(F.sum("n").alias("n"), F.sum("odd").alias("odd"), F.count(F.when(F.col("last") >= F.col("n"), 1)).alias("beyond"), F.collect_list(F.struct("part")).alias("parts")).first()
         if (bad["n"] or 0) != meta["n"] or bad["odd"] or bad["beyond"]:
             raise ValueError(f"the index is damaged: {bad['n'] or 0} of {meta['n']} nodes, {bad['odd']} with the wrong levels, links beyond {bad['beyond']} parts")
-        return cls(nodes, meta["m"], meta["width"], meta["metric"])
+        return cls(nodes, meta["m"], meta["width"], meta["metric"], [r["part"] for r in bad["parts"]])
 
 
 class CellGraphIndex:
