@@ -1,6 +1,7 @@
 """Edge cases and properties of the search operators."""
 
 import tempfile
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -449,6 +450,20 @@ def test_graphs_are_built_without_walks(name, monkeypatch):
     assert _hits(x, by, built, range(0, 400, 4)) >= 950
 
 
+@pytest.mark.parametrize("by", ["ip", "l2"])
+def test_distances_between_nodes_are_held_once(by):
+    """hnsw_l2_exhaustive: no more than the result is held for the distances of a batch, besides the vectors."""
+    x = _unit(2000, 16)
+    built = graph_build.Builder(x + 5, by, 8, 60, [0] * len(x))
+    tracemalloc.start()
+    d = built._between(built.x[:500], built.x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert d.shape == (500, 2000) and peak < 1.3 * d.nbytes
+    want = hnsw.array_distances(by, built.x.astype(float), built.x[7].astype(float))
+    assert np.allclose(d[7], want, rtol=1e-4, atol=1e-4)
+
+
 @pytest.mark.parametrize("by", ["ip", "l2"])
 def test_large_graphs_are_built_by_walks(by, monkeypatch):
     monkeypatch.setattr(graph_build, "PRODUCT_ROWS", 0)

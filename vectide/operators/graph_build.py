@@ -58,10 +58,13 @@ class Builder:
 
     def _between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Distances of every row of a[g] to every row of b[g]."""
-        products = a @ b.swapaxes(-1, -2)
+        d = a @ b.swapaxes(-1, -2)  # worked on in place
         if self.by == "ip":
-            return 1 - products
-        return np.maximum((a * a).sum(-1)[..., :, None] - 2 * products + (b * b).sum(-1)[..., None, :], 0)
+            return np.subtract(1, d, out=d)
+        d *= -2
+        d += (a * a).sum(-1)[..., :, None]
+        d += (b * b).sum(-1)[..., None, :]
+        return np.maximum(d, 0, out=d)
 
     def _walk(self, nodes: np.ndarray, start: np.ndarray, level: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, distances) that best-first walks of the nodes' vectors keep, a row each, nearest first; -1 and inf fill rows up."""
