@@ -311,6 +311,14 @@ def counted(df):
     return df.mapInArrow(same, df.schema), seen
 
 
+def test_few_ids_are_numbered_in_one_pass(spark):
+    """hnsw_range_parts: rows that one task numbers aren't counted in a pass of their own, and joined to the count."""
+    base, seen = counted(vectors(spark).where("vec_id % 3 = 1"))
+    found = kmeans.numbered(base, 100).select("vec_id", "at")
+    assert found.schema["at"].dataType.simpleString() == "bigint"
+    assert {r["vec_id"]: r["at"] for r in found.collect()} == {3 * i + 1: i for i in range(100)} and seen.value == 100
+
+
 def test_given_parts_are_worked_out_once(spark):
     """hnsw_kmeans_parts: cells aren't assigned again for each look at the rows."""
     base = vectors(spark)

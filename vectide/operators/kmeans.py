@@ -53,7 +53,9 @@ def numbered(base: DataFrame, n: int | None = None) -> DataFrame:
     """base with at, the place of each row in the order of vec_id: counted by buckets of about as many ids, then within them."""
     n = base.count() if n is None else n
     buckets = min(BUCKETS, max(1, n // 100_000))
-    edges = base.agg(F.percentile_approx("vec_id", [i / buckets for i in range(1, buckets)]).alias("e")).first()["e"] if buckets > 1 else []
+    if buckets == 1:
+        return base.withColumn("_b", F.lit(0)).withColumn("at", F.row_number().over(Window.partitionBy("_b").orderBy("vec_id")) - F.lit(1)).withColumn("at", F.col("at").cast("long")).drop("_b")
+    edges = base.agg(F.percentile_approx("vec_id", [i / buckets for i in range(1, buckets)]).alias("e")).first()["e"]
     dealt = base.withColumn("_b", F.size(F.filter(F.lit(edges).cast("array<long>"), lambda e: e <= F.col("vec_id"))))
     sizes = dealt.groupBy("_b").count()
     starts = sizes.select("_b", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
