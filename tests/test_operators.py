@@ -338,8 +338,11 @@ def test_graphs_fill_the_cores(spark, monkeypatch):
     for index in (hnsw.HNSWIndex.build(base, parts=2), hnsw.HNSWIndex.build(partition.by_range(base, 2))):
         assert index.nodes.select("part").distinct().count() == 2 * cores
         assert rows(index.search(queries(base), 10, None)) == rows(flat.nearest(base, queries(base), 10))
-    sizes = partition.within_bounds(base.withColumn("part", (F.col("vec_id") >= 30).cast("int")), 40, 20).groupBy("part").count().collect()
-    assert sorted(r["part"] for r in sizes) == [0, *range(1, 2 * 14, 2)] and sum(r["count"] for r in sizes) == 300
+    dealt, sizes = partition.within_bounds(base.withColumn("part", (F.col("vec_id") >= 30).cast("int")), 40, 20)
+    found = dealt.groupBy("part").count().collect()
+    assert sorted(r["part"] for r in found) == sorted(sizes) == sorted([0, 2, *range(1, 2 * 14, 2)]) and sum(r["count"] for r in found) == 300
+    same, sizes = partition.within_bounds(base.withColumn("part", (F.col("vec_id") >= 30).cast("int")), 270, 20)
+    assert sizes == {0: 30, 1: 270} and same.select("part").distinct().count() == 2
 
 
 def test_loaded_graphs_know_their_parts(spark, tmp_path):

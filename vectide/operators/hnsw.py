@@ -248,11 +248,12 @@ def level_of(vec_id: int, m: int, seed: int) -> int:
     return int(-math.log(((x ^ (x >> 31)) + 1) / 2**64) / math.log(m))
 
 
-def in_slots(rows: DataFrame) -> tuple[DataFrame, list[int]]:
-    """rows with slot, and the parts by their slots: a number for each part, the largest part's first, so that tasks of slots start with what takes longest."""
-    sizes = rows.groupBy("part").count().orderBy(F.desc("count"), "part").collect()
-    slots = rows.sparkSession.createDataFrame(pa.table({"of": pa.array([r["part"] for r in sizes], pa.int32()), "slot": pa.array(range(len(sizes)), pa.int32())}))
-    return rows.join(F.broadcast(slots), F.col("part").eqNullSafe(F.col("of"))).drop("of"), [r["part"] for r in sizes]
+def in_slots(rows: DataFrame, sizes: dict[int, int] | None = None) -> tuple[DataFrame, list[int]]:
+    """rows with slot, and the parts by their slots: a number for each part, the largest part's first, so that tasks of slots start with what takes longest. Parts are counted if their sizes aren't known."""
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()} if sizes is None else sizes
+    parts = sorted(sizes, key=lambda p: (-sizes[p], p is not None, p or 0))
+    slots = rows.sparkSession.createDataFrame(pa.table({"of": pa.array(parts, pa.int32()), "slot": pa.array(range(len(parts)), pa.int32())}))
+    return rows.join(F.broadcast(slots), F.col("part").eqNullSafe(F.col("of"))).drop("of"), parts
 
 
 def graph_rows(n: int, cores: int) -> int:
@@ -266,8 +267,8 @@ def build(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed:
     return build_parts(base, m, width, by, seed)[0]
 
 
-def build_parts(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed: int = 100, parts: list[int] | None = None) -> tuple[DataFrame, list[int]]:
-    """The same, and the parts' numbers; those given are 0 and up, and of about the same size."""
+def build_parts(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", seed: int = 100, sizes: dict[int, int] | None = None) -> tuple[DataFrame, list[int]]:
+    """The same, and the parts' numbers; sizes are the parts' rows, about, if known."""
     if m < 2:
         raise ValueError("a node has two links at least")
     metric(by)
@@ -289,7 +290,7 @@ def build_parts(base: DataFrame, m: int = 16, width: int = 200, by: str = "ip",
         )
 
     # a task for each part: by a hash of their numbers, or by what is left of them, several would share one
-    dealt, parts = in_slots(rows) if parts is None else (rows.withColumn("slot", F.col("part")), parts)
+    dealt, parts = in_slots(rows, sizes)
     return kept(dealt.repartitionById(max(1, len(parts)), "slot").groupBy("slot", "part").applyInArrow(graph, NODES)), parts
 
 
@@ -405,13 +406,13 @@ class HNSWIndex:
             base = kept(base.select(*(c for c in ("part", "vec_id", "embedding", "deleted") if c in base.columns)))
         n = checked(base)[1]
         if "part" in base.columns:
-            dealt, known = within_bounds(base, GRAPH_ROWS, graph_rows(n, cores)), None
+            dealt, sizes = within_bounds(base, GRAPH_ROWS, graph_rows(n, cores))
         else:
             named = parts or max(1, min(cores, n // LEAST_ROWS))
             size = graph_rows(n, cores) if n > named * GRAPH_ROWS else GRAPH_ROWS
-            known = list(range(named * max(1, -(-n // (named * size)))))
-            dealt = base.withColumn("part", deal(len(known)))
-        nodes, known = build_parts(dealt, m, width, by, parts=known)
+            graphs = named * max(1, -(-n // (named * size)))
+            dealt, sizes = base.withColumn("part", deal(graphs)), dict.fromkeys(range(graphs), n // graphs)
+        nodes, known = build_parts(dealt, m, width, by, sizes=sizes)
         return cls(nodes, m, width, by, known)
 
     def search(self, queries: DataFrame, k: int = 10, width: int | None = 50, where: Column | None = None, frontier: int = 1) -> DataFrame:

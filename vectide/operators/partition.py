@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +50,17 @@ def by_kmeans(base: DataFrame, parts: int, rounds: int = 10, most: int = PART_RO
     return dealt.join(shares, "cid").withColumn("part", F.col("cid") + share * parts).drop("cid", "shares").select(*base.columns, "part")
 
 
-def within_bounds(base: DataFrame, most: int, each: int | None = None) -> DataFrame:
-    """base, each part of more than most rows dealt by a hash to several, of about each (most without it) rows at most; those are numbered on from the largest part's number, once round for each share."""
-    rows = F.count("*")
-    sizes = base.groupBy("part").agg(F.when(rows <= most, 1).otherwise(F.ceil(rows / (each or most))).cast("int").alias("shares"))
-    largest = sizes.agg(F.max("part").alias("part"), F.max("shares").alias("shares")).first()
-    if (largest["shares"] or 1) == 1:
-        return base
+def within_bounds(base: DataFrame, most: int, each: int | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """base, and its parts' sizes: if a part has more than most rows, all of more than each (most without it) are dealt by a hash to several.
+
+    Those are numbered on from the largest part's number, once round for each share, and of about the same size.
+    """
+    sizes = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}
+    if max(sizes.values(), default=0) <= most:
+        return base, sizes
+    shares = {part: -(-n // (each or most)) for part, n in sizes.items() if part is not None}
+    after = max(shares) + 1
+    dealt = base.sparkSession.createDataFrame(pa.table({"of": pa.array(shares, pa.int32()), "shares": pa.array(shares.values(), pa.int32())}))
     share = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("shares")).cast("int")
-    return base.join(sizes, "part").withColumn("part", F.col("part") + share * F.lit(largest["part"] + 1)).select(*base.columns)
+    found = base.join(F.broadcast(dealt), F.col("part") == F.col("of")).withColumn("part", F.col("part") + share * F.lit(after))
+    return found.select(*base.columns), {part + i * after: sizes[part] // n for part, n in shares.items() for i in range(n)}
