@@ -366,6 +366,22 @@ def test_searches_read_the_nodes_once(spark):
         assert rows(found) == rows(flat.nearest(base, queries(base), 10)) and seen.value == 300
 
 
+#: Searches that pass on what a build knows of its parts, by the catalogue's queries that make them, and what they have to find.
+PASSED_ON = {
+    "hnsw_filtered_exhaustive": (lambda i, q: i.search(q, 10, None, where=F.col("vec_id") % 3 == 1), lambda b, q: flat.nearest(b, q, 10, where=F.col("vec_id") % 3 == 1)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PASSED_ON))
+def test_other_searches_read_the_nodes_once(spark, name):
+    search, want = PASSED_ON[name]
+    base = vectors(spark)
+    built = hnsw.HNSWIndex.build(base, parts=2)
+    nodes, seen = counted(built.nodes)
+    found = search(hnsw.HNSWIndex(nodes, built.m, built.width, built.by, built.parts), queries(base))
+    assert rows(found) == rows(want(base, queries(base))) and seen.value == 300
+
+
 def test_few_marks_go_to_the_nodes(spark, monkeypatch):
     """hnsw_after_delete: ids to delete are read once, and few of them don't shuffle the nodes."""
     base = vectors(spark)
