@@ -369,6 +369,7 @@ def test_searches_read_the_nodes_once(spark):
 #: Searches that pass on what a build knows of its parts, by the catalogue's queries that make them, and what they have to find.
 PASSED_ON = {
     "hnsw_filtered_exhaustive": (lambda i, q: i.search(q, 10, None, where=F.col("vec_id") % 3 == 1), lambda b, q: flat.nearest(b, q, 10, where=F.col("vec_id") % 3 == 1)),
+    "hnsw_range_exhaustive": (lambda i, q: i.within(q, 0.75, least=300, most=300), lambda b, q: flat.within(b, q, 0.75)),
 }
 
 
