@@ -50,7 +50,7 @@ def weighted_seeds(base: DataFrame, cells: int, column: str = "embedding", part:
 
 
 def numbered(base: DataFrame, n: int | None = None) -> DataFrame:
-    """base with at, the place of each row in the order of vec_id: counted by buckets of about as many ids, then within them."""
+    """base with at, the place of each row in the order of vec_id: counted by buckets of about as many ids, then within them; in one task if there is one bucket (fewer than 200,000 ids)."""
     n = base.count() if n is None else n
     buckets = min(BUCKETS, max(1, n // 100_000))
     if buckets == 1:
