@@ -4,11 +4,12 @@ import tempfile
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vectide.functions.distance import dimension
-from vectide.operators import blocks, evaluate, flat, graph_build, hnsw, kmeans, partition, pq, sq
+from vectide.operators import blocks, evaluate, flat, graph_build, hnsw, kmeans, partition, pq, sq, topk
 from vectide.operators.ivf import IVFIndex, IVFPQIndex
 from vectide.sources import fbin
 from vectide.streaming.search import search_stream, upsert_stream
@@ -383,6 +384,59 @@ def test_other_searches_read_the_nodes_once(spark, name):
     assert rows(found) == rows(want(base, queries(base))) and seen.value == 300
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_queries_go_to_the_nodes(spark, monkeypatch):
+    """hnsw_filtered_exhaustive: nodes are searched where a build left them, and what each graph finds is merged without sorts of single rows."""
+    base = vectors(spark)
+    want = rows(flat.nearest(base, queries(base), 10, where=F.col("vec_id") % 3 == 1))
+    for built in (hnsw.HNSWIndex.build(base, parts=3), hnsw.HNSWIndex.build(base.withColumn("part", F.expr("if(vec_id < 90, null, 5)")))):
+        found = built.search(queries(base), 10, None, where=F.col("vec_id") % 3 == 1)
+        assert plan(found).count("Exchange") == 1 and "Window" not in plan(found) and rows(found) == want
+        effort = built.effort(queries(base), 10, 300)
+        assert [r["hops"] for r in effort.collect()] == [300] * 15
+    moved = built.delete(base.where("vec_id % 3 <> 1").select("vec_id"))
+    assert not moved.placed and rows(moved.search(queries(base), 10, None)) == want
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    many = built.search(queries(base), 10, None, where=F.col("vec_id") % 3 == 1)
+    assert "CoGroup" in plan(many) and rows(many) == want
+
+
+def test_parts_are_told_apart():
+    """A part may go over several batches, and a batch hold several parts, one without a number."""
+    parts = [[0, 0], [0, 3, None], [None], [], [1, 2], [2]]
+    batches = [pa.record_batch({"part": pa.array(p, pa.int32()), "at": pa.array([i] * len(p), pa.int32())}) for i, p in enumerate(parts)]
+    assert [t.column("part").to_pylist() for t in blocks.whole_parts(iter(batches))] == [[0, 0, 0], [3], [None, None], [1], [2, 2]]
+    assert not list(blocks.whole_parts(iter([])))
+
+
+@pytest.mark.parametrize("k", [1, 7, 1000])
+def test_lists_merge(spark, monkeypatch, k):
+    """Pieces of lists, ties over several lists, and queries over several slices and batches of lists."""
+    monkeypatch.setattr(topk, "LIST_ROWS", 3)
+    monkeypatch.setattr(topk, "MERGED_LISTS", 4)
+    rng = np.random.default_rng(4)
+    found, flat_rows = [], []
+    for part in range(5):
+        for qid in rng.permutation(30):
+            ids = np.sort(rng.choice(1000, int(rng.integers(0, 12)), False)) * 5 + part
+            dist = np.sort(rng.integers(0, 6, len(ids)) / 4)
+            found.append((int(qid), ids, dist))
+            flat_rows += [(int(qid), int(i), float(d)) for i, d in zip(ids, dist, strict=True)]
+    lists = topk.lists_table(found)
+    assert max(map(len, lists.column("ids").to_pylist())) == 3 and not topk.lists_table([]).num_rows
+    want = topk.top_k(spark.createDataFrame(flat_rows, "qid long, vec_id long, dist double"), k)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        merged = topk.merged(spark.createDataFrame(lists), k)
+        assert merged.dtypes == want.dtypes
+        assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_few_marks_go_to_the_nodes(spark, monkeypatch):
     """hnsw_after_delete: ids to delete are read once, and few of them don't shuffle the nodes."""
     base = vectors(spark)

@@ -3,7 +3,7 @@
 A kernel gets some stored rows and some queries. Queries of BROADCAST_BYTES at most (counted)
 are sent to a scan of the stored rows; others meet them in blocks: stored rows lie in parts, and
 each part meets each block of the queries that are sent to it in one task, which holds one part
-and one block.
+and one block. Parts that lie whole in partitions are scanned where they are.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +61,48 @@ def in_blocks(stored: DataFrame, queries: DataFrame, task: Kernel, schema: str)
     return meet(stored.withColumn("part", deal(parts)), every, task, schema)
 
 
+def _sent(stored: DataFrame, small: pa.Table) -> Broadcast:
+    """A small table's stream of bytes, sent to every task over stored."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, small.schema) as out:
+        out.write_table(small)
+    return stored.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each part, which come one after another."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        at, runs = 0, pc.run_end_encode(batch.column("part"))
+        for end, part in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+            if held and held[0].column("part")[0].as_py() != part:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            at = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def meet_in_place(stored: DataFrame, small: pa.Table, task: Kernel, schema: str) -> DataFrame:
+    """task(rows of a part, a block of the queries) for all parts, each of which lies whole in a partition of stored, so that nothing is shuffled."""
+    shared = _sent(stored, small)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = pa.ipc.open_stream(shared.value).read_all()
+        for left in whole_parts(batches):
+            for at in range(0, right.num_rows, QUERY_ROWS):
+                yield from task(left, right.slice(at, QUERY_ROWS)).to_batches()
+
+    return stored.mapInArrow(run, schema)
+
+
 def every_pair(stored: DataFrame, queries: DataFrame, task: Kernel, schema: str) -> DataFrame:
     """task over all pairs of rows and queries, each pair in one call."""
     small = small_table(queries)
     if small is None:
         return in_blocks(stored, queries, task, schema)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, small.schema) as out:
-        out.write_table(small)
-    shared = stored.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    shared = _sent(stored, small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = pa.ipc.open_stream(shared.value).read_all()

@@ -5,9 +5,9 @@ level, deleted, embedding, links), links[l] holding a node's neighbours on level
 in the shared folder once they are built, so that searches, deletes and counts don't build them
 again. A row's level is drawn from a hash of its vec_id, so graphs don't depend on the order of
 rows or on retries. A search expands one or several of the best open nodes at a time, their
-neighbours' distances in one product; queries go to the parts' tasks in blocks and the parts'
-results merge. When a walk ends is up to a stop condition: a beam's width, a distance, or a number
-of documents.
+neighbours' distances in one product; queries go to the parts' tasks in blocks (few queries to
+the nodes where a build left them) and the parts' results merge. When a walk ends is up to a stop
+condition: a beam's width, a distance, or a number of documents.
 
 A walk that its stop condition can neither end early nor let drop a node expands all that links
 lead to from the entry, in whatever order. So for all queries of a block the links are followed
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import array_distances, checked, dimension, metric
 from ..functions.durable import kept
-from .blocks import BROADCAST_BYTES, PART_ROWS, deal, matrix, meet, to_every_part
+from .blocks import BROADCAST_BYTES, PART_ROWS, deal, matrix, meet, meet_in_place, small_table, to_every_part
 from .flat import before_last_document, close_distances
 from .graph_build import Builder
 from .partition import within_bounds
-from .topk import top_k
+from .topk import LISTS, MERGED_ROWS, lists_table, merged, top_k
 
 NODES = "part int, node int, vec_id long, level int, deleted boolean, embedding array<float>, links array<array<int>>"
 #: Rows that are worth a part of their own, while there are idle cores.
@@ -330,16 +330,16 @@ def _nulls_then(n: int, values) -> pa.Array:
     return pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(values, pa.int64())])
 
 
-def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where: Column | None, frontier: int, doc: str | None = None, parts: list[int] | None = None) -> DataFrame:
-    """(qid, vec_id, dist, doc_id, hops, distances) of every part's own result; stop(left, codes) makes a walk's stop condition.
+def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where: Column | None, frontier: int, doc: str | None = None, parts: list[int] | None = None, placed: bool = False, listed: bool = False) -> DataFrame:
+    """(qid, vec_id, dist, doc_id, hops, distances), or if listed LISTS, of every part's own result; stop(left, codes) makes a walk's stop condition.
 
-    A row of each query and part has no vec_id and says how many nodes were expanded and how many distances taken.
+    A row of each query and part has no vec_id and says how many nodes were expanded and how many
+    distances taken; lists have none. placed says that each part lies whole in a partition of nodes.
     """
     metric(by)
     allowed = (~F.col("deleted")) if where is None else (~F.col("deleted") & F.coalesce(where, F.lit(False)))
     named = F.lit(None).cast("int") if doc is None else F.col(doc)
     stored = nodes.select("part", "node", "vec_id", "level", "embedding", "links", allowed.alias("allowed"), named.alias("doc_id"))
-    asked = queries if "part" in queries.columns else to_every_part(queries, nodes, parts)
     kind = stored.schema["doc_id"].dataType.simpleString()
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -351,6 +351,8 @@ def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where:
             codes = pc.dictionary_encode(docs, null_encoding="encode").indices.to_numpy(zero_copy_only=False) if doc else None
             results = _whole if stop(len(ids), codes).whole(len(ids)) else _one_by_one
             found = list(results(left, right, x, entry, good, lambda: stop(len(ids), codes), by, m, frontier))
+        if listed:
+            return lists_table([(qid, ids[at], dist) for qid, dist, at, *_ in found])
         qids, dist, at, hops, distances = zip(*found, strict=True) if found else ([], [], [], [], [])
         qids, none = np.array(qids, np.int64), np.zeros(0)
         dist, at = np.concatenate([*dist, none]), np.concatenate([*at, none]).astype(np.int64)
@@ -362,17 +364,23 @@ def _walked(nodes: DataFrame, queries: DataFrame, stop, by: str, m: int, where:
         }
         return pa.table(columns)
 
-    return meet(stored, asked.select("part", "qid", "qv"), walk, f"qid long, vec_id long, dist double, doc_id {kind}, hops long, distances long", queries)
+    found = LISTS if listed else f"qid long, vec_id long, dist double, doc_id {kind}, hops long, distances long"
+    sent = "part" in queries.columns
+    if placed and not sent and (small := small_table(queries.select("qid", "qv"))) is not None:
+        return meet_in_place(stored, small, walk, found)
+    asked = queries if sent else to_every_part(queries, nodes, parts)
+    return meet(stored, asked.select("part", "qid", "qv"), walk, found, queries)
 
 
-def search(nodes: DataFrame, queries: DataFrame, k: int = 10, width: int | None = 50, by: str = "ip", m: int = 16, where: Column | None = None, frontier: int = 1, parts: list[int] | None = None) -> DataFrame:
-    """The nearest k over all parts; queries with a column part go to that part alone. parts are the parts' numbers, if known.
+def search(nodes: DataFrame, queries: DataFrame, k: int = 10, width: int | None = 50, by: str = "ip", m: int = 16, where: Column | None = None, frontier: int = 1, parts: list[int] | None = None, placed: bool = False) -> DataFrame:
+    """The nearest k over all parts; queries with a column part go to that part alone. parts are the parts' numbers, if known; placed says that each lies whole in a partition.
 
     where keeps rows out of the result, not out of the walk. Without a width the beam holds a
     whole part, and the result is exact.
     """
-    found = _walked(nodes, queries, lambda n, _: Width(n if width is None else max(width, k), k), by, m, where, frontier, None, parts)
-    return top_k(found.where("vec_id is not null"), k)
+    listed = k <= MERGED_ROWS
+    found = _walked(nodes, queries, lambda n, _: Width(n if width is None else max(width, k), k), by, m, where, frontier, None, parts, placed, listed)
+    return merged(found, k) if listed else top_k(found.where("vec_id is not null"), k)
 
 
 def integrity(nodes: DataFrame) -> DataFrame:
@@ -389,10 +397,10 @@ def integrity(nodes: DataFrame) -> DataFrame:
 
 
 class HNSWIndex:
-    """Graph nodes, what they were built with, and the parts' numbers, if known."""
+    """Graph nodes, what they were built with, the parts' numbers, if known, and whether each part lies whole in a partition of nodes."""
 
-    def __init__(self, nodes: DataFrame, m: int, width: int, by: str, parts: list[int] | None = None):
-        self.nodes, self.m, self.width, self.by, self.parts = nodes, m, width, by, parts
+    def __init__(self, nodes: DataFrame, m: int, width: int, by: str, parts: list[int] | None = None, placed: bool = False):
+        self.nodes, self.m, self.width, self.by, self.parts, self.placed = nodes, m, width, by, parts, placed
 
     @classmethod
     def build(cls, base: DataFrame, m: int = 16, width: int = 200, by: str = "ip", parts: int | None = None) -> HNSWIndex:
@@ -413,14 +421,14 @@ class HNSWIndex:
             graphs = named * max(1, -(-n // (named * size)))
             dealt, sizes = base.withColumn("part", deal(graphs)), dict.fromkeys(range(graphs), n // graphs)
         nodes, known = build_parts(dealt, m, width, by, sizes=sizes)
-        return cls(nodes, m, width, by, known)
+        return cls(nodes, m, width, by, known, True)
 
     def search(self, queries: DataFrame, k: int = 10, width: int | None = 50, where: Column | None = None, frontier: int = 1) -> DataFrame:
-        return search(self.nodes, queries, k, width, self.by, self.m, where, frontier, self.parts)
+        return search(self.nodes, queries, k, width, self.by, self.m, where, frontier, self.parts, self.placed)
 
     def within(self, queries: DataFrame, eps: float, least: int = 1, most: int = 1000, where: Column | None = None, frontier: int = 1) -> DataFrame:
         """Rows at most eps away that the walks find, the nearest most of them; a walk doesn't end before it has seen least."""
-        found = _walked(self.nodes, queries, lambda *_: Within(eps, least, most), self.by, self.m, where, frontier, None, self.parts)
+        found = _walked(self.nodes, queries, lambda *_: Within(eps, least, most), self.by, self.m, where, frontier, None, self.parts, self.placed)
         return top_k(found.where("vec_id is not null"), most)
 
     def by_documents(self, queries: DataFrame, docs: DataFrame, documents: int, width: int | None = 50, frontier: int = 1) -> DataFrame:
@@ -435,7 +443,7 @@ class HNSWIndex:
 
     def effort(self, queries: DataFrame, k: int = 10, width: int = 50, frontier: int = 1) -> DataFrame:
         """(qid, hops, distances): nodes expanded and distances taken for each query, over all parts."""
-        found = _walked(self.nodes, queries, lambda n, _: Width(max(width, k)), self.by, self.m, None, frontier, None, self.parts)
+        found = _walked(self.nodes, queries, lambda n, _: Width(max(width, k)), self.by, self.m, None, frontier, None, self.parts, self.placed)
         return found.where("vec_id is null").groupBy("qid").agg(F.sum("hops").alias("hops"), F.sum("distances").alias("distances"))
 
     def _marked(self, ids: DataFrame, deleted: bool) -> HNSWIndex:
