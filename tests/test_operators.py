@@ -3,6 +3,7 @@
 import tempfile
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from vectide.functions.distance import dimension
 from vectide.operators import blocks, evaluate, flat, graph_build, hnsw, kmeans, partition, pq, sq, topk
 from vectide.operators.ivf import IVFIndex, IVFPQIndex
+from vectide.plans import catalog
 from vectide.sources import fbin
 from vectide.streaming.search import search_stream, upsert_stream
 
@@ -404,6 +406,29 @@ def test_few_queries_go_to_the_nodes(spark, monkeypatch):
     assert "CoGroup" in plan(many) and rows(many) == want
 
 
+def test_ranges_are_merged_as_lists(spark, monkeypatch):
+    """hnsw_range_exhaustive: rows within eps are merged in workers; more than a worker may hold are ranked by a window."""
+    base = vectors(spark)
+    index = hnsw.HNSWIndex.build(base, parts=3)
+    search = lambda most: index.within(queries(base), 0.75, least=300, most=most)
+    want = {most: rows(flat.within(base, queries(base), 0.75, most=most)) for most in (300, 4)}
+    for most in want:
+        assert "Window" not in plan(search(most)) and rows(search(most)) == want[most]
+    monkeypatch.setattr(hnsw, "MERGED_ROWS", 3)
+    for most in want:
+        assert "Window" in plan(search(most)) and rows(search(most)) == want[most]
+
+
+def test_distances_are_rounded_as_by_sql(spark):
+    """hnsw_range_exhaustive: to the same doubles, halves included, without a decimal for each row."""
+    rng = np.random.default_rng(2)
+    halves = [*(np.arange(-200, 200) / 128), *(np.arange(-3000, 3000) * 1e-6 + 5e-7), 0.49999999999999994e-6, 4503599627.3704955]
+    odd = [0.0, -0.0, 1e300, -1e305, float("inf"), float("-inf"), float("nan")]
+    x = pa.table({"x": pa.array([*halves, *odd, *rng.normal(size=5000)])})
+    found = spark.createDataFrame(x).select("x", catalog.rounded(F.col("x")).alias("r")).toArrow()
+    assert duckdb.sql("SELECT count(*), count(*) FILTER (r IS NOT DISTINCT FROM round(x, 6)) FROM found").fetchall() == [(len(x), len(x))]
+
+
 def test_parts_are_told_apart():
     """A part may go over several batches, and a batch hold several parts, one without a number."""
     parts = [[0, 0], [0, 3, None], [None], [], [1, 2], [2]]

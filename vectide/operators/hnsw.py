@@ -428,8 +428,9 @@ class HNSWIndex:
 
     def within(self, queries: DataFrame, eps: float, least: int = 1, most: int = 1000, where: Column | None = None, frontier: int = 1) -> DataFrame:
         """Rows at most eps away that the walks find, the nearest most of them; a walk doesn't end before it has seen least."""
-        found = _walked(self.nodes, queries, lambda *_: Within(eps, least, most), self.by, self.m, where, frontier, None, self.parts, self.placed)
-        return top_k(found.where("vec_id is not null"), most)
+        listed = most <= MERGED_ROWS
+        found = _walked(self.nodes, queries, lambda *_: Within(eps, least, most), self.by, self.m, where, frontier, None, self.parts, self.placed, listed)
+        return merged(found, most) if listed else top_k(found.where("vec_id is not null"), most)
 
     def by_documents(self, queries: DataFrame, docs: DataFrame, documents: int, width: int | None = 50, frontier: int = 1) -> DataFrame:
         """(qid, vec_id, doc_id, dist, rk): the nearest vectors of so many documents; docs is (vec_id, doc_id).

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durable import kept, shared_folder
@@ -43,8 +43,16 @@ def asked(base: DataFrame) -> DataFrame:
     return flat.queries_of(base, F.col("vec_id") % 20 == 0)
 
 
+def rounded(x: Column) -> Column:
+    """x to six places as DuckDB's round gives it, halves of x * 1e6 away from zero; F.round goes through a decimal's text for each row."""
+    y = x * F.lit(1e6)
+    near = F.rint(y)  # halves to even
+    whole = F.when(F.abs(y - near) == 0.5, y + F.signum(y) * F.lit(0.5)).otherwise(near)
+    return F.when(F.abs(y) == float("inf"), x).otherwise(whole / F.lit(1e6))
+
+
 def shown(found: DataFrame) -> DataFrame:
-    return found.withColumn("dist", F.round("dist", 6) + F.lit(0.0)).select("qid", "vec_id", "dist", "rk")
+    return found.withColumn("dist", rounded(F.col("dist")) + F.lit(0.0)).select("qid", "vec_id", "dist", "rk")
 
 
 # exact search
