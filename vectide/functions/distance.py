@@ -49,7 +49,7 @@ def array_distances(name: str, rows: np.ndarray, query: np.ndarray) -> np.ndarra
 def checked(vectors: DataFrame, column: str = "embedding") -> tuple[int, int]:
     """The vectors' one length (0 without rows), and how many there are; ValueError for nulls, non-finite components and mixed lengths."""
     v = F.col(column)
-    bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = ~F.coalesce(F.forall(v, lambda x: F.abs(x) < F.lit(float("inf")).cast("float")), F.lit(False))  # one comparison a component: NaN is above all, null gives null
     seen = vectors.agg(F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high"), F.count(F.when(bad, 1)).alias("bad"), F.count("*").alias("n")).first()
     if seen["bad"]:
         raise ValueError(f"{seen['bad']} rows of {column} are null or hold null or non-finite components")
