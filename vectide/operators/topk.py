@@ -57,8 +57,14 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
     """(qid, vec_id, dist, rk): the nearest k of each query over all of its lists; ties go to the smaller vec_id. A worker holds 2 k rows of a query, and MERGED_LISTS lists, at most."""
 
     def table(qid: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> pa.Table:
-        order = np.lexsort((ids, dist, qid))
-        rk = np.arange(len(qid)) - np.searchsorted(qid, qid) + 1  # they are in order of qid
+        ends = np.concatenate([[0], np.flatnonzero(qid[1:] != qid[:-1]) + 1, [len(qid)]])  # they are in order of qid
+        order, rk = np.arange(len(qid)), np.arange(len(qid)) + 1 - np.repeat(ends[:-1], np.diff(ends))
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            best = dist[a:b].argsort(kind="stable")  # lists are runs that this merges
+            near, at = dist[a:b][best], ids[a:b][best]
+            if (~(near[1:] > near[:-1]) & (at[1:] < at[:-1])).any():  # ties of several lists
+                best = np.lexsort((ids[a:b], dist[a:b]))
+            order[a:b] = a + best
         order, rk = order[rk <= k], rk[rk <= k]
         return pa.table({"qid": qid[order], "vec_id": ids[order], "dist": dist[order], "rk": rk})
 
